@@ -53,7 +53,7 @@ _cell_repair(
     SELECT _ord, coalesce(winner, trim(status)) AS status FROM lens LEFT JOIN m ON m.spelling = trim(status)""",
 )
 def case_repair(spark, sf_dir):
-    return canonicalize_case(lens(spark, sf_dir).select(ORD, "status"), Repair("canonicalize_case", "status"))
+    return canonicalize_case(lens(spark, sf_dir).select(ORD, "status"), [Repair("canonicalize_case", "status")])
 
 
 @query(

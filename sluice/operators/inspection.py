@@ -13,6 +13,7 @@ numbers per column come back to the driver:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property
@@ -72,13 +73,14 @@ class Spread:
 
 
 def _text_aggregates(cell: Cell) -> dict[str, str]:
-    flags = {what: cell.flag_sql(what) for what in ("blank", "sentinel", "decorated", "padded", "not_iso")}
-    return {what: f"count_if({test})" for what, test in flags.items()} | {
-        "truths": f"count({cell.truth_sql})",
-        "emails": f"count_if({cell.ref('email')})",
-        "days": f"count({cell.day_sql})",
-        "longest": f"max(octet_length({cell.ref('bare')}))",
+    """SQL aggregates over distinct texts, each weighted by its frequency ``n``."""
+    tests = {what: cell.flag_sql(what) for what in ("blank", "sentinel", "decorated", "padded", "not_iso")} | {
+        "truths": f"{cell.truth_sql} IS NOT NULL",
+        "emails": cell.ref("email"),
+        "days": f"{cell.day_sql} IS NOT NULL",
     }
+    weighted = {what: f"sum(if({test}, n, 0))" for what, test in tests.items()}
+    return weighted | {"longest": f"max(octet_length({cell.ref('bare')}))"}
 
 
 def _number_aggregates(x: str) -> dict[str, str]:
@@ -146,20 +148,59 @@ class Inspection:
             found |= self._count_natives(others[start : start + _COLUMNS_PER_JOB], found)
         return {cell.name: found.get(cell.name, Counts()) for cell in self.cells}
 
+    @cached_property
+    def _values(self) -> DataFrame:
+        return self._keep(spellings.text_values(self.df, self.worded))
+
+    @cached_property
+    def _long_columns(self) -> set[int]:
+        return {row["column"] for row in self._values.filter("long").select("column").distinct().collect()}
+
+    def texts(self, cells: Sequence[Cell]) -> DataFrame:
+        """``(column, text, n)``: short values grouped, long texts one by one."""
+        wanted = [cell.index for cell in cells]
+        short = self._values.filter(F.col("column").isin(wanted) & ~F.col("long")).select("column", "text", "n")
+        wide = [cell for cell in cells if cell.index in self._long_columns]
+        if not wide:
+            return short
+        long = long_texts(self.df, wide).filter(F.octet_length("text") > spellings.LONG)
+        return short.unionByName(long.withColumn("n", F.lit(1).cast("bigint")))
+
     def _count_texts(self, cells: list[Cell]) -> dict[str, Counts]:
-        """Text rules over all text columns below each other: one small piece of code."""
+        """Text rules over the distinct values of all text columns: one small piece of code."""
         if not cells:
             return {}
         cell = long_cell(cells)
-        made = _text_aggregates(cell) | _number_aggregates(cell.number_sql)
-        long = with_facts(long_texts(self.df, cells), [cell]).groupBy("column")
+        x = cell.number_sql
+        made = _text_aggregates(cell) | {
+            "numbers": f"sum(if({x} IS NOT NULL, n, 0))",
+            "negative": f"sum(if({x} < 0, n, 0))",
+            "fractional": f"sum(if(abs({x} - rint({x})) >= 1e-9D, n, 0))",
+            "inexact": f"sum(if({x} != rint({x}), n, 0))",
+            "low": f"min({x})",
+            "high": f"max({x})",
+            "mean": f"sum({x} * n) / nullif(sum(if({x} IS NOT NULL, n, 0)), 0)",
+        }
+        long = with_facts(self.texts(cells), [cell]).groupBy("column")
         found = {}
-        for row in long.agg(F.count(F.lit(1)).alias("rows"), *[F.expr(f"{sql} AS {what}") for what, sql in made.items()]).collect():
+        for row in long.agg(F.sum("n").alias("rows"), *[F.expr(f"{sql} AS {what}") for what, sql in made.items()]).collect():
             one = self.cells[row["column"]]
             wanted = ("rows", *made) if one.is_text else ("days", "not_iso")
             found[one.name] = Counts(**{what: row[what] for what in wanted if row[what] is not None})
         return found
 
+    def deviation(self, cell: Cell) -> float:
+        """Sample standard deviation; of a text column about its mean, over distinct values."""
+        counts = self.counts[cell.name]
+        if not cell.is_text:
+            return counts.deviation or 0.0
+        if counts.numbers < 2:
+            return 0.0
+        one = long_cell([cell])
+        off = f"({one.number_sql} - {double(counts.mean)})"
+        squares = with_facts(self.texts([cell]), [one]).selectExpr(f"sum({off} * {off} * n) AS s").first().s
+        return math.sqrt(squares / (counts.numbers - 1))
+
     def _count_natives(self, cells: list[Cell], known: dict[str, Counts]) -> dict[str, Counts]:
         """Aggregates of columns that are no text, side by side in one row."""
         wanted = {}
@@ -191,11 +232,11 @@ class Inspection:
     @cached_property
     def worded(self) -> list[Cell]:
         """Columns whose values are counted as text."""
-        return [cell for cell in self.cells if cell.kind != "number"]
+        return [cell for cell in self.cells if cell.kind != "number" or cell.dates_from_number]
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return self._keep(spellings.spelling_counts(self.df, self.worded))
+        return self._keep(spellings.spelling_counts(self.texts(self.worded), self.worded))
 
     @cached_property
     def distinct(self) -> dict[str, int]:
@@ -205,7 +246,8 @@ class Inspection:
                 *[F.approx_count_distinct(F.when(c.present, c.bare)).alias(str(c.index)) for c in self.cells]
             ).first()
             return {cell.name: row[str(cell.index)] for cell in self.cells}
-        return {**self.distinct_words, **self.distinct_numbers}
+        found = {**self.distinct_words, **self.distinct_numbers}
+        return {cell.name: found[cell.name] for cell in self.cells}
 
     @cached_property
     def distinct_words(self) -> dict[str, int]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions import fixed
-from sluice.functions.cells import ORD, Cell, country_of, long_cell, long_texts, with_facts
+from sluice.functions.cells import ORD, Cell, country_of, long_cell, with_facts
 from sluice.functions.names import is_country_name
 from sluice.functions.severity import severity
 from sluice.functions.sqltext import quoted, text
@@ -158,7 +158,7 @@ def _add_words(inspection: Inspection, issues: Sequence[Issue]) -> None:
     if marked:
         one = long_cell(marked)
         words = (
-            with_facts(long_texts(inspection.df, marked), [one])
+            with_facts(inspection.texts(marked), [one])
             .filter(one.sentinel)
             .select("column", one.bare.alias("word"))
             .distinct()  # case variants of a dozen short words

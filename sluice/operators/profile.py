@@ -37,7 +37,7 @@ def column_stats(inspection: Inspection, cell: Cell) -> dict[str, float] | None:
         "max": counts.high,
         "mean": counts.mean,
         "median": median,
-        "stdev": counts.deviation or 0.0,
+        "stdev": inspection.deviation(cell),
         "p25": p25,
         "p75": p75,
     }

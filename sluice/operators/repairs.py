@@ -27,12 +27,12 @@ from sluice.functions.cells import (
 )
 from sluice.functions.dates import iso
 from sluice.functions.names import is_country_name, is_key_name
-from sluice.functions.sqltext import double, pattern, quoted, text
+from sluice.functions.sqltext import double, mapping, pattern, quoted, text
 from sluice.operators.inspection import Inspection
 from sluice.operators.issues import Issue
 from sluice.operators.quantiles import Numbers, exact_quantiles
 from sluice.operators.rows import drop_copies, keep_first
-from sluice.operators.spellings import case_map
+from sluice.operators.spellings import whole_spellings, with_winner
 from sluice.rules import DEFAULT_RULES, Rules
 from sluice.workspace import written
 
@@ -153,13 +153,10 @@ def _empty_sentinels(cell: Cell, _: DataFrame, repair: Repair) -> Rewrite:
     return f"CASE WHEN NOT {word} THEN {quoted(cell.name)} END", word
 
 
-def _to_number(cell: Cell, facts: DataFrame, repair: Repair) -> Rewrite:
+def _to_number(cell: Cell, facts: DataFrame, repair: Repair, whole: bool | None = None) -> Rewrite:
     x, bare = cell.number_sql, cell.ref("bare")
     rewritten = f"{cell.present_sql} AND ({x} IS NULL OR NOT {bare} RLIKE {pattern(PLAIN_NUMBER)})"
-    if repair.target_type != "integer":
-        return x, rewritten
-    fits = f"coalesce(bool_and({x} = rint({x}) AND abs({x}) < {double(2.0**63)}), true) AS fits"
-    if not facts.selectExpr(fits).first().fits:
+    if repair.target_type != "integer" or not whole:
         return x, rewritten
     # Digits beyond a double's precision are read straight from the text.
     digits = f"try_cast(translate({bare}, {text(CURRENCY_AND_SPACE)}, '') AS BIGINT)"
@@ -184,17 +181,27 @@ def _to_day(cell: Cell, _: DataFrame, repair: Repair) -> Rewrite:
     return value, f"{cell.flag_sql('not_day')} OR {cell.flag_sql('not_iso')}"
 
 
-def _to_bool(cell: Cell, facts: DataFrame, repair: Repair) -> Rewrite:
+def _to_bool(cell: Cell, facts: DataFrame, repair: Repair, all_read: bool | None = None) -> Rewrite:
     truth = cell.truth_sql
     if cell.kind == "bool":
         return truth, "false"
-    value = truth
-    if not facts.filter(f"{cell.present_sql} AND {truth} IS NULL").isEmpty():
-        word = f"initcap(CAST({truth} AS STRING))"
-        value = f"CASE WHEN {cell.present_sql} THEN coalesce({word}, {cell.text_sql}) END"
+    if all_read:
+        return truth, f"{truth} IS NOT NULL"
+    word = f"initcap(CAST({truth} AS STRING))"
+    value = f"CASE WHEN {cell.present_sql} THEN coalesce({word}, {cell.text_sql}) END"
     return value, f"{truth} IS NOT NULL"
 
 
+def _question(cell: Cell, repair: Repair) -> str | None:
+    """What has to be known of the whole column before its new type is settled."""
+    x = cell.number_sql
+    if repair.strategy == "coerce_numeric" and repair.target_type == "integer":
+        return f"bool_and({x} = rint({x}) AND abs({x}) < {double(2.0**63)})"
+    if repair.strategy == "coerce_booleans" and cell.kind != "bool":
+        return f"bool_and({cell.truth_sql} IS NOT NULL OR NOT {cell.present_sql})"
+    return None
+
+
 def _without_sign(cell: Cell, _: DataFrame, repair: Repair) -> Rewrite:
     return f"abs({cell.number_sql})", cell.flag_sql("negative")
 
@@ -214,7 +221,7 @@ def _with_median(cell: Cell, facts: DataFrame, repair: Repair) -> Rewrite:
     return f"coalesce({cell.number_sql}, {double(middle[0])})", f"{cell.number_sql} IS NULL"
 
 
-CellRepair = Callable[[Cell, DataFrame, Repair], Rewrite]
+CellRepair = Callable[..., Rewrite]
 CELL_REPAIRS: dict[str, CellRepair] = {
     "trim_whitespace": _trim,
     "replace_sentinels": _empty_sentinels,
@@ -237,9 +244,14 @@ def repair_cells(
     cells = {cell.name: cell for cell in cells_of(df, rules=rules)}
     pairs = [(repair, flag) for repair, flag in zip(repairs, changed or [None] * len(repairs)) if repair.column in cells]
     facts = with_facts(df, [cells[repair.column] for repair, _ in pairs])
+    asked = {repair.column: _question(cells[repair.column], repair) for repair, _ in pairs}
+    asked = {column: sql for column, sql in asked.items() if sql}
+    answers = facts.selectExpr(*[f"coalesce({sql}, true)" for sql in asked.values()]).first() if asked else ()
+    known = dict(zip(asked, answers))
     made = {}
     for repair, name in pairs:
-        value, flag = CELL_REPAIRS[repair.strategy](cells[repair.column], facts, repair)
+        extra = (known[repair.column],) if repair.column in known else ()
+        value, flag = CELL_REPAIRS[repair.strategy](cells[repair.column], facts, repair, *extra)
         made[repair.column] = f"{value} AS {quoted(repair.column)}"
         if name:
             made[name] = f"{flag} AS {name}"
@@ -247,24 +259,40 @@ def repair_cells(
     return facts.selectExpr(*kept, *made.values())
 
 
+# Spellings of one column that are written into the projection itself; longer lists are joined.
+_LITERAL_SPELLINGS = 64
+
+
 def canonicalize_case(
-    df: DataFrame, repair: Repair, rules: Rules = DEFAULT_RULES, changed: str | None = None
+    df: DataFrame, repairs: Sequence[Repair], rules: Rules = DEFAULT_RULES, changed: Sequence[str] = ()
 ) -> DataFrame:
-    """Losing spellings of a column replaced by their winner, as found on ``df`` now."""
-    (cell,) = cells_of(df, [repair.column], rules)
-    if cell.kind != "text":
+    """Losing spellings of columns replaced by their winner, as found on ``df`` now."""
+    flags = dict(zip([repair.column for repair in repairs], changed))
+    cells = [cell for cell in cells_of(df, rules=rules) if cell.kind == "text" and cell.name in {r.column for r in repairs}]
+    if not cells:
         return df
-    lookup = case_map(df, cell.name, rules).select(F.col("spelling").alias("__from"), F.col("winner").alias("__to"))
-    size = lookup.count()
-    if not size:
-        return df
-    if size <= rules.broadcast_rows:
-        lookup = F.broadcast(lookup)
-    raw = quoted(cell.name)
-    joined = df.withColumn("__bare", F.expr(strip(raw))).join(lookup, F.col("__bare") == F.col("__from"), "left")
-    value = f"CASE WHEN __bare != '' THEN coalesce(__to, __bare) ELSE {raw} END AS {raw}"
-    kept = [value if name == cell.name else quoted(name) for name in df.columns]
-    return joined.selectExpr(*kept, *([f"__to IS NOT NULL AS {changed}"] if changed else []))
+    losers = (
+        with_winner(whole_spellings(df, cells)).filter("spelling <> winner").select("column", "spelling", "winner")
+    )
+    most = len(cells) * _LITERAL_SPELLINGS
+    few = losers.limit(most + 1).collect()
+    for cell in cells:
+        raw = quoted(cell.name)
+        running = df.withColumn("__bare", F.expr(strip(raw)))
+        if len(few) <= most:
+            lookup = {row.spelling: row.winner for row in few if row["column"] == cell.index}
+            if not lookup:
+                continue
+            to = f"try_element_at({mapping(lookup)}, __bare)"
+        else:
+            lookup = losers.filter(F.col("column") == cell.index).selectExpr("spelling AS __from", "winner AS __to")
+            lookup = F.broadcast(lookup) if lookup.count() <= rules.broadcast_rows else lookup
+            running, to = running.join(lookup, F.col("__bare") == F.col("__from"), "left"), "__to"
+        value = f"CASE WHEN __bare != '' THEN coalesce({to}, __bare) ELSE {raw} END AS {raw}"
+        kept = [value if name == cell.name else quoted(name) for name in df.columns]
+        flag = [f"{to} IS NOT NULL AS {flags[cell.name]}"] if cell.name in flags else []
+        df = running.selectExpr(*kept, *flag)
+    return df
 
 
 def _waves(repairs: Sequence[Repair]) -> list[list[Repair]]:
@@ -377,11 +405,11 @@ def _rewrite(
         names = [f"__changed_{repair.strategy}_{df.columns.index(repair.column)}" for repair in plain]
         if plain:
             running = repair_cells(running, plain, rules, names)
-        for repair in wave:
-            if repair.strategy == "canonicalize_case":
-                names.append(f"__changed_case_{df.columns.index(repair.column)}")
-                plain.append(repair)
-                running = canonicalize_case(running, repair, rules, names[-1])
+        cased = [repair for repair in wave if repair.strategy == "canonicalize_case"]
+        if cased:
+            more = [f"__changed_case_{df.columns.index(repair.column)}" for repair in cased]
+            running = canonicalize_case(running, cased, rules, more)
+            names, plain = names + more, plain + cased
         flags |= {name: (r.strategy, r.column) for name, r in zip(names, plain) if name in running.columns}
     if flags and affected is not None:
         totals = running.selectExpr(*[f"count_if(coalesce({name}, false)) AS {name}" for name in flags]).first()

@@ -21,26 +21,44 @@ def present_texts(df: DataFrame, cells: Sequence[Cell]) -> DataFrame:
     return with_facts(long_texts(df, cells), [cell]).filter(cell.present).select("column", cell.bare.alias("bare"))
 
 
-def spelling_counts(df: DataFrame, cells: Sequence[Cell]) -> DataFrame:
-    """``(column, folded, spelling, digest, n)`` for the present cells of many columns.
+def text_values(df: DataFrame, cells: Sequence[Cell]) -> DataFrame:
+    """``(column, long, text, n)``: raw values of many columns with their frequency.
+
+    Rules then run once per distinct value. Long texts, which seldom repeat, are not
+    grouped: of them only the number is given, under a null ``text``.
+    """
+    long = F.coalesce(F.octet_length("text") > LONG, F.lit(False))
+    return (
+        long_texts(df, cells)
+        .select("column", long.alias("long"), F.when(~long, F.col("text")).alias("text"))
+        .groupBy("column", "long", "text")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def spelling_counts(values: DataFrame, cells: Sequence[Cell]) -> DataFrame:
+    """``(column, folded, spelling, digest, n)`` for the present cells among ``(column, text, n)``.
 
     ``column`` is the cell's index. For a long text ``folded`` and ``digest`` are
     128-bit digests of the whole text and ``spelling`` its head; for any other
     ``digest`` is null and both are the text itself.
     """
-    bare, folded = F.col("bare"), F.col("folded")
+    cell = long_cell(cells)
+    bare, folded = cell.bare, F.col("folded")
     long = F.octet_length(folded) > LONG
     return (
-        present_texts(df, cells)
-        .withColumn("folded", F.expr(fold("bare")))
+        with_facts(values, [cell])
+        .filter(cell.present)
+        .withColumn("folded", F.expr(fold(cell.ref("bare"))))
         .select(
             "column",
             F.when(long, F.md5(folded)).otherwise(folded).alias("folded"),
             F.when(long, F.left(bare, F.lit(HEAD))).otherwise(bare).alias("spelling"),
             F.when(long, F.md5(bare)).alias("digest"),
+            "n",
         )
         .groupBy("column", "folded", "spelling", "digest")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
 
 
