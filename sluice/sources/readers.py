@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,24 +156,24 @@ def natively_typed(df: DataFrame) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Records of a JSON document (a list or an envelope) or of JSON lines, flattened."""
-    try:
-        df = spark.read.json(path, multiLine=not lines, mode="FAILFAST")
-        if not lines and _is_object(spark, path):
-            df = unwrap(df)
-        df = with_positions(flatten(df))
-    except PySparkException as error:
-        raise GateError(f"{path} is not a JSON list of records: {error.getCondition()}") from error
-    if not data_columns(df):
-        raise GateError(f"{path} holds no records")
-    return df
+    """Records of a JSON document (a list or an envelope) or of JSON lines, flattened.
 
-
-def _is_object(spark: SparkSession, path: str) -> bool:
-    """Whether the document is one object rather than a list."""
-    starts = spark.read.text(path, wholetext=True).select(F.left(F.ltrim(F.col("value")), F.lit(1)).alias("c"))
-    first = starts.first()
-    return first is not None and first.c == "{"
+    Columns come in the order of the first record, then any others.
+    """
+    df = _found(lambda: spark.read.json(path, multiLine=not lines, columnNameOfCorruptRecord=_MALFORMED), path)
+    if _MALFORMED in df.columns or not df.columns:
+        raise GateError(f"{path} is not JSON with records")
+    text = spark.read.text(path, wholetext=not lines).filter("trim(value) <> ''").limit(1)
+    first = "value"
+    if not lines:
+        first = "get_json_object(value, '$[0]')"
+        if text.select(F.left(F.ltrim("value"), F.lit(1)).alias("c")).first().c == "{":
+            first = f"get_json_object(value, '$.{envelope_key(df.schema)}[0]')"
+            df = unwrap(df)
+    keys = text.selectExpr(f"json_object_keys({first}) AS keys").first()["keys"] or []
+    ordered = [name for name in keys if name in df.columns]
+    ordered += [name for name in df.columns if name not in ordered]
+    return with_positions(flatten(df.select(*map(quoted, ordered))))
 
 
 def payload_files(spark: SparkSession, path: str) -> DataFrame:

