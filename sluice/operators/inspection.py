@@ -108,10 +108,11 @@ class Inspection:
         self.df = self._spread(df)
 
     def _spread(self, df: DataFrame) -> DataFrame:
-        """A table of fewer splits than cores, so a small one, is spread over them and cached."""
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= cores or not self.cells:
+        """A small table, often one split, is spread over the cores and cached; others are scanned."""
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        if not self.cells or int(str(size)) > self.rules.small_table_bytes:
             return df
+        cores = df.sparkSession.sparkContext.defaultParallelism
         by = [quoted(ORD)] if self.ordered else [quoted(c.name) for c in self.cells if c.kind != "nested"]
         return self._keep(df.repartition(cores, *by))
 

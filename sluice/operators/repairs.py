@@ -362,32 +362,39 @@ def apply(
     rules: Rules = DEFAULT_RULES,
     rows: int | None = None,
     count: bool = True,
+    write: bool = False,
 ) -> tuple[DataFrame, list[Repair]]:
     """The repaired table and the plan with ``applied`` and ``rows_affected`` filled in.
 
     Cell changes are flagged beside the rows and summed in one aggregate that reads
-    only the repaired columns; dropped rows are row counts before and after. ``rows``
-    is the size of ``df`` where it is known.
+    only the repaired columns; dropped rows are row counts of written tables. ``rows``
+    is the size of ``df`` where it is known; ``write`` asks for a written result.
     """
     rows = df.count() if rows is None else rows
     affected: dict[tuple[str, str | None], int] = {}
-    running, pending = df, []
+    running, pending, on_disk = df, [], False
     for repair in chosen(repairs, include_review):
         affected[repair.strategy, repair.column] = 0
         if repair.strategy not in ROW_REPAIRS:
             pending.append(repair)
             continue
-        running = _rewrite(running, pending, rules, affected if count else None)
-        if pending and include_review:
-            running = written(running, "cells")  # several row repairs will read these cells
-        pending = []
+        if pending:
+            running = _rewrite(running, pending, rules, affected if count else None)
+            if include_review:
+                running = written(running, "cells")  # several row repairs will read these cells
+            pending, on_disk = [], include_review
         smaller = ROW_REPAIRS[repair.strategy](running, repair, rules, rows)
-        if count and smaller is not running:
-            left = smaller.count()
-            affected[repair.strategy, repair.column] = rows - left
-            rows = left
-        running = smaller
-    running = _rewrite(running, pending, rules, affected if count else None)
+        if smaller is not running:
+            running, on_disk = smaller, False
+            if count or write:
+                running, on_disk = written(smaller, "rows"), True
+                left = running.count()
+                affected[repair.strategy, repair.column] = rows - left
+                rows = left
+    if pending:
+        running, on_disk = _rewrite(running, pending, rules, affected if count else None), False
+    if write and not on_disk:
+        running = written(running, "repaired")
     done = [
         replace(r, applied=(r.strategy, r.column) in affected, rows_affected=affected.get((r.strategy, r.column), 0))
         for r in repairs

@@ -110,28 +110,25 @@ def _first_of_group(df: DataFrame, group: Sequence[Column]) -> DataFrame:
 def drop_copies(df: DataFrame, rules: Rules = DEFAULT_RULES, rows: int | None = None) -> DataFrame:
     """Distinct rows, each at its first position.
 
-    Only fingerprints of the whole table are shuffled. Rows without a copy stay
-    where they are; rows that have one, picked out by a lookup of checked size,
-    are grouped by all their columns. A table known to be small is simply grouped.
+    Only an 8-byte hash of every row is shuffled. Rows whose hash does not repeat are
+    unique and stay where they are; the others, picked out by a lookup of checked
+    size, are grouped by all their columns, so a chance match costs nothing but work.
+    A table known to be small, or with very many copies, is simply grouped.
     """
+    names = data_columns(df)
     if rows is not None and rows <= rules.broadcast_rows:
-        return _distinct(df, data_columns(df))
-    cells = cells_of(df, rules=rules)
-    f1, f2 = fingerprint(cells)
-    marked = df.withColumns({"__f1": f1, "__f2": f2})
-    repeated = written(
-        marked.groupBy("__f1", "__f2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__f1", "__f2"),
-        "copies",
-    )
+        return _distinct(df, names)
+    marked = df.withColumn("__f1", fingerprint(cells_of(df, rules=rules))[0])
+    counts = marked.groupBy("__f1").agg(F.count(F.lit(1)).alias("n"))
+    repeated = written(counts.filter("n > 1").select("__f1"), "copies")
     size = repeated.count()
     if size == 0:
         return df
-    names = data_columns(df)
     if size > rules.broadcast_rows:
         return _distinct(df, names)
     lookup = F.broadcast(repeated)
-    alone = marked.join(lookup, ["__f1", "__f2"], "left_anti").select(*map(quoted, df.columns))
-    copies = marked.join(lookup, ["__f1", "__f2"], "left_semi").select(*map(quoted, df.columns))
+    alone = marked.join(lookup, "__f1", "left_anti").select(*map(quoted, df.columns))
+    copies = marked.join(lookup, "__f1", "left_semi").select(*map(quoted, df.columns))
     return alone.unionByName(_distinct(copies, names))
 
 

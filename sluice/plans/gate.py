@@ -19,6 +19,7 @@ from sluice.operators.repairs import Repair, apply, numbered, plan_auto, plan_re
 from sluice.operators.validation import Validation, score_of, validate
 from sluice.plans.store import Store, new_id, now
 from sluice.rules import DEFAULT_RULES, Rules
+from sluice.sources.positions import with_positions
 from sluice.sources.readers import Source, read, require_rows
 from sluice.sources.shape import renamed
 from sluice.workspace import written
@@ -66,8 +67,9 @@ def audit(df: DataFrame, rules: Rules = DEFAULT_RULES, detail: bool = True) -> A
         issues = detect(before, evidence=detail)
         planned = plan_auto(before, issues)
         rows_before = before.rows
-        repaired, applied = apply(before.df, planned, rules=rules, rows=before.rows, count=detail)
-        repaired = written(repaired, "repaired") if planned else df
+        repaired, applied = df, planned
+        if planned:
+            repaired, applied = apply(before.df, planned, rules=rules, rows=before.rows, count=detail, write=True)
     if planned:
         with Inspection(repaired, rules) as after:
             residual = detect(after, evidence=detail)
@@ -107,7 +109,7 @@ class Gate:
         self, df: DataFrame, source: Source, run_id: str | None = None, detail: bool = True
     ) -> Outcome:
         """The same for a DataFrame that is already there."""
-        df, run_id = renamed(require_rows(df)), run_id or new_id()
+        df, run_id = renamed(require_rows(_settled(df))), run_id or new_id()
         found = audit(df, self.rules, detail)
         outcome = Outcome(run_id, "fail", "rollback", audit=found, validation=found.validation)
         outcome.repairs, outcome.rows_after = found.repairs, found.rows_after
@@ -173,9 +175,8 @@ class Gate:
         plan = [Repair(**{name: row[name] for name in fields}) for row in rows]
         staged = self.store.staged(review_id)
         repaired, applied = apply(
-            staged, plan, include_review=True, rules=self.rules, rows=run.rows_before
+            staged, plan, include_review=True, rules=self.rules, rows=run.rows_before, write=True
         )
-        repaired = written(repaired, "approved")
         with Inspection(repaired, self.rules) as after:
             residual = detect(after)
             profile = profile_rows(after)
@@ -224,6 +225,13 @@ class Gate:
         return questions.preview(self.store.dataset(dataset_id), limit)
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """The result of a query that shuffles is written once, not computed anew for every measurement."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return with_positions(df) if ORD not in df.columns else written(df, "extract")
+    return df
+
+
 def _preview(df: DataFrame) -> list[dict[str, str]]:
     if ORD not in df.columns:
         df = df.limit(8)

@@ -32,8 +32,10 @@ class Rules:
     outlier_drop_fence: float = 1.5
     # Most rows one task is asked to rank when a quantile is settled exactly.
     quantile_rows_per_task: int = 50_000
-    # Largest lookup (in rows) that is ever broadcast; larger ones are shuffled.
-    broadcast_rows: int = 200_000
+    # Largest lookup (in rows of a key or two) that is ever broadcast; larger ones are shuffled.
+    broadcast_rows: int = 2_000_000
+    # Tables up to this size, as the optimizer estimates it, are cached while they are inspected.
+    small_table_bytes: int = 256 << 20
     # approximate distinct counts and quartiles instead of exact ones
     approximate: bool = False
 

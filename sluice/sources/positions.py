@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.errors import GateError
@@ -49,11 +49,11 @@ def with_positions(df: DataFrame, *order: Column | str) -> DataFrame:
         df = df.orderBy(*order)
     part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
     landed = written(df.withColumn("__id", F.monotonically_increasing_id()), "extract")
-    parts = landed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    sums = parts.withColumn(
-        "before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    )  # one row per written part
-    offsets = [(row.part, row.before or 0) for row in sums.collect()]
+    parts = landed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+    offsets, before = [], 0
+    for row in sorted(parts, key=lambda r: r.part):  # one row per written part
+        offsets.append((row.part, before))
+        before += row.n
     lookup = F.broadcast(df.sparkSession.createDataFrame(offsets, "__part bigint, __before bigint"))
     placed = landed.withColumn("__part", part).join(lookup, "__part", "left")
     return placed.withColumn(ORD, F.col("__before") + place).drop("__id", "__part", "__before")
