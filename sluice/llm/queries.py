@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import exact_dedup, mixing, packing, simhash, token_counts, token_files
+from sluice.llm import exact_dedup, line_runs, mixing, neighbours, packing, simhash, suffix_model, token_counts, token_files
 from sluice.llm.registry import query, table
 from sluice.workspace import workspace
 
@@ -41,12 +41,28 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@query("op6_collision_neighbours")
+def op6_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_runs.without_repeats(table(spark, sf_dir, "documents"), report=("n_lines", "n_removed"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
 @query("op8_exact_dedup", exact_dedup.SQL)
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_copies(spark, f"{sf_dir}/documents.parquet")
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+@query("op9_suffix_tree_scores")
+def op9_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_model.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op10_best_fit_packing")
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
