@@ -5,18 +5,48 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sluice.llm import packing
+from sluice.llm import line_runs, mixing, packing, quality, simhash
 from sluice.llm.queries import END_ID, TOKENIZER
 from sluice.workspace import workspace
 
 
+def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject as poor or toxic."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines go, and documents of which no word is left by that."""
+    had = docs.columns
+    left = line_runs.without_repeats(docs, report=("_lines", "_removed"))
+    emptied = (F.col("_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(mixing.WORD)
+    return left.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(had)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints: the one with the smallest id."""
+    return simhash.representatives(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.repeated(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 ids."""
     return packing.pack(docs, TOKENIZER, END_ID)
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("quality classifier", accept),
+    ("line dedup", drop_repeated_runs),
+    ("simhash near-dedup", drop_near_copies),
+    ("source mixing", mix_sources),
+    ("best-fit packing", pack),
+]
 
 #: The classifier, the components and the packing are iterative; see tests/llm.
 ORACLE_SQL = None

@@ -25,6 +25,8 @@ MOST = 3
 HASH_BITS = 60
 #: Hash bits that each round of histograms looks at: 4,096 buckets a source.
 STEP_BITS = 12
+#: Sources whose plan is broadcast; with more it is joined by shuffle.
+BROADCAST_SOURCES = 200_000
 
 
 def words(text: Column) -> Column:
@@ -86,11 +88,10 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return at.select("source", F.col("prefix").alias("edge"), (F.col("before") + F.col("size") / 2.0 <= F.col("budget")).alias("edge_taken"))
 
 
-def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
-    id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
-) -> DataFrame:
-    """id, source, size, source_size, target, copies (how often the mix takes the document) for every row."""
+def planned(
+    docs: DataFrame, weights: tuple[int, ...], most: int, id_column: str, text_column: str, source_column: str
+) -> tuple[DataFrame, DataFrame]:
+    """The size and hash of every row; for every source, plan_source, source_size, target, whole, edge, edge_taken."""
     rows = written(
         docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), words(F.col(text_column)).alias("size"), id_hash(F.col(id_column)).alias("h")),
         "sizes",
@@ -98,13 +99,38 @@ def mix(
     wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     whole = F.coalesce(F.least(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(most)), F.lit(0))
     wanted = written(wanted.withColumn("whole", whole.cast("long")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
-    edges = thresholds(rows, wanted.where("whole < %d" % most).select("source", "budget"))
-    plan = wanted.join(edges.withColumnRenamed("source", "edge_source"), F.col("source").eqNullSafe(F.col("edge_source")), "left").drop("edge_source")
-    plan = plan.withColumnRenamed("source", "plan_source")
-    more = (F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.col("edge_taken"))
+    edges = thresholds(rows, wanted.where(F.col("whole") < most).select("source", "budget"))
+    plan = wanted.join(edges.withColumnRenamed("source", "edge_source"), F.col("source").eqNullSafe(F.col("edge_source")), "left")
+    return rows, written(plan.drop("edge_source", "budget").withColumnRenamed("source", "plan_source"), "plan")
+
+
+def _copies(h: Column) -> Column:
+    more = (h < F.col("edge")) | ((h == F.col("edge")) & F.col("edge_taken"))
+    return F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")
+
+
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
+    id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+) -> DataFrame:
+    """id, source, size, source_size, target, copies (how often the mix takes the document) for every row."""
+    rows, plan = planned(docs, weights, most, id_column, text_column, source_column)
     taken = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
-    copies = F.col("whole") + F.coalesce(more, F.lit(False)).cast("long")
-    return taken.select("id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return taken.select("id", "source", "size", "source_size", "target", _copies(F.col("h")).alias("copies"))
+
+
+def repeated(
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
+    id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; no text is shuffled unless sources are very many."""
+    _, plan = planned(docs, weights, most, id_column, text_column, source_column)
+    plan = plan.select("plan_source", "whole", "edge", "edge_taken")
+    if plan.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
+    rows = docs.select(F.struct("*").alias("row"), F.col(source_column).alias("source"), id_hash(F.col(id_column)).alias("h"))
+    taken = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).withColumn("copies", _copies(F.col("h"))).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 SQL = """

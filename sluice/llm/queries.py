@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import exact_dedup, line_runs, mixing, neighbours, packing, simhash, suffix_model, token_counts, token_files
+from sluice.llm import exact_dedup, line_runs, mixing, neighbours, packing, quality, simhash, suffix_model, token_counts, token_files
 from sluice.llm.registry import query, table
 from sluice.workspace import workspace
 
@@ -34,6 +34,12 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(F.col("id").alias("doc_id"), "poor", "toxic", "rejected")
+
+
 @query("op5_simhash_near_dedup")
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_copies(table(spark, sf_dir, "documents"))

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.components import components
+from sluice.llm.line_runs import located
 from sluice.llm.registry import importable
 from sluice.workspace import written
 
@@ -143,3 +144,18 @@ def near_copies(
     lowest = of.groupBy("root").agg(F.min("least").alias("component"))
     found = of.select("fingerprint", "root").join(lowest, "root").select("fingerprint", "component")
     return rows.join(found, "fingerprint").select("id", "fingerprint", "component")
+
+
+def representatives(
+    docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, bucket: int = BUCKET, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component; of rows with one id, the first in file order.
+
+    Rows without an id stay unless their component has one with an id, or an earlier one without.
+    """
+    docs = located(docs)
+    place = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place")]
+    rows = docs.select(F.struct(F.col(id_column).isNull().alias("unnamed"), F.col(id_column).alias("id"), *place).alias("key"), F.col(text_column).alias("text"))
+    found = near_copies(rows, shingle, max_bits, bucket, "key", "text")
+    kept = written(found.where(F.col("id") == F.col("component")).select("id._file", "id._place"), "representatives")
+    return docs.select("*", *place).join(kept, ["_file", "_place"], "left_semi").select(docs.columns)
