@@ -153,10 +153,10 @@ def without_repeats(
     """
     docs = located(docs)
     runs = written(repeated_runs(docs, min_words, id_column, text_column), "runs")
-    rows = docs.select("*", *_key()).join(runs, ["_file", "_place"], "left")
-    lines, found = F.split(F.col(text_column).cast("string"), "\n", -1), F.col("runs")
-    text = F.when(found.isNull(), F.col(text_column)).otherwise(F.array_join(_without(lines, found), "\n"))
-    columns = [text.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct("*").alias("row"), *_key()).join(runs, ["_file", "_place"], "left")
+    lines, found = F.split(F.col("row")[text_column].cast("string"), "\n", -1), F.col("runs")
+    text = F.when(found.isNull(), F.col("row")[text_column]).otherwise(F.array_join(_without(lines, found), "\n"))
+    columns = [(text if c == text_column else F.col("row")[c]).alias(c) for c in docs.columns]
     if report:
         removed = F.aggregate(F.coalesce(found, F.array().cast("array<struct<first:int,last:int>>")), F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
         columns += [F.coalesce(F.size(lines), F.lit(0)).alias(report[0]), removed.alias(report[1])]

@@ -158,4 +158,4 @@ def representatives(
     rows = docs.select(F.struct(F.col(id_column).isNull().alias("unnamed"), F.col(id_column).alias("id"), *place).alias("key"), F.col(text_column).alias("text"))
     found = near_copies(rows, shingle, max_bits, bucket, "key", "text")
     kept = written(found.where(F.col("id") == F.col("component")).select("id._file", "id._place"), "representatives")
-    return docs.select("*", *place).join(kept, ["_file", "_place"], "left_semi").select(docs.columns)
+    return docs.select(F.struct("*").alias("row"), *place).join(kept, ["_file", "_place"], "left_semi").select("row.*")
