@@ -2,6 +2,7 @@
 
 from queries import (  # noqa: F401
     ask_queries,
+    edge_queries,
     gate_queries,
     issue_queries,
     profile_queries,

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
+from typing import Literal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.errors import GateError
 from sluice.functions.cells import ORD, data_columns, parse_number, strip
@@ -30,9 +34,7 @@ def _known(name: str, df: DataFrame) -> str:
 
 def _numeric_types(df: DataFrame, schema: Schema | None) -> dict[str, bool]:
     if schema is None:
-        from pyspark.sql.types import NumericType
-
-        return {f.name: isinstance(f.dataType, NumericType) for f in df.schema.fields}
+        return {f.name: isinstance(f.dataType, T.NumericType) for f in df.schema.fields}
     return {column["name"]: column["inferred_type"] in ("integer", "float") for column in schema}
 
 
@@ -40,12 +42,31 @@ def where_equals(df: DataFrame, column: str, value: object, schema: Schema | Non
     """Rows whose cell equals ``value``: as a number where both are, else as caseless text."""
     cell = F.col(quoted(_known(column, df)))
     if _numeric_types(df, schema).get(column):
+        if (whole := _as_whole(value)) is not None:
+            return df.filter(cell == _literal(whole, df.schema[column].dataType))
         number = _as_number(value, df)
         if number is not None:
             return df.filter(cell == F.lit(number))
     return df.filter(F.lower(cell.cast("string")) == F.lit(str(value).lower()))
 
 
+def _as_whole(value: object) -> int | None:
+    """A whole number as it is written, with all its digits."""
+    if isinstance(value, bool):
+        return None
+    if isinstance(value, int):
+        return value
+    return int(value) if isinstance(value, str) and re.fullmatch(r" *[-+]?[0-9]+ *", value) else None
+
+
+def _literal(whole: int, dtype: T.DataType) -> Column:
+    """The number in the column's own type where it fits, so that the filter reaches the scan."""
+    bits = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}.get(type(dtype))
+    if bits and -(1 << bits - 1) <= whole < 1 << bits - 1:
+        return F.lit(whole).cast(dtype)
+    return F.lit(Decimal(whole)) if abs(whole) < 10**38 else F.lit(float(whole))
+
+
 def _as_number(value: object, df: DataFrame) -> float | None:
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         return value
@@ -71,7 +92,7 @@ def ask(
     measure: str | None = None,
     group: str | None = None,
     where: tuple[str, object] | None = None,
-    limit: int | None = None,
+    limit: int | Literal["all"] | None = None,
     schema: Schema | None = None,
     tie_break: Sequence[str] = (),
 ) -> DataFrame:
@@ -79,6 +100,7 @@ def ask(
 
     Without ``agg`` a group is counted. Ties in a ranking go to the group, or to
     ``tie_break`` and the row position, so that an answer is the same every time.
+    ``limit`` is 100 groups, 5 top rows or 50 shown rows unless told otherwise; "all" sets none.
     """
     if agg is None:
         if group is None:
@@ -87,33 +109,38 @@ def ask(
     if where is not None:
         df = where_equals(df, *where, schema=schema)
     if agg == "count":
-        return _grouped(df, group, F.count(F.lit(1)), "count")
+        return _grouped(df, group, F.count(F.lit(1)), "count", limit)
     if agg in METRICS:
         if measure is None and schema is not None:
             measure = default_measure(df, schema)
         if measure is None:
             raise GateError(f"say which column to aggregate; there are {', '.join(data_columns(df))}")
         word, function = METRICS[agg]
-        return _grouped(df, group, function(quoted(_known(measure, df))), f"{word}_{measure}")
+        return _grouped(df, group, function(quoted(_known(measure, df))), f"{word}_{measure}", limit)
     columns = [quoted(name) for name in data_columns(df)]
     position = [F.col(ORD)] if ORD in df.columns else []
     if agg == "top":
         if measure is None:
             raise GateError("say which column to rank")
         order = [F.col(quoted(_known(measure, df))).desc_nulls_last(), *map(quoted, tie_break), *position]
-        return df.orderBy(*order).limit(limit or TOP_LIMIT).select(*columns)
+        return df.orderBy(*order).transform(_first, limit, TOP_LIMIT).select(*columns)
     if agg == "show":
         ordered = df.orderBy(*map(quoted, tie_break), *position) if tie_break or position else df
-        return ordered.limit(limit or SHOW_LIMIT).select(*columns)
+        return ordered.transform(_first, limit, SHOW_LIMIT).select(*columns)
     raise GateError(f"unknown question {agg!r}")
 
 
-def _grouped(df: DataFrame, group: str | None, metric: Column, name: str) -> DataFrame:
+def _first(df: DataFrame, limit: int | str | None, default: int) -> DataFrame:
+    return df if limit == "all" else df.limit(limit or default)
+
+
+def _grouped(df: DataFrame, group: str | None, metric: Column, name: str, limit: int | str | None) -> DataFrame:
     if group is None:
         return df.agg(metric.alias(name))
     by = quoted(_known(group, df))
     answer = df.groupBy(by).agg(metric.alias(name))
-    return answer.orderBy(F.col(quoted(name)).desc_nulls_last(), F.col(by).asc_nulls_last()).limit(GROUP_LIMIT)
+    ordered = answer.orderBy(F.col(quoted(name)).desc_nulls_last(), F.col(by).asc_nulls_last())
+    return _first(ordered, limit, GROUP_LIMIT)
 
 
 def preview(df: DataFrame, limit: int = 20) -> DataFrame:

@@ -100,8 +100,10 @@ def _number_aggregates(x: str) -> dict[str, str]:
 class Inspection:
     """Measurements, inferred types and roles of one DataFrame."""
 
-    def __init__(self, df: DataFrame, rules: Rules = DEFAULT_RULES):
+    def __init__(self, df: DataFrame, rules: Rules = DEFAULT_RULES, extent: int | None = None):
+        """``extent``: how far positions reach, where rows were dropped since they were given."""
         self.rules = rules
+        self._extent = extent
         self.cells = cells_of(df, rules=rules)
         self.ordered = ORD in df.columns
         self._kept: list[DataFrame] = []
@@ -229,6 +231,10 @@ class Inspection:
     def rows(self) -> int:
         return next(iter(self.counts.values())).rows if self.cells else self.df.count()
 
+    @property
+    def extent(self) -> int:
+        return self.rows if self._extent is None else self._extent
+
     # -- value counts -----------------------------------------------------------------
     @cached_property
     def worded(self) -> list[Cell]:
@@ -269,15 +275,17 @@ class Inspection:
         structs = []
         for cell in cells:
             whole = cell.dtype.typeName() in ("byte", "short", "integer", "long")
+            exact = cell.dtype.typeName() == "decimal"
             value = f"CASE WHEN NOT __blank_{cell.index} THEN {quoted(cell.name)} END"
-            long = value if whole else "NULL"
-            other = "NULL" if whole else value
-            structs.append(f"struct({cell.index} AS column, CAST({long} AS BIGINT) AS l, CAST({other} AS DOUBLE) AS d)")
+            long, decimal = value if whole else "NULL", value if exact else "NULL"
+            other = "NULL" if whole or exact else value
+            fields = f"CAST({long} AS BIGINT) AS l, CAST({other} AS DOUBLE) AS d, CAST({decimal} AS STRING) AS e"
+            structs.append(f"struct({cell.index} AS column, {fields})")
         rows_ = (
             self.facts(cells)
             .selectExpr(f"explode(array({', '.join(structs)})) AS v")
             .selectExpr("v.*")
-            .filter("l IS NOT NULL OR d IS NOT NULL")
+            .filter("l IS NOT NULL OR d IS NOT NULL OR e IS NOT NULL")
             .distinct()
             .groupBy("column")
             .agg(F.count(F.lit(1)).alias("n"))
@@ -360,11 +368,9 @@ class Inspection:
         found = {c.name: self.distinct_numbers[c.name] for c in self.numeric if c.kind == "number"}
         texts = [cell for cell in self.numeric if cell.kind != "number"]
         if texts:
-            from_words = self.tokens.select("column", F.col("spelling").alias("s")).filter(
-                F.col("column").isin([cell.index for cell in texts]) & F.col("digest").isNull()
-            )
-            parsed = from_words.select("column", F.expr(parse_number("s")).alias("x")).filter("x IS NOT NULL")
-            sizes = parsed.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
+            one = long_cell(texts)
+            parsed = with_facts(self.texts(texts), [one]).select("column", F.expr(one.number_sql).alias("x"))
+            sizes = parsed.filter("x IS NOT NULL").distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
             by_index = {row["column"]: row["n"] for row in sizes}
             found |= {cell.name: by_index.get(cell.index, 0) for cell in texts}
         return found

@@ -195,6 +195,8 @@ def flagged_rows(inspection: Inspection, issues: Sequence[Issue]) -> DataFrame:
             flags[label] = (flag_sql(inspection, cell, issue.issue_type), cell.text_sql)
     if flags:
         frames.append(rows.mark(inspection.facts([inspection.cell(issues[i].column) for i in flags]), flags))
+    if not frames:
+        return inspection.df.sparkSession.createDataFrame([], f"label int, {ORD} bigint, value string")
     whole = frames[0]
     for frame in frames[1:]:
         whole = whole.unionByName(frame)
@@ -227,9 +229,9 @@ def _misspelled(inspection: Inspection, cell: Cell, label: int) -> DataFrame:
 
 def _add_positions(inspection: Inspection, issues: Sequence[Issue]) -> None:
     marked = flagged_rows(inspection, issues)
-    for label, tail in rows.tail_ratios(marked, inspection.rows).items():
+    for label, tail in rows.tail_ratios(marked, inspection.extent).items():
         issues[label].evidence["tail_ratio"] = tail
-    first = rows.first_rows(marked, POSITIONS, inspection.rows).collect()
+    first = rows.first_rows(marked, POSITIONS, inspection.extent).collect()
     for row in sorted(first, key=lambda r: (r.label, r.place)):
         issue = issues[row.label]
         issue.positions.append(row[ORD])

@@ -63,7 +63,7 @@ def examples(inspection: Inspection, limit: int = 3) -> dict[str, list[str]]:
     cell = long_cell(inspection.cells)
     long = with_facts(long_texts(inspection.df, inspection.cells, [F.col(ORD)]), [cell]).filter(cell.present)
     marked = long.select(F.col("column").alias("label"), ORD, F.left(cell.text, F.lit(80)).alias("value"))
-    first = rows.first_rows(marked, limit, inspection.rows).collect()
+    first = rows.first_rows(marked, limit, inspection.extent).collect()
     found: dict[str, list[str]] = {cell.name: [] for cell in inspection.cells}
     for row in sorted(first, key=lambda r: (r.label, r.place)):
         found[inspection.cells[row.label].name].append(row.value)

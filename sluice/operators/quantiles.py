@@ -71,7 +71,7 @@ def _in_play(df: DataFrame, numbers: Mapping[str, Numbers], brackets: Sequence[l
         labels, blocks = [], []
         for label, bracket in members:
             inside = f"WHEN {x} BETWEEN {double(bracket.low)} AND {double(bracket.high)} THEN"
-            width = bracket.high / _BLOCKS - bracket.low / _BLOCKS
+            width = max(bracket.high / _BLOCKS - bracket.low / _BLOCKS, math.ulp(0.0))  # tiny ranges have few values
             labels.append(f"{inside} {label}")
             offset = f"floor(({x} - {double(bracket.low)}) / {double(width)})"
             blocks.append(f"{inside} CAST(least({offset}, {_BLOCKS - 1}) AS INT)")

@@ -77,10 +77,10 @@ def top_values(
 ) -> DataFrame:
     """``(column, place, value, n)``: most frequent values, ties in code-point order.
 
-    The head orders long texts; where that leaves a tie open, every tied text is
-    fetched by its digest and the whole texts decide.
+    All texts are ordered by a head of one length first; where that leaves a tie open,
+    every tied long text is fetched by its digest and the whole texts decide.
     """
-    by_count = Window.partitionBy("column").orderBy(F.desc("n"), "spelling")
+    by_count = Window.partitionBy("column").orderBy(F.desc("n"), F.left("spelling", F.lit(HEAD)))
     near = counts.withColumn("place", F.rank().over(by_count)).filter(F.col("place") <= limit)
     near = near.select("column", F.col("spelling").alias("value"), "digest", "n")
     long = near.filter("digest IS NOT NULL")

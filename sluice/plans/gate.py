@@ -22,7 +22,6 @@ from sluice.rules import DEFAULT_RULES, Rules
 from sluice.sources.positions import with_positions
 from sluice.sources.readers import Source, read, require_rows
 from sluice.sources.shape import renamed
-from sluice.workspace import written
 
 
 @dataclass
@@ -71,7 +70,7 @@ def audit(df: DataFrame, rules: Rules = DEFAULT_RULES, detail: bool = True) -> A
         if planned:
             repaired, applied = apply(before.df, planned, rules=rules, rows=before.rows, count=detail, write=True)
     if planned:
-        with Inspection(repaired, rules) as after:
+        with Inspection(repaired, rules, extent=rows_before) as after:
             residual = detect(after, evidence=detail)
             review = plan_review(after, residual)
             rows_after, schema = after.rows, after.schema
@@ -109,7 +108,7 @@ class Gate:
         self, df: DataFrame, source: Source, run_id: str | None = None, detail: bool = True
     ) -> Outcome:
         """The same for a DataFrame that is already there."""
-        df, run_id = renamed(require_rows(_settled(df))), run_id or new_id()
+        df, run_id = renamed(require_rows(with_positions(df))), run_id or new_id()
         found = audit(df, self.rules, detail)
         outcome = Outcome(run_id, "fail", "rollback", audit=found, validation=found.validation)
         outcome.repairs, outcome.rows_after = found.repairs, found.rows_after
@@ -137,13 +136,13 @@ class Gate:
     def _record(self, df: DataFrame, source: Source, found: Audit, outcome: Outcome, parent: str | None = None) -> None:
         run_id = outcome.run_id
         tag = {"run_id": run_id}
-        self.store.append("profiles", [tag | row for row in found.profile])
+        self.store.record("profiles", run_id, [tag | row for row in found.profile])
         stages = [("before", found.issues), ("after", found.residual)]
-        self.store.append(
-            "issues", [tag | {"stage": stage} | row for stage, rows in stages for row in issue_rows(rows)]
+        self.store.record(
+            "issues", run_id, [tag | {"stage": stage} | row for stage, rows in stages for row in issue_rows(rows)]
         )
-        self.store.append("causes", [tag | asdict(cause) for cause in found.causes])
-        self.store.append("repairs", [tag | row for row in repair_rows(found.repairs)])
+        self.store.record("causes", run_id, [tag | asdict(cause) for cause in found.causes])
+        self.store.record("repairs", run_id, [tag | row for row in repair_rows(found.repairs)])
         run = {
             "run_id": run_id,
             "parent_run_id": parent,
@@ -163,7 +162,7 @@ class Gate:
             "preview_after": _preview(found.repaired),
             "created_at": now(),
         }
-        self.store.append("runs", [run])  # last: a run is listed once all about it is there
+        self.store.record("runs", run_id, [run])  # last: a run is listed once all about it is there
 
     # -- reviews --------------------------------------------------------------------------
     def approve(self, review_id: str) -> Outcome:
@@ -177,7 +176,7 @@ class Gate:
         repaired, applied = apply(
             staged, plan, include_review=True, rules=self.rules, rows=run.rows_before, write=True
         )
-        with Inspection(repaired, self.rules) as after:
+        with Inspection(repaired, self.rules, extent=run.rows_before) as after:
             residual = detect(after)
             profile = profile_rows(after)
             rows_after, schema = after.rows, after.schema
@@ -225,14 +224,9 @@ class Gate:
         return questions.preview(self.store.dataset(dataset_id), limit)
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """The result of a query that shuffles is written once, not computed anew for every measurement."""
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return with_positions(df) if ORD not in df.columns else written(df, "extract")
-    return df
-
-
-def _preview(df: DataFrame) -> list[dict[str, str]]:
-    if ORD not in df.columns:
-        df = df.limit(8)
-    return [row.asDict() for row in questions.short_preview(df).collect()]
+def _preview(df: DataFrame, size: int = 8, near: int = 1000) -> list[dict[str, str]]:
+    """The first rows; looked for among the first positions before all rows are ordered."""
+    found = questions.short_preview(df.filter(F.col(ORD) < near), size).collect()
+    if len(found) < size:
+        found = questions.short_preview(df, size).collect()
+    return [row.asDict() for row in found]

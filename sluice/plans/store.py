@@ -59,16 +59,18 @@ class Store:
     def records(self, kind: str) -> DataFrame:
         """All records of a kind so far."""
         try:
-            return self.spark.read.schema(SCHEMAS[kind]).parquet(f"{self.root}/records/{kind}")
+            reader = self.spark.read.schema(SCHEMAS[kind]).option("recursiveFileLookup", True)
+            return reader.parquet(f"{self.root}/records/{kind}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], SCHEMAS[kind])
 
-    def append(self, kind: str, rows: Sequence[dict]) -> None:
+    def record(self, kind: str, key: str, rows: Sequence[dict]) -> None:
+        """Records under a key of their own: a run that is repeated replaces what it said before."""
         if rows:
             df = self.spark.createDataFrame(list(rows), SCHEMAS[kind])
-            df.coalesce(1).write.mode("append").parquet(f"{self.root}/records/{kind}")
+            df.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/records/{kind}/{key}")
 
     # -- published tables -----------------------------------------------------------------
     def publish(self, df: DataFrame, facts: dict) -> str:
@@ -80,7 +82,7 @@ class Store:
         rows = df.select(*map(quoted, data_columns(df)), *([ORD] if ORD in df.columns else []))
         rows.write.mode("overwrite").parquet(path)  # no record points here yet
         record = facts | {"id": dataset_id, "path": path, "created_at": now()}
-        self.append("datasets", [record])
+        self.record("datasets", dataset_id, [record])
         return dataset_id
 
     def dataset(self, dataset_id: str) -> DataFrame:
@@ -99,6 +101,8 @@ class Store:
     def hold(self, df: DataFrame, run_id: str) -> str:
         """The extract as it came, for a person to decide on."""
         review_id = f"r{run_id}"
+        if not self.records("review_events").filter(F.col("id") == review_id).isEmpty():
+            return review_id  # held before, and perhaps decided since
         path = f"{self.root}/staging/{review_id}"
         df.write.mode("overwrite").parquet(path)
         self._event(review_id, run_id, "pending", path)
@@ -106,7 +110,7 @@ class Store:
 
     def _event(self, review_id: str, run_id: str, status: str, path: str, dataset_id: str | None = None) -> None:
         event = {"id": review_id, "run_id": run_id, "status": status, "staged_path": path}
-        self.append("review_events", [event | {"dataset_id": dataset_id, "created_at": now()}])
+        self.record("review_events", f"{review_id}-{status}", [event | {"dataset_id": dataset_id, "created_at": now()}])
 
     def review(self, review_id: str):
         """Latest event of a review, which must be pending."""

@@ -41,7 +41,8 @@ def with_positions(df: DataFrame, *order: Column | str) -> DataFrame:
     """Any table, written once with ``_ord``: in the given order, else as it comes.
 
     The written copy fixes which row got which number; positions follow from it and
-    the row count of each written part, so no task ever sees more than its part.
+    the row count of each written part, so no task ever sees more than its part. A
+    table that has positions already is left as it is.
     """
     if ORD in df.columns:
         return df
@@ -57,3 +58,21 @@ def with_positions(df: DataFrame, *order: Column | str) -> DataFrame:
     lookup = F.broadcast(df.sparkSession.createDataFrame(offsets, "__part bigint, __before bigint"))
     placed = landed.withColumn("__part", part).join(lookup, "__part", "left")
     return placed.withColumn(ORD, F.col("__before") + place).drop("__id", "__part", "__before")
+
+
+def with_file_positions(df: DataFrame) -> DataFrame:
+    """Rows just read from text files, written once with ``_ord``: files in path order, rows in file order.
+
+    A reader takes each split of a file in one go, so the rows of a split have consecutive numbers
+    in the written copy, and only the first number and the size of each split have to be known.
+    """
+    split = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")]
+    landed = written(df.select("*", *split, F.monotonically_increasing_id().alias("__id")), "extract")
+    splits = landed.groupBy("__file", "__start").agg(F.count(F.lit(1)).alias("n"), F.min("__id").alias("__first"))
+    offsets, before = [], 0
+    for row in splits.orderBy("__file", "__start").collect():  # one row per split
+        offsets.append((row["__file"], row["__start"], before - row["__first"]))
+        before += row.n
+    lookup = F.broadcast(df.sparkSession.createDataFrame(offsets, "__file string, __start bigint, __shift bigint"))
+    placed = landed.join(lookup, ["__file", "__start"], "left")
+    return placed.withColumn(ORD, F.col("__id") + F.col("__shift")).drop("__file", "__start", "__id", "__shift")

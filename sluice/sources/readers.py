@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from sluice.errors import GateError
 from sluice.functions.cells import data_columns, quoted
 from sluice.functions.names import safe_name
-from sluice.sources.positions import parquet_with_positions, with_positions
+from sluice.sources.positions import parquet_with_positions, with_file_positions, with_positions
 from sluice.sources.shape import envelope_key, flatten, unwrap
 
 _MALFORMED = "__malformed"
@@ -89,7 +89,8 @@ def _header(names: list[str | None]) -> list[str]:
 def read_csv(spark: SparkSession, path: str, multiline: bool = True, typed: bool = True, **options: str) -> DataFrame:
     """CSV with a header, as text; columns that are wholly numbers or booleans get that type.
 
-    Empty cells are null, short rows are padded and longer rows are refused. Turn
+    Empty cells are null, short rows are padded and longer rows are refused, and so are
+    files of a folder whose headers differ. Rows come in order of file and place. Turn
     ``multiline`` off when no cell holds a line break: only then can one file be split.
     """
     reader = spark.read.options(quote='"', escape='"', multiLine=multiline, encoding="UTF-8", **options)
@@ -98,12 +99,20 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = True, typed: bool
         raise GateError(f"{path} is empty")
     names = _header(list(first[0]))
     schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, _MALFORMED]])
+    as_written = names == list(first[0])  # else the header cannot be compared with the schema
     rows = (
-        reader.options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_MALFORMED, enforceSchema=True)
+        reader.options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_MALFORMED, enforceSchema=not as_written)
         .schema(schema)
         .csv(path)
     )
-    landed = with_positions(rows)
+    if not as_written and len(rows.inputFiles()) > 1:
+        raise GateError(f"{path} has several files, and headers with empty or repeated names")
+    try:
+        landed = with_file_positions(rows)
+    except Exception as error:
+        if "CSV header does not conform" in str(error):
+            raise GateError(f"{path} has files with different headers") from error
+        raise
     _refuse_long_rows(landed, len(names), path)
     landed = landed.drop(_MALFORMED)
     return natively_typed(landed) if typed else landed

@@ -14,12 +14,14 @@ from sluice.sources.readers import Source
 def gate_stream(stream: DataFrame, gate: Gate, name: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Publish or hold every micro-batch.
 
-    The run id comes from the batch id, and a batch whose run is already recorded is
-    skipped, so one that is replayed after a failure is neither lost nor doubled.
+    The run id comes from the stream's own id, which its checkpoint keeps, and the batch
+    id. A batch whose run is already recorded is skipped, so one that is replayed after a
+    failure is neither lost nor doubled, and another stream of the same name is another.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
-        run_id = f"{name}-{batch_id:09d}"
+        stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        run_id = f"{name}-{stream_id}-{batch_id:09d}"
         done = gate.store.records("runs").filter(F.col("run_id") == run_id)
         if done.isEmpty() and not batch.isEmpty():
             gate.run_table(with_positions(batch), Source("stream", checkpoint, name=name), run_id)
