@@ -2,8 +2,8 @@
 
 Each round moves every node's larger neighbours, then its smaller ones, to the smallest node it
 knows, so chains shorten by a factor and rounds grow with the logarithm of the longest chain.
-Nodes are never gathered: a round is an aggregate and a join, and a node with very many links is
-split by the join. Each round is written, so that a lost executor costs one round at most.
+Nodes are never gathered: a round is an aggregate, written, and a join with it, which Spark can
+split at a node with very many links. Each round is written, so a lost executor costs one at most.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ from sluice.workspace import written
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("n"), F.least("u", "least").alias("least"))
+    least = written(least, "least")
     return both.join(least, F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Links go from the larger to the smaller node."""
-    least = links.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("n"), "least")
+    least = written(links.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("n"), "least"), "least")
     moved = links.join(least, F.col("u") == F.col("n")).where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v"))
     return moved.union(least.select(F.col("n").alias("u"), F.col("least").alias("v"))).distinct()
 
@@ -38,4 +39,4 @@ def components(links: DataFrame) -> DataFrame:
         if not state[0] or state == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = state
-        links = written(_small_star(_large_star(links)), "links")
+        links = written(_small_star(written(_large_star(links), "links")), "links")

@@ -128,6 +128,7 @@ def exact_copies(
     gone = strangers.groupBy("digest").agg(F.count(F.lit(1)).alias("strangers"))
 
     sizes = states.join(gone, "digest", "left").select("digest", "keep", (F.col("n") - F.coalesce("strangers", F.lit(0))).alias("n"))
+    sizes = written(sizes, "sizes")  # so that the next join can be split at a hot digest
     rows = docs.select("digest", *_LOCATOR).join(sizes, "digest").join(own, ["file", "place"], "left")
     keep = F.coalesce("own_keep", "keep")
     return rows.select(

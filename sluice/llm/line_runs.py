@@ -16,7 +16,8 @@ any shorter extension, so only the first one stays behind to be compared with th
 Runs of ``min_words`` words or more are removed wherever an earlier copy exists; "earlier" is by
 document id, then place in the document, so the first copy of a passage always stays. Only numbers
 move between tasks: a group of places is aggregated and joined with its first place, never
-gathered. Each round is written, so a lost executor costs one round.
+gathered. Aggregates are written before they are joined, so that Spark can split the join at a hot
+group, and each round is written, so a lost executor costs one round.
 
 Null text stays null and has no lines. Null ids come first; rows with equal ids are ordered by their place in the
 files. Blank lines are lines of no words. A text that loses all its lines is empty. An empty table
@@ -90,19 +91,19 @@ def _longest_earlier(levels: list[DataFrame]) -> DataFrame:
         if k + 1 < len(levels):
             root = level.join(levels[k + 1].where(_later(levels[k + 1])).select(*_PLACE), _PLACE, "left_anti")
         shared = root.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-        root = root.join(shared, "name")
+        root = root.join(written(shared, "shared"), "name")
         moved = root.select(*_PLACE, F.col("first_d").alias("node_d"), F.col("first_line").alias("node_line"), F.lit(1 << k).alias("off"))
         if members is not None:
             window = level.select("d", F.col("line").alias("at"), "name")
             named = written(members.withColumn("at", F.col("line") + F.col("off")).join(window, ["d", "at"], "left").drop("at"), "named")
             first = F.min(F.struct(*_PLACE)).alias("first")
             splits = named.where("name is not null").groupBy(*node, "name").agg(F.count(F.lit(1)).alias("n"), first).where("n > 1")
-            split = named.join(splits.select(*node, "name", F.col("first.d").alias("first_d"), F.col("first.line").alias("first_line")), [*node, "name"], "left")
-            split = written(split, "split")
+            splits = written(splits.select(*node, "name", F.col("first.d").alias("first_d"), F.col("first.line").alias("first_line")), "splits")
+            split = written(named.join(splits, [*node, "name"], "left"), "split")
             on = split.where("first_d is not null").select(*_PLACE, F.col("first_d").alias("node_d"), F.col("first_line").alias("node_line"), (F.col("off") + (1 << k)).alias("off"))
             behind = split.where(F.col("first_d").isNull() | ~_later(split)).select(*_PLACE, *node)
             company = behind.groupBy(*node).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*node)
-            moved = moved.unionByName(on).unionByName(behind.join(company, node))
+            moved = moved.unionByName(on).unionByName(behind.join(written(company, "company"), node))
         members = written(moved, "members")
         new = members.where((F.col("d") != F.col("node_d")) | (F.col("line") != F.col("node_line")))
         found.append(new.select(*_PLACE, F.col("off").alias("length")))

@@ -113,7 +113,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) ->
     masks = _segments(2 * max_bits + 1)
     keys = F.explode(F.array(*[F.struct(F.lit(k).alias("start"), F.col("fingerprint").bitwiseAND(F.lit(_chain(masks, k, 2))).alias("bits")) for k in range(len(masks))]))
     keyed = written(prints.select("fingerprint", keys.alias("key")).select("fingerprint", "key.*"), "keys")
-    sizes = keyed.groupBy("start", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = written(keyed.groupBy("start", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     keyed = written(keyed.join(sizes, ["start", "bits"]), "shared-keys")
     small = keyed.where(F.col("n") <= bucket)
     a, b = small.select("start", "bits", F.col("fingerprint").alias("a")), small.select("start", "bits", F.col("fingerprint").alias("b"))
