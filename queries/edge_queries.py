@@ -206,3 +206,16 @@ def json_document(spark, sf_dir):
     whole = records.agg(F.to_json(F.struct(F.lit(200).alias("status"), F.sort_array(F.collect_list("x")).alias("items"))).alias("value"))
     whole.coalesce(1).write.text(path)
     return read_json(spark, path).drop("_ord")
+
+
+@query(
+    "S10_stored_columns",
+    """SELECT * FROM (VALUES ('order_key', 'Order Key', 'bigint', true), ('o_totalprice', 'o_totalprice', 'double', false))
+    AS t(name, original_name, source_type, renamed)""",
+)
+def stored_columns(spark, sf_dir):
+    """Original names and types stay with the run."""
+    gate = _gate(spark)
+    df = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS `Order Key`", "o_totalprice")
+    gate.run_table(df, Source("sql", name="orders"), "r1", detail=False)
+    return gate.store.records("columns").select("name", "original_name", "source_type", "renamed")

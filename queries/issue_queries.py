@@ -49,8 +49,8 @@ def _register_cell_detectors() -> None:
         )
 
         def flagged(spark, sf_dir, issue_type=issue_type, columns=columns):
-            inspection = Inspection(lens(spark, sf_dir).select(ORD, *columns))
-            return violations(inspection, [issue_type], columns, keep=[ORD])
+            with Inspection(lens(spark, sf_dir).select(ORD, *columns)) as inspection:
+                return violations(inspection, [issue_type], columns, keep=[ORD])
 
         query(f"{number}_{issue_type}", f"{LENS} {sql}")(flagged)
 
@@ -97,12 +97,12 @@ def outlier_sql(column: str, source: str, keep: str) -> str:
 
 
 def _outliers(df, column, keep):
-    inspection = Inspection(df.select(keep, column))
-    cell = inspection.cell(column)
-    median = abs(inspection.quartiles[column][1])
-    unit = F.abs(F.col(column)) > max(20 * median, 1) if median else F.lit(False)
-    flagged = inspection.facts([cell]).filter(inspection.outlier_sql(cell))
-    return flagged.select(keep, cell.raw.alias("value"), unit.alias("unit_scale"))
+    with Inspection(df.select(keep, column)) as inspection:
+        cell = inspection.cell(column)
+        median = abs(inspection.quartiles[column][1])
+        unit = F.abs(F.col(column)) > max(20 * median, 1) if median else F.lit(False)
+        flagged = inspection.facts([cell]).filter(inspection.outlier_sql(cell))
+        return flagged.select(keep, cell.raw.alias("value"), unit.alias("unit_scale"))
 
 
 @query("Q07_outliers_events", outlier_sql("value", "events", "event_id"))
@@ -123,10 +123,10 @@ _CATEGORY_SQL = f"""{LENS}, m_status AS ({case_map_sql('status')}), m_country AS
 
 @query("Q11_inconsistent_categories", _CATEGORY_SQL)
 def inconsistent(spark, sf_dir):
-    inspection = Inspection(lens(spark, sf_dir).select(ORD, "status", "country"))
-    issues = [i for i in detect(inspection, evidence=False) if i.issue_type == "inconsistent_categories"]
-    names = F.expr("CASE label " + " ".join(f"WHEN {n} THEN '{i.column}'" for n, i in enumerate(issues)) + " END")
-    return flagged_rows(inspection, issues).select(ORD, names.alias("column"), "value")
+    with Inspection(lens(spark, sf_dir).select(ORD, "status", "country")) as inspection:
+        issues = [i for i in detect(inspection, evidence=False) if i.issue_type == "inconsistent_categories"]
+        names = F.expr("CASE label " + " ".join(f"WHEN {n} THEN '{i.column}'" for n, i in enumerate(issues)) + " END")
+        return flagged_rows(inspection, issues).select(ORD, names.alias("column"), "value")
 
 
 def conflict_sql(key: str, source: str) -> str:

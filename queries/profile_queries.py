@@ -203,9 +203,9 @@ def _top_sql(column: str, source: str, bare: str | None = None) -> str:
 
 
 def _top(df, column):
-    inspection = Inspection(df.select(column))
-    ranked = top_values(inspection.df, inspection.cells, inspection.tokens)
-    return ranked.select(F.col("place").cast("bigint").alias("place"), "value", "n")
+    with Inspection(df.select(column)) as inspection:
+        ranked = top_values(inspection.df, inspection.cells, inspection.tokens)
+        return ranked.select(F.col("place").cast("bigint").alias("place"), "value", "n")
 
 
 @query("P11_top_values_status", f"{LENS} {_top_sql('status', 'lens')}")
@@ -235,8 +235,8 @@ def top_documents(spark, sf_dir):
     count(*) AS n FROM lens GROUP BY 1""",
 )
 def top_booleans(spark, sf_dir):
-    inspection = Inspection(lens(spark, sf_dir).select("active"))
-    return inspection.truth_counts(inspection.cells[0])
+    with Inspection(lens(spark, sf_dir).select("active")) as inspection:
+        return inspection.truth_counts(inspection.cells[0])
 
 
 @query("P00_full_profile_lineitem")

@@ -3,7 +3,7 @@
 Each measurement is one Spark job, run when first asked for, and only a few
 numbers per column come back to the driver:
 
-* ``counts``    one wide aggregate over the scan, no shuffle
+* ``counts``    one wide aggregate over the scan; text rules run over grouped values
 * ``tokens``    value counts of text columns (one map-side combined shuffle)
 * ``distinct``  distinct values per column
 * ``quartiles`` exact quartiles of numeric columns
@@ -22,12 +22,13 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.cells import ORD, Cell, cells_of, long_cell, long_texts, parse_bool, parse_number, with_facts
+from sluice.functions.cells import ORD, Cell, cells_of, long_cell, long_texts, parse_bool, with_facts
 from sluice.functions.names import is_country_name, is_key_name, role_of
 from sluice.functions.sqltext import double, quoted
 from sluice.operators import rows, spellings
 from sluice.operators.quantiles import Numbers, approximate_quantiles, exact_quantiles
 from sluice.rules import DEFAULT_RULES, Rules
+from sluice.workspace import written
 
 _COLUMNS_PER_JOB = 6  # side by side in one aggregate, so that generated code stays small enough to be compiled
 
@@ -112,7 +113,8 @@ class Inspection:
     def _spread(self, df: DataFrame) -> DataFrame:
         """A small table, often one split, is spread over the cores and cached; others are scanned."""
         size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        if not self.cells or int(str(size)) > self.rules.small_table_bytes:
+        self._small = int(str(size)) <= self.rules.small_table_bytes
+        if not self.cells or not self._small:
             return df
         cores = df.sparkSession.sparkContext.defaultParallelism
         by = [quoted(ORD)] if self.ordered else [quoted(c.name) for c in self.cells if c.kind != "nested"]
@@ -126,7 +128,9 @@ class Inspection:
         return with_facts(self.df, cells)
 
     def _keep(self, df: DataFrame) -> DataFrame:
-        """Cache a small derived frame; lost blocks are recomputed from the source."""
+        """What several measurements read: cached if the table is small, else written to the shared folder."""
+        if not self._small:
+            return written(df, "measured")
         self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return self._kept[-1]
 
@@ -308,14 +312,14 @@ class Inspection:
             return "datetime"
         if cell.kind == "number":
             return "float" if counts.fractional else "integer"
-        if counts.numbers >= 0.8 * present:
+        if counts.numbers >= self.rules.number_share * present:
             return "float" if counts.fractional else "integer"
-        if counts.truths >= 0.9 * present:
+        if counts.truths >= self.rules.truth_share * present:
             return "boolean"
-        needed = 0.3 if "email" in cell.name.lower() else 0.8
+        needed = self.rules.named_email_share if "email" in cell.name.lower() else self.rules.email_share
         if counts.emails >= needed * present:
             return "email"
-        if counts.days >= 0.8 * present:
+        if counts.days >= self.rules.day_share * present:
             return "datetime"
         return "categorical" if self.few_tokens(cell) else "string"
 
@@ -385,11 +389,12 @@ class Inspection:
     def _far(self, cell: Cell) -> tuple[float, float | None]:
         """Sizes beyond which a number is far from the median, and of another unit."""
         median = abs(self.quartiles[cell.name][1])
-        return (max(10 * median, 1.0), max(20 * median, 1.0)) if median else (1000.0, None)
+        far, unit = self.rules.far_medians * median, self.rules.unit_medians * median
+        return (max(far, 1.0), max(unit, 1.0)) if median else (1000.0, None)
 
     def outlier_sql(self, cell: Cell) -> str:
-        """Outside three interquartile ranges and far from the median."""
-        fences = self.fences(cell, 3.0)
+        """Outside some interquartile ranges and far from the median."""
+        fences = self.fences(cell, self.rules.outlier_fence)
         if fences is None:
             return "false"
         x, (low, high), far = cell.number_sql, fences, self._far(cell)[0]
@@ -412,7 +417,7 @@ class Inspection:
         for cell in cells:
             counts = self.counts[cell.name]
             spread = found[cell.name] = Spread()
-            buckets, fences = 0, self.fences(cell, 3.0)
+            buckets, fences = 0, self.fences(cell, self.rules.outlier_fence)
             if histogram and (buckets := self._bucket_count(cell)):
                 step = (counts.high - counts.low) / buckets
                 spread.edges = [counts.low + i * step for i in range(buckets)] + [counts.high]

@@ -8,7 +8,6 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions import fixed
 from sluice.functions.cells import ORD, Cell, country_of, long_cell, with_facts
 from sluice.functions.names import is_country_name
 from sluice.functions.severity import severity
@@ -74,13 +73,13 @@ def _cell_issues(inspection: Inspection, cell: Cell) -> list[Issue]:
     add(
         "sentinel_values",
         counts.sentinel,
-        severity(share(counts.sentinel), fixed.SENTINEL_BANDS),
+        severity(share(counts.sentinel), inspection.rules.sentinel_bands),
         "hold a word that stands for no value.",
     )
     if inferred in ("integer", "float"):
         unread = counts.present - counts.numbers
         add("numeric_format", counts.decorated, "medium", "carry a currency sign or commas.")
-        add("non_numeric", unread, severity(share(unread), fixed.NON_NUMERIC_BANDS), "do not read as a number.")
+        add("non_numeric", unread, severity(share(unread), inspection.rules.non_numeric_bands), "do not read as a number.")
         level = "high" if role in ("money", "quantity") else "medium"
         add("negative_values", counts.negative, level, "are below zero.")
         spread = inspection.outliers[name]
@@ -95,10 +94,10 @@ def _cell_issues(inspection: Inspection, cell: Cell) -> list[Issue]:
         )
     if inferred == "email" or role == "email":
         wrong = counts.present - counts.emails
-        add("invalid_email", wrong, severity(share(wrong), fixed.EMAIL_BANDS), "are not e-mail addresses.")
+        add("invalid_email", wrong, severity(share(wrong), inspection.rules.email_bands), "are not e-mail addresses.")
     if inferred == "datetime" or role == "date":
         wrong = counts.present - counts.days
-        add("invalid_datetime", wrong, severity(share(wrong), fixed.DATE_BANDS), "do not read as a date.")
+        add("invalid_datetime", wrong, severity(share(wrong), inspection.rules.date_bands), "do not read as a date.")
         add("date_format", counts.not_iso, "low", "are dates not written as yyyy-MM-dd.")
     if category := inspection.categories.get(name):
         variants = category["variants"] or category["mixed"]

@@ -31,7 +31,7 @@ from sluice.functions.sqltext import double, mapping, pattern, quoted, text
 from sluice.operators.inspection import Inspection
 from sluice.operators.issues import Issue
 from sluice.operators.quantiles import Numbers, exact_quantiles
-from sluice.operators.rows import drop_copies, keep_first
+from sluice.operators.rows import drop_copies, keep_first, may_broadcast
 from sluice.operators.spellings import whole_spellings, with_winner
 from sluice.rules import DEFAULT_RULES, Rules
 from sluice.workspace import written
@@ -271,9 +271,8 @@ def canonicalize_case(
     cells = [cell for cell in cells_of(df, rules=rules) if cell.kind == "text" and cell.name in {r.column for r in repairs}]
     if not cells:
         return df
-    losers = (
-        with_winner(whole_spellings(df, cells)).filter("spelling <> winner").select("column", "spelling", "winner")
-    )
+    losers = with_winner(whole_spellings(df, cells)).filter("spelling <> winner").select("column", "spelling", "winner")
+    losers = written(losers, "spellings")
     most = len(cells) * _LITERAL_SPELLINGS
     few = losers.limit(most + 1).collect()
     for cell in cells:
@@ -286,7 +285,7 @@ def canonicalize_case(
             to = f"try_element_at({mapping(lookup)}, __bare)"
         else:
             lookup = losers.filter(F.col("column") == cell.index).selectExpr("spelling AS __from", "winner AS __to")
-            lookup = F.broadcast(lookup) if lookup.count() <= rules.broadcast_rows else lookup
+            lookup = F.broadcast(lookup) if may_broadcast(lookup, rules) else lookup
             running, to = running.join(lookup, F.col("__bare") == F.col("__from"), "left"), "__to"
         value = f"CASE WHEN __bare != '' THEN coalesce({to}, __bare) ELSE {raw} END AS {raw}"
         kept = [value if name == cell.name else quoted(name) for name in df.columns]

@@ -12,6 +12,13 @@ from sluice.rules import DEFAULT_RULES, Rules
 from sluice.workspace import written
 
 
+def may_broadcast(lookup: DataFrame, rules: Rules) -> bool:
+    """Whether a written lookup is within both bounds, measured."""
+    size = F.sum(sum(F.coalesce(F.octet_length(F.col(quoted(n)).cast("string")), F.lit(0)) for n in lookup.columns))
+    rows, values = lookup.agg(F.count(F.lit(1)), size).first()
+    return rows <= rules.broadcast_rows and (values or 0) <= rules.broadcast_bytes
+
+
 def comparable_sql(cell: Cell) -> str:
     """The cell in a form that can be hashed, grouped and joined on."""
     return cell.text_sql if cell.kind in ("nested", "other") else quoted(cell.name)
@@ -149,10 +156,9 @@ def keep_first(df: DataFrame, key: str, rules: Rules = DEFAULT_RULES, rows: int
     if not rules.collapse_null_keys:
         counts = counts.filter(F.col("__key").isNotNull())
     repeated = written(counts.select("__key", F.lit(True).alias("__again")), "keys")
-    size = repeated.count()
-    if size == 0:
+    if repeated.isEmpty():
         return df
-    small = F.broadcast(repeated) if size <= rules.broadcast_rows else repeated
+    small = F.broadcast(repeated) if may_broadcast(repeated.select("__key"), rules) else repeated
     same = column.eqNullSafe(F.col("__key"))
     alone = df.join(small, same, "left_anti")
     again = df.join(small, same, "left_semi")

@@ -21,7 +21,7 @@ from sluice.plans.store import Store, new_id, now
 from sluice.rules import DEFAULT_RULES, Rules
 from sluice.sources.positions import with_positions
 from sluice.sources.readers import Source, read, require_rows
-from sluice.sources.shape import renamed
+from sluice.sources.shape import renamed, schema_report
 
 
 @dataclass
@@ -108,7 +108,8 @@ class Gate:
         self, df: DataFrame, source: Source, run_id: str | None = None, detail: bool = True
     ) -> Outcome:
         """The same for a DataFrame that is already there."""
-        df, run_id = renamed(require_rows(with_positions(df))), run_id or new_id()
+        extract, run_id = require_rows(with_positions(df)), run_id or new_id()
+        df = renamed(extract)
         found = audit(df, self.rules, detail)
         outcome = Outcome(run_id, "fail", "rollback", audit=found, validation=found.validation)
         outcome.repairs, outcome.rows_after = found.repairs, found.rows_after
@@ -117,6 +118,8 @@ class Gate:
             outcome.dataset_id = self._publish(found.repaired, source, found, run_id)
         else:
             outcome.review_id = self.store.hold(df, run_id)
+        columns = schema_report(extract, found.rows_before if detail else None, examples=detail)
+        self.store.record("columns", run_id, [{"run_id": run_id} | row.asDict() for row in columns.collect()])
         self._record(df, source, found, outcome)
         return outcome
 

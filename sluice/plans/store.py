@@ -21,6 +21,7 @@ from sluice.operators.causes import CAUSE_SCHEMA
 from sluice.operators.issues import ISSUE_SCHEMA
 from sluice.operators.profile import PROFILE_SCHEMA
 from sluice.operators.repairs import REPAIR_SCHEMA
+from sluice.sources.shape import SCHEMA_REPORT
 
 _CHECK = "array<struct<name: string, passed: boolean, detail: string>>"
 _COLUMNS = "array<struct<name: string, inferred_type: string, role: string>>"
@@ -38,6 +39,7 @@ SCHEMAS = {
     "issues": f"run_id string, stage string, {ISSUE_SCHEMA}",
     "causes": f"run_id string, {CAUSE_SCHEMA}",
     "repairs": f"run_id string, {REPAIR_SCHEMA}",
+    "columns": f"run_id string, {SCHEMA_REPORT}",
     "profiles": f"run_id string, {PROFILE_SCHEMA}",
 }
 

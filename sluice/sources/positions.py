@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.errors import GateError
 from sluice.functions.cells import ORD
 from sluice.workspace import written
 
-MOST_FILES = 1_000_000  # files whose offsets are sent to every executor (about 150 bytes each)
+BROADCAST_FILES = 1_000_000  # files whose offsets are sent to every executor (about 150 bytes each)
 
 
 def parquet_with_positions(spark: SparkSession, path: str) -> DataFrame:
@@ -21,16 +20,13 @@ def parquet_with_positions(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     file = F.col("_metadata.file_path")
     sizes = df.groupBy(file.alias("__file")).agg(F.count(F.lit(1)).alias("n"))
-    files = sizes.collect()
-    if len(files) > MOST_FILES:
-        raise GateError(f"{len(files)} files; compact the table or pass an order to with_positions")
-    if len(files) <= 1:
+    sizes = written(sizes, "files")
+    files = sizes.count()
+    if files <= 1:
         return df.select("*", F.col("_metadata.row_index").alias(ORD))
-    offsets, before = [], 0
-    for row in sorted(files, key=lambda r: r["__file"]):
-        offsets.append((row["__file"], before))
-        before += row.n
-    lookup = F.broadcast(spark.createDataFrame(offsets, "__file string, __before bigint"))
+    earlier = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    lookup = sizes.select("__file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    lookup = F.broadcast(lookup) if files <= BROADCAST_FILES else lookup
     placed = df.select("*", file.alias("__file"), F.col("_metadata.row_index").alias("__row"))
     return placed.join(lookup, "__file").withColumn(ORD, F.col("__before") + F.col("__row")).drop(
         "__file", "__row", "__before"

@@ -63,11 +63,11 @@ def renamed(df: DataFrame) -> DataFrame:
 SCHEMA_REPORT = "name string, original_name string, source_type string, examples array<string>, renamed boolean"
 
 
-def schema_report(df: DataFrame, rows: int | None = None) -> DataFrame:
+def schema_report(df: DataFrame, rows: int | None = None, examples: bool = True) -> DataFrame:
     """Per column: its safe and original name, type and first three non-null values by position."""
     names = data_columns(df)
     shown: dict[int, list[str]] = {}
-    if ORD in df.columns:
+    if examples and ORD in df.columns:
         rows = df.count() if rows is None else rows
         long = long_texts(df, cells_of(df), [F.col(ORD)]).filter("text IS NOT NULL")
         marked = long.select(F.col("column").alias("label"), ORD, F.left("text", F.lit(80)).alias("value"))

@@ -206,8 +206,12 @@ def test_stream(spark, gate, tmp_path):
     for _ in range(2):  # nothing new the second time
         query = gate_stream(stream, gate, "feed", str(tmp_path / "checkpoint"), availableNow=True)
         query.awaitTermination()
-    assert [r.run_id for r in gate.store.records("runs").collect()] == ["feed-000000000"]
-    assert gate.store.dataset("feed-000000000").count() == 2
+    (run,) = [r.run_id for r in gate.store.records("runs").collect()]
+    assert run.startswith("feed-") and run.endswith("-000000000")
+    # another stream of that name is another stream, though its batches have the same numbers
+    gate_stream(stream, gate, "feed", str(tmp_path / "other"), availableNow=True).awaitTermination()
+    assert gate.store.records("runs").count() == gate.store.records("datasets").count() == 2
+    assert gate.store.dataset(run).count() == 2
 
 
 # -- sources ------------------------------------------------------------------------------
