@@ -35,6 +35,9 @@ from sluice.workspace import written
 
 MIN_WORDS = 50
 
+#: Runs to remove (8 bytes each, and 16 a document) that are broadcast; with more, texts are shuffled to them.
+BROADCAST_RUNS = 4_000_000
+
 _PLACE = ["d", "line"]
 
 
@@ -154,6 +157,8 @@ def without_repeats(
     """
     docs = located(docs)
     runs = written(repeated_runs(docs, min_words, id_column, text_column), "runs")
+    if (runs.agg(F.sum(F.size("runs") + 2)).first()[0] or 0) <= BROADCAST_RUNS:
+        runs = F.broadcast(runs)
     rows = docs.select(F.struct("*").alias("row"), *_key()).join(runs, ["_file", "_place"], "left")
     lines, found = F.split(F.col("row")[text_column].cast("string"), "\n", -1), F.col("runs")
     text = F.when(found.isNull(), F.col("row")[text_column]).otherwise(F.array_join(_without(lines, found), "\n"))

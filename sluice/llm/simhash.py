@@ -44,6 +44,9 @@ BUCKET = 32
 #: Words hashed at once, so that a very long text needs bounded memory.
 BLOCK = 1 << 18
 
+#: Places of dropped rows (16 bytes each) that are broadcast; with more, texts are shuffled to them.
+BROADCAST_ROWS = 2_000_000
+
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
@@ -157,5 +160,7 @@ def representatives(
     place = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place")]
     rows = docs.select(F.struct(F.col(id_column).isNull().alias("unnamed"), F.col(id_column).alias("id"), *place).alias("key"), F.col(text_column).alias("text"))
     found = near_copies(rows, shingle, max_bits, bucket, "key", "text")
-    kept = written(found.where(F.col("id") == F.col("component")).select("id._file", "id._place"), "representatives")
-    return docs.select(F.struct("*").alias("row"), *place).join(kept, ["_file", "_place"], "left_semi").select("row.*")
+    dropped = written(found.where(F.col("id") != F.col("component")).select("id._file", "id._place"), "dropped")
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
+    return docs.select(F.struct("*").alias("row"), *place).join(dropped, ["_file", "_place"], "left_anti").select("row.*")

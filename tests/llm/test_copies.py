@@ -61,7 +61,9 @@ def test_links_join_what_brute_force_joins(spark, bucket):
     assert [found.get(p, p) for p in prints] == [prints[i] for i in joined(prints, 2)]
 
 
-def test_near_copies(spark):
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_near_copies(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", broadcast)
     draw = random.Random(5)
     base = [" ".join(draw.choice("abcdefgh") for _ in range(60)) for _ in range(6)]
     rows = [(i, b) for i, b in enumerate(base)] + [(20 + i, b.upper() + " z") for i, b in enumerate(base)]

@@ -40,8 +40,9 @@ def some(seed):
     return [*docs, (3, docs[3][1]), (None, docs[5][1]), (50, None), (51, ""), (52, "\n\n"), (53, "\n\n"), (54, docs[5][1] + "\n")]
 
 
-@pytest.mark.parametrize(("seed", "least"), [(1, 1), (2, 4)])
-def test_is_brute_force(spark, seed, least):
+@pytest.mark.parametrize(("seed", "least", "broadcast"), [(1, 1, 0), (2, 4, 1000)])
+def test_is_brute_force(spark, monkeypatch, seed, least, broadcast):
+    monkeypatch.setattr(line_runs, "BROADCAST_RUNS", broadcast)
     docs = some(seed)
     rows = [(*d, k, "x") for k, d in enumerate(docs)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _file int, runs string").coalesce(1)
