@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from sluice.llm.registry import importable
 from sluice.workspace import written
 
-LINES = 96
+LINES = 80
 #: Share of the lines on which a candidate collides.
 THRESHOLD = 0.75
 #: Share of a block that is verified for a query, and at least so many times the k wanted.
 VERIFIED, TIMES = 0.15, 12
-#: The factor by which windows widen.
-STEP = 1.12
+#: The factor by which windows widen, and the steps that the next query starts back by.
+STEP, BACK = 1.12, 2
 BLOCK = 4096
 SEED = 20
 
@@ -60,26 +60,27 @@ def search_block(vectors: np.ndarray, queries: np.ndarray, own: np.ndarray, norm
     centres = (queries * (norm / np.sqrt((queries * queries).sum(1)))[:, None]) @ lines[:dim]
     threshold, wanted = math.ceil(THRESHOLD * LINES), math.ceil(min(n, max(TIMES * k, VERIFIED * n)))
     start = float(np.median(np.abs(arrays - np.median(arrays, axis=1)[:, None]))) or norm
-    halves, lows, highs = [], [], []
-    for number, centre in enumerate(centres):
-        counts, candidates, step = np.zeros(n, np.int64), np.arange(0), 0
-        low = high = None
-        while True:
-            if step == len(halves):
-                half = start * STEP**step
-                halves.append(half)
-                lows.append(np.stack([np.searchsorted(a, c - half, "left") for a, c in zip(arrays, centres.T, strict=True)], 1))
-                highs.append(np.stack([np.searchsorted(a, c + half, "right") for a, c in zip(arrays, centres.T, strict=True)], 1))
-            a, b = lows[step][number], highs[step][number]
-            if low is None:
-                new = [o[x:y] for o, x, y in zip(order, a, b, strict=True)]
-            else:
-                new = [o[x:y] for o, x, y in zip(order, a, low, strict=True)] + [o[x:y] for o, x, y in zip(order, high, b, strict=True)]
-            counts += np.bincount(np.concatenate(new), minlength=n)
-            low, high, step = a, b, step + 1
-            candidates = np.nonzero(counts >= threshold)[0]
-            if len(candidates) >= wanted:
-                break
+    edges: list[tuple[np.ndarray, np.ndarray]] = []  # of all queries' windows, for each step
+
+    def windows(step: int) -> tuple[np.ndarray, np.ndarray]:
+        while step >= len(edges):
+            half = start * STEP ** len(edges)
+            sides = ([np.searchsorted(a, c + sign * half, side) for a, c in zip(arrays, centres.T, strict=True)] for sign, side in ((-1, "left"), (1, "right")))
+            edges.append(tuple(np.stack(side, 1) for side in sides))
+        return edges[step]
+
+    step = 0
+    for number in range(len(centres)):
+        step = max(0, step - BACK)  # a query opens its windows somewhat narrower than where the one before ended
+        low, high = (side[number] for side in windows(step))
+        outside = [o[:x] for o, x in zip(order, low, strict=True)] + [o[y:] for o, y in zip(order, high, strict=True)]
+        misses = np.bincount(np.concatenate(outside), minlength=n)  # lines on which a vector does not collide
+        while len(candidates := np.nonzero(misses <= LINES - threshold)[0]) < wanted:
+            step += 1
+            a, b = (side[number] for side in windows(step))
+            new = [o[x:y] for o, x, y in zip(order, a, low, strict=True)] + [o[x:y] for o, x, y in zip(order, high, b, strict=True)]
+            misses -= np.bincount(np.concatenate(new), minlength=n)
+            low, high = a, b
         yield candidates[candidates != own[number]]
 
 
@@ -87,7 +88,7 @@ def _search(norm: float, k: int):
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        vectors = vectors.sort_values("id")
+        vectors, queries = vectors.sort_values("id"), queries.sort_values("id")
         ids, data, asked = vectors["id"].to_numpy(), _vectors(vectors), _vectors(queries)
         names = queries["id"].to_numpy()
         place = np.minimum(np.searchsorted(ids, names), len(ids) - 1)
