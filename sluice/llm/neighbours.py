@@ -31,7 +31,7 @@ LINES = 80
 #: Share of the lines on which a candidate collides.
 THRESHOLD = 0.75
 #: Share of a block that is verified for a query, and at least so many times the k wanted.
-VERIFIED, TIMES = 0.15, 12
+VERIFIED, TIMES = 0.25, 15
 #: The factor by which windows widen, and the steps that the next query starts back by.
 STEP, BACK = 1.12, 2
 BLOCK = 4096
