@@ -4,19 +4,28 @@ Tokens are words (runs without ASCII white space, A-Z in lower case) and one end
 tree is learned from all training texts, level by level:
 
 * root: add-one counts over all V distinct tokens and one place for any other;
-* a context of d words is a candidate if it makes up at least ``context_share`` of all training
-  tokens, so there are at most 1 / context_share of them on a level whatever the corpus;
-* its likely successors are those that follow it with probability ``successor_share`` or more;
-* it is retained if its next-symbol distribution diverges from that of its suffix: its count times
-  the Kullback-Leibler divergence, over the likely successors and all the rest as one, reaches
-  ``divergence`` nats;
-* the rest of its probability, and ``discount`` counts more, go by the distribution of its suffix,
-  so P(x | s) = (c(s, x) [if likely] + (N(s) - likely + discount) P(x | suffix)) / (N(s) + discount).
+* a context of d words, up to ``depth``, is a candidate if training texts have it ``least`` times or
+  more, whatever the size of the corpus; all that follows it are its successors, rare words too;
+* a distribution with T distinct successors gives T + ``discount`` counts more to that of its suffix:
+  P(x | s) = (c(s, x) + (T(s) + discount) P(x | suffix)) / (N(s) + T(s) + discount);
+* a context is retained if its distribution diverges from that of its suffix: the sum of
+  ln(P(x | s) / P(x | suffix)) over all its occurrences, each judged by the others alone (so that
+  what was seen once is no evidence), reaches ``divergence`` nats.
 
 A token is scored in the longest retained suffix of what precedes it. Counts cover all training
-texts. What is broadcast is bounded by the shares: words of at least ``word_share`` of all tokens,
-contexts, likely successors. All other words can only be scored by the root, whose table grows with
-the corpus: they are counted per text and joined with it.
+texts. Contexts and successors are tables. A level holds a row for each pair of context and next
+word in any text (count 0 if only held-out texts have it), with the probability of the word by the
+shorter context, so a level is grouped counts and a join with the level before, and a text is
+scored by joining each token's longest candidate with the levels.
+
+A word goes by 64 bits of its digest, under a seed by which no two words of the texts are alike
+(checked). A context goes by its last word and a 64-bit hash of those before it. Only bitmaps of
+bounded size are broadcast: they tell contexts that are surely too rare, and what they let through by
+chance is counted too and not retained.
+
+``grow`` learns a tree in one process, cut to what shares of the corpus bound: a context needs
+``context_share`` of all tokens, a successor ``successor_share`` of its context, a word ``word_share``;
+what is cut goes by the suffix. ``score`` uses neither it nor the shares.
 
 Null text is empty: its end is its only token. A null id is in the training part or not by the
 checksum of empty text. Repeated rows and ids are scored row by row. Without training texts every
@@ -25,23 +34,26 @@ probability is that of the one other place. Other columns are not read.
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from hashlib import blake2b
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.registry import importable
-from sluice.workspace import workspace, written
+from sluice.workspace import written
 
 END = ""
 _SHIFT = 21  # bits of a word's number
+_BITS = 26  # of the bitmap's places, at most
+_TOKENS = 500_000  # at a time
 
 
 @dataclass(frozen=True)
@@ -52,6 +64,7 @@ class Shape:
     word_share: float = 5e-7
     divergence: float = 10.0
     discount: float = 5.0
+    least: int = 5
 
     def __post_init__(self):
         if not 1 / (1 << _SHIFT) < self.word_share <= self.context_share * self.successor_share:
@@ -149,24 +162,6 @@ class _Tree:
         found[missing] = level.back[states[missing]] + self.log10(d - 1, level.suffix[states[missing]], following[missing])
         return found
 
-    def score(self, sequence: np.ndarray) -> tuple[float, int, float]:
-        """Sum of log10 probabilities of all but the first; how many tokens the root scored among the
-        rare ones, whose log10(count + 1) is still missing; the same by the root alone."""
-        following = sequence[1:]
-        total, open_ = np.zeros(len(following)), np.ones(len(following), bool)
-        for level, state in reversed(list(zip(self.levels, self.states(sequence), strict=True))):
-            here = np.nonzero(open_ & (state >= 0))[0]
-            at = _find(level.pairs, (state[here] << _SHIFT) | following[here])
-            at[following[here] < 0] = -1
-            hit = at >= 0
-            total[here[hit]] += level.values[at[hit]]
-            total[here[~hit]] += level.back[state[here[~hit]]]
-            open_[here[hit]] = False
-        known, other = following >= 0, -np.log10(self.total + self.distinct + 1)
-        root = np.full(len(following), other)
-        root[known] = self.root(following[known])
-        return float(total.sum() + root[open_].sum()), int(known.sum()), float(root.sum())
-
 
 def _split(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
@@ -176,20 +171,176 @@ def held_out(identifier: Column, parts: int = 7, part: int = 2) -> Column:
     return F.crc32(F.coalesce(identifier.cast("string"), F.lit(""))) % parts == part
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tally: Counter = Counter()
+class _Ids(dict):
+    """64 bits for each word; bounded."""
+
+    def __init__(self, seed: int):
+        super().__init__()
+        self.key = seed.to_bytes(8, "little")
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = found = int.from_bytes(blake2b(word, digest_size=8, key=self.key).digest(), "little", signed=True)
+        return found
+
+
+def _word_counts(seed: int):
+    """All words with their numbers and how often training texts have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, tally = _Ids(seed), Counter()
+
+        def rows() -> pa.RecordBatch:
+            columns = [pa.array(list(tally), pa.binary()).cast(pa.string()), pa.array([ids[w] for w in tally], pa.int64()), pa.array(list(tally.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["word", "x", "n"])
+
+        for batch in batches:
+            for text, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = _split(text)
+                words.append(END.encode())
+                if out:
+                    tally.update(dict.fromkeys(words, 0))
+                else:
+                    tally.update(words)
+                if len(tally) > 1_000_000:
+                    yield rows()
+                    tally.clear()
+        yield rows()
+
+    return run
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of both; for a given ``a`` no two ``b`` meet."""
+    z = a * np.uint64(0x9E3779B97F4A7C15) + b
+    z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return z ^ (z >> np.uint64(32))
+
+
+def _places(before: np.ndarray, last: np.ndarray, bits: int) -> np.ndarray:
+    return (_mix(before, last) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _unsigned(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _marks(size: int):
+    """The bitmap's words of 64 bits for contexts (words before, last word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            places = np.unique(_places(_unsigned(batch.column(0)), _unsigned(batch.column(1)), size))
+            word, start = np.unique(places >> 6, return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (places & 63).astype(np.uint64), start)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    return run
 
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(tally), pa.binary()).cast(pa.string()), pa.array(list(tally.values()), pa.int64())], names=["word", "n"])
 
+def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(words before, last word, next word) to (words before the next, next)."""
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            tally.update(_split(text))
-            tally[END.encode()] += 1
-            if len(tally) > 1_000_000:
-                yield rows()
-                tally.clear()
-    yield rows()
+        before = _mix(_unsigned(batch.column(0)), _unsigned(batch.column(1)))
+        yield pa.RecordBatch.from_arrays([pa.array(before.view(np.int64)), batch.column(2)], names=["k", "w"])
+
+
+def _bitmap(contexts: DataFrame, n: int) -> np.ndarray:
+    """16 places for each of ``n`` contexts, as far as they fit."""
+    size = min(_BITS, max(16, (16 * n).bit_length()))
+    marks = contexts.mapInArrow(_marks(size), "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits"))
+    word, bits = _collected(marks, "word", "bits")  # 2 ** (_BITS - 6) rows at most
+    found = np.zeros(1 << (size - 6), np.uint64)
+    found[word] = bits.view(np.uint64)
+    return found
+
+
+def _candidates(ids: np.ndarray, offsets: np.ndarray, maps: list[np.ndarray]):
+    """For each depth: the words before the last as a hash, and where the context that ends there may be a candidate."""
+    before, ok = np.zeros(len(ids), np.uint64), np.ones(len(ids), bool)
+    for d, bits in enumerate(maps):
+        if d:
+            before = np.concatenate([before[:1], _mix(before[:-1], ids[:-1])])
+            ok = ok & (offsets >= d)
+        at = np.nonzero(ok)[0]
+        place = _places(before[at], ids[at], len(bits).bit_length() + 5)
+        ok = ok.copy()
+        ok[at] = (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) != 0
+        yield before, ok
+
+
+def _sequences(columns: list[list], ids: _Ids) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows whose last column is the text, some at a time: the rows, all their words between ends, each word's
+    place in its text and the row's number."""
+    end, rows, parts, held = ids[END.encode()], [], [], 0
+
+    def ready():
+        lengths = np.array([len(p) for p in parts])
+        offsets = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return rows, np.concatenate(parts).view(np.uint64), offsets, np.repeat(np.arange(len(parts)), lengths)
+
+    for row in zip(*columns, strict=True):
+        words = _split(row[-1])
+        part = np.full(len(words) + 2, end, np.int64)
+        part[1:-1] = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
+        rows.append(row)
+        parts.append(part)
+        held += len(part)
+        if held > _TOKENS:
+            yield ready()
+            rows, parts, held = [], [], 0
+    if rows:
+        yield ready()
+
+
+def _signed(array: np.ndarray) -> pa.Array:
+    return pa.array(array.view(np.int64))
+
+
+def _grams(seed: int, maps):
+    """(words before, the same of the suffix, last word, next word, in training) at the deepest level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = _Ids(seed)
+        for batch in batches:
+            for rows, words, offsets, numbers in _sequences([batch.column(1).to_pylist(), batch.column(0).to_pylist()], ids):
+                last, shorter = None, np.zeros(len(words), np.uint64)
+                for before, ok in _candidates(words, offsets, [m.value for m in maps]):
+                    shorter, last = (last[0] if last else shorter), (before, ok)
+                at = np.nonzero(last[1][:-1] & (offsets[1:] > 0))[0]
+                n = np.array([not out for out, _ in rows], np.int64)[numbers[at]]
+                columns = [_signed(last[0][at]), _signed(shorter[at]), _signed(words[at]), _signed(words[at + 1]), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "s", "w", "x", "n"])
+
+    return run
+
+
+def _tokens(seed: int, maps):
+    """A row for each text, without a level, and one for each of its tokens with the longest candidate before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, row = _Ids(seed), TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for rows, words, offsets, numbers in _sequences([c.to_pylist() for c in batch.columns], ids):
+                level, k = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint64)
+                for d, (before, ok) in enumerate(_candidates(words, offsets, [m.value for m in maps]), 1):
+                    level[ok], k[ok] = d, before[ok]
+                at = np.nonzero(offsets[1:] > 0)[0]
+                w = np.where(level[at] > 0, words[at], np.uint64(0))
+                none, lacks = pa.nulls(len(at), pa.int64()), pa.nulls(len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[at] + row), none, none.cast(pa.bool_()), pa.array(level[at]), _signed(k[at]), _signed(w), _signed(words[at + 1])], names=_TOKEN_NAMES)
+                kept = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)) + row), *kept, lacks, lacks, lacks, lacks], names=_TOKEN_NAMES)
+                row += len(rows)
+
+    return run
+
+
+_TOKEN_NAMES = ["row", "id", "held_out", "d", "k", "w", "x"]
+_TOKEN_SQL = "row long, id long, held_out boolean, d long, k long, w long, x long"
 
 
 def _pair_counts(model):
@@ -263,36 +414,42 @@ def grow(training: DataFrame, counts: DataFrame, shape: Shape) -> _Tree:
     return tree
 
 
-def _scores(model):
-    """A row for each text, and one for each rare word in it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: _Tree = model.value
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
-                texts, rare = [], []
-                for identifier, out, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(2).to_pylist(), strict=True):
-                    words = _split(text)
-                    sequence = tree.sequence(words)
-                    score, known, base = tree.score(sequence)
-                    texts.append((row, identifier, out, len(words) + 1, known, base, score, None, None))
-                    others = Counter(words[i] for i in np.nonzero(sequence[1:-1] < 0)[0].tolist())
-                    rare += [(row, None, None, None, None, None, None, w, n) for w, n in others.items()]
-                    row += 1
-                for kind, rows in ((False, texts), (True, rare)):
-                    if rows:
-                        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)]
-                        columns[-2] = columns[-2].cast(pa.string())
-                        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows)), *columns], names=["rare", *_NAMES])
-
-    return run
-
-
-_NAMES = ["row", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "n"]
-_TYPES = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
-_SQL = "rare boolean, row long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word string, n long"
+def _numbered(texts: DataFrame) -> tuple[DataFrame, int]:
+    """word, x, n of all words, and the seed by which their numbers differ."""
+    seed = 0
+    while True:
+        words = texts.mapInArrow(_word_counts(seed), "word string, x long, n long").groupBy("word", "x").agg(F.sum("n").alias("n"))
+        words = written(words, "words")
+        if not words.groupBy("x").count().where("count > 1").head(1):
+            return words, seed
+        seed += 1
+
+
+def _levels(texts: DataFrame, words: DataFrame, seed: int, total: int, distinct: int, shape: Shape) -> tuple[list[DataFrame], list[Broadcast]]:
+    """For each level, the root first: k, w, x, c, p with the probability p of x and its count c in training; and the bitmaps."""
+    spark = texts.sparkSession
+    zero = F.lit(0).cast("long")
+    levels = [words.select(zero.alias("k"), zero.alias("w"), "x", F.col("n").alias("c"), ((F.col("n") + 1) / (total + distinct + 1)).alias("p"))]
+    maps, end = [], words.where(F.col("word") == END).select("x").first()
+    longer = words.where(F.col("n") >= shape.least).select(zero.alias("k"), F.col("x").alias("w"))
+    while len(maps) < shape.depth and (n := longer.count()):
+        maps.append(spark.sparkContext.broadcast(_bitmap(longer, n)))
+        on = ["x"] if len(levels) == 1 else ["s", "w", "x"]
+        shorter = levels[-1].select(F.col("k").alias("s"), "w", "x", "c", F.col("p").alias("q")).select(*on, "c", "q")
+        grams = texts.mapInArrow(_grams(seed, list(maps)), "k long, s long, w long, x long, n long")
+        grams = grams.groupBy("k", "s", "w", "x").agg(F.sum("n").alias("n"))
+        pairs = written(grams.join(shorter, on).select("k", "w", "x", "n", "c", "q"), "pairs")
+        counts = pairs.where("n > 0").groupBy("k", "w").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        counts = written(counts.where(F.col("total") >= shape.least), "contexts")
+        c, q, held, free = F.col("n"), F.col("q"), F.col("total"), F.col("kinds") + shape.discount
+        others = free - F.when(c == 1, 1).otherwise(0)
+        gain = F.sum(c * F.ln(((c - 1) / q + others) / (held - 1 + others)))
+        retained = pairs.where("n > 0").join(counts, ["k", "w"]).groupBy("k", "w").agg(gain.alias("gain"), F.first("total").alias("total"), F.first("kinds").alias("kinds"))
+        retained = written(retained.where(F.col("gain") >= shape.divergence).drop("gain"), "retained")
+        p = F.coalesce((c + free * q) / (held + free), q)
+        levels.append(written(pairs.join(retained, ["k", "w"], "left").select("k", "w", "x", "c", p.alias("p")), "level"))
+        longer = pairs.where((F.col("n") >= shape.least) & (F.col("x") != end.x)).select("k", "w", "x").mapInArrow(_extended, "k long, w long")
+    return levels, maps
 
 
 def score(docs: DataFrame, shape: Shape | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -300,21 +457,25 @@ def score(docs: DataFrame, shape: Shape | None = None, id_column: str = "doc_id"
     spark, shape = docs.sparkSession, shape or Shape()
     importable(spark)
     chosen = docs.select(F.col(id_column).cast("long").alias("id"), held_out(F.col(id_column)).alias("held_out"), F.col(text_column).cast("string").alias("text"))
-    training = chosen.where("not held_out").select("text")
-    counts = written(training.mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    tree = grow(training, counts, shape)
-    model = spark.sparkContext.broadcast(tree)
-    path = f"{workspace(spark)}/scores-{uuid.uuid4().hex}"
-    chosen.mapInArrow(_scores(model), _SQL).write.partitionBy("rare").parquet(path)
-    scored = spark.read.schema(_SQL).parquet(path)
-    rare = scored.where("rare").select("row", "word", "n").join(counts.withColumnRenamed("n", "c"), "word")
-    rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("known"))
-    texts = scored.where("not rare").drop("rare", "word", "n").join(rare, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return texts.select(
-        "id", "held_out", "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+    texts = chosen.select("text", "held_out")
+    words, seed = _numbered(texts)
+    total, distinct = (x or 0 for x in words.where("n > 0").agg(F.sum("n"), F.count(F.lit(1))).first())
+    levels, maps = _levels(texts, words, seed, total, distinct, shape)
+    known = reduce(DataFrame.unionByName, [level.withColumn("d", F.lit(d).cast("long")) for d, level in enumerate(levels)])
+    tokens = chosen.mapInArrow(_tokens(seed, maps), _TOKEN_SQL)
+    # every token has its row in ``known``; a text's own row has no level
+    rows = tokens.join(known, ["d", "k", "w", "x"], "left").groupBy("row").agg(
+        F.max("id").alias("id"),
+        F.max("held_out").alias("held_out"),
+        F.count("d").alias("n_tokens"),
+        F.count(F.when(F.col("c") > 0, 1)).alias("n_known"),
+        F.sum(F.log10(F.col("c") + 1)).alias("counts"),
+        F.sum(F.log10("p")).alias("score"),
+    )
+    other = -F.log10(F.lit(float(total + distinct + 1)))
+    return rows.select(
+        "id", "held_out", "n_tokens", "n_known",
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("counts") + F.col("n_tokens") * other).alias("base_score"),
+        "score",
     )

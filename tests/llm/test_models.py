@@ -120,6 +120,49 @@ def test_next_symbol_distributions_sum_to_one(spark):
         assert math.isclose(10**value, want, rel_tol=1e-9)
 
 
+def test_scores_use_every_context_and_successor(spark):
+    """Brute force; contexts that training texts have five times count in a corpus of any size."""
+    draw = random.Random(8)
+    texts = [" ".join(draw.choice(["a b c", "a b d", "b c", "x y", "w%d" % draw.randrange(3000)]) for _ in range(60)) for _ in range(500)]
+    texts = [t + (" seldom seen pair%d" % (i % 3) if i % 71 == 0 else "") for i, t in enumerate(texts)] + [None, "seldom seen pair1 unheardof"]
+    grams, n, follow = Counter(), Counter(), {}
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            words = [b"", *split(t), b""]
+            for at in range(1, len(words)):
+                for d in range(min(at, 3) + 1):
+                    context = tuple(words[at - d : at])
+                    grams[context, words[at]] += 1
+                    n[context] += 1
+                    follow.setdefault(context, set()).add(words[at])
+    places = n[()] + len(follow[()]) + 1
+    retained = {}
+
+    def probability(context, word):
+        if not context:
+            return (grams[(), word] + 1) / places
+        q = probability(context[1:], word)
+        if n[context] < 5:
+            return q
+        total, free = n[context], len(follow[context]) + 5
+        if context not in retained:
+            gain = 0
+            for x in follow[context]:
+                c, short = grams[context, x], probability(context[1:], x)
+                other = free - (c == 1)
+                gain += c * math.log((c - 1 + other * short) / (total - 1 + other) / short)
+            retained[context] = gain >= 10
+        return (grams[context, word] + free * q) / (total + free) if retained[context] else q
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r.id: r.score for r in suffix_model.score(df).collect()}
+    for i, t in enumerate(texts):
+        words = [b"", *split(t), b""]
+        want = sum(math.log10(probability(tuple(words[max(0, at - 3) : at]), words[at])) for at in range(1, len(words)))
+        assert math.isclose(found[i], want, rel_tol=1e-9), i
+    assert retained[b"seldom",] and n[b"seldom",] < 10  # however large the corpus
+
+
 def labelled(draw, i):
     kind = i % 5
     words = [draw.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(draw.randint(20, 60))]
