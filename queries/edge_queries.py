@@ -102,7 +102,7 @@ def _cut_off(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     last = orders.agg(F.max("o_orderkey")).first()[0]
     price = F.when(F.col("o_orderkey") <= last * 0.9, F.col("o_totalprice")).alias("o_totalprice")
-    return orders.select("o_orderkey", price).orderBy("o_orderkey").coalesce(1)
+    return orders.select("o_orderkey", price).orderBy("o_orderkey")
 
 
 _CUT_OFF = """WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey <= (SELECT max(o_orderkey) FROM orders) * 0.9 THEN o_totalprice END AS price,
@@ -140,8 +140,7 @@ def residual_tail(spark, sf_dir):
     """Every customer twice, one copy after the other; what is missing lies in the first half of the extract."""
     once = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")).alias("c_name"))
     twice = once.withColumn("half", F.lit(0)).unionByName(once.withColumn("half", F.lit(1)))
-    df = twice.orderBy("half", "c_custkey").drop("half").coalesce(1)
-    outcome = _gate(spark).run_table(df, Source("sql", name="customer"))
+    outcome = _gate(spark).run_table(twice.orderBy("half", "c_custkey").drop("half"), Source("sql", name="customer"))
     (missing,) = [issue for issue in outcome.audit.residual if issue.issue_type == "missing_values"]
     return spark.createDataFrame([(missing.evidence["tail_ratio"],)], "tail_ratio double")
 
@@ -180,8 +179,8 @@ def chosen_dataset(spark, sf_dir):
 def csv_directory(spark, sf_dir):
     """Files of very different sizes: rows come in order of file name and place."""
     path, suppliers = _scratch(spark, "csv"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").orderBy("s_suppkey")
-    suppliers.filter("s_suppkey <= 3").coalesce(1).write.csv(f"{path}/a", header=True)
-    suppliers.filter("s_suppkey > 3").coalesce(1).write.csv(f"{path}/b", header=True)
+    suppliers.filter("s_suppkey <= 3").write.csv(f"{path}/a", header=True)
+    suppliers.filter("s_suppkey > 3").repartitionByRange(4, "s_suppkey").sortWithinPartitions("s_suppkey").write.csv(f"{path}/b", header=True)
     return read_csv(spark, f"{path}/*", multiline=False)
 
 
