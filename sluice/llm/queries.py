@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import exact_dedup, line_runs, mixing, neighbours, packing, quality, simhash, suffix_model, token_counts, token_files
+from sluice.llm import divergence, exact_dedup, line_rules, line_runs, middle, mixing, neighbours, packing, quality, simhash, suffix_model, token_counts, token_files
 from sluice.llm.registry import query, table
 from sluice.workspace import workspace
 
@@ -72,3 +72,21 @@ def op9_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
+
+
+@query("op11_source_divergence", divergence.SQL)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op12_fill_in_middle", middle.SQL)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(middle.rebuilt(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return cut.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+@query("op13_line_rules", line_rules.SQL)
+def op13_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_rules.clean_lines(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
