@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from queries.registry import query, table
 from sluice.sources.positions import parquet_with_positions, with_positions
 from sluice.sources.readers import payload_records, read_csv, read_json, read_sql
-from sluice.sources.shape import flatten, renamed, schema_report, unwrap
+from sluice.sources.shape import SCHEMA_REPORT, flatten, renamed, schema_report, unwrap
 from sluice.workspace import workspace
 
 
@@ -122,7 +122,7 @@ def report(spark, sf_dir):
     named = [f"{c} AS `{c.replace('_', ' ', 1)}`" for c in _REPORTED]
     df = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS _ord", *named)
     shown = F.concat_ws("|", "examples").alias("examples")
-    return schema_report(df).select("name", "original_name", shown, "renamed")
+    return spark.createDataFrame(schema_report(df), SCHEMA_REPORT).select("name", "original_name", shown, "renamed")
 
 
 @query("S11_parquet_positions", "SELECT o_orderkey, o_orderkey AS _ord FROM orders")

@@ -1,21 +1,19 @@
 """One table under inspection: every measurement the profile and detectors need.
 
-Each measurement is one Spark job, run when first asked for, and only a few
-numbers per column come back to the driver:
+Measurements run when first asked for, and only a few numbers per column come back:
 
-* ``counts``    one wide aggregate over the scan; text rules run over grouped values
-* ``tokens``    value counts of text columns (one map-side combined shuffle)
-* ``distinct``  distinct values per column
+* ``measure``   what is counted of cells and rows, in one job: text rules over grouped values,
+                numbers of native columns, spellings, copies and key conflicts (16 bytes a row shuffled)
 * ``quartiles`` exact quartiles of numeric columns
 * ``spread``    outliers and histogram buckets, one wide aggregate
-* ``groups``    one row per distinct row (16-byte fingerprints shuffled)
+* ``distinct``  distinct numbers of native columns
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -30,8 +28,6 @@ from sluice.operators.quantiles import Numbers, approximate_quantiles, exact_qua
 from sluice.rules import DEFAULT_RULES, Rules
 from sluice.workspace import written
 
-_COLUMNS_PER_JOB = 6  # side by side in one aggregate, so that generated code stays small enough to be compiled
-
 
 @dataclass
 class Counts:
@@ -73,52 +69,46 @@ class Spread:
     buckets: list[int] = field(default_factory=list)
 
 
-def _text_aggregates(cell: Cell) -> dict[str, str]:
-    """SQL aggregates over distinct texts, each weighted by its frequency ``n``."""
-    tests = {what: cell.flag_sql(what) for what in ("blank", "sentinel", "decorated", "padded", "not_iso")} | {
-        "truths": f"{cell.truth_sql} IS NOT NULL",
-        "emails": cell.ref("email"),
-        "days": f"{cell.day_sql} IS NOT NULL",
-    }
-    weighted = {what: f"sum(if({test}, n, 0))" for what, test in tests.items()}
-    return weighted | {"longest": f"max(octet_length({cell.ref('bare')}))"}
-
-
-def _number_aggregates(x: str) -> dict[str, str]:
-    """SQL aggregates over a DOUBLE column."""
-    return {
-        "numbers": f"count({x})",
-        "negative": f"count_if({x} < 0)",
-        "fractional": f"count_if(abs({x} - rint({x})) >= 1e-9D)",
-        "inexact": f"count_if({x} != rint({x}))",
-        "low": f"min({x})",
-        "high": f"max({x})",
-        "mean": f"avg({x})",
-        "deviation": f"stddev_samp({x})",
-    }
+#: How the rows of ``Inspection._parts`` are put together, whatever they are of.
+_TOGETHER = {
+    "n": F.sum, "blank": F.sum, "sentinel": F.sum, "decorated": F.sum, "padded": F.sum, "not_iso": F.sum,
+    "truths": F.sum, "emails": F.sum, "days": F.sum, "numbers": F.sum, "negative": F.sum, "fractional": F.sum,
+    "inexact": F.sum, "low": F.min, "high": F.max, "total": F.sum, "longest": F.max, "deviation": F.stddev_samp,
+    "tokens": F.sum, "rewrite": F.sum, "variants": F.sum, "aliases": F.sum, "countries": F.collect_list,
+    "extra": F.sum, "present": F.max,
+}
+_COUNTED = (
+    "blank", "sentinel", "decorated", "padded", "not_iso", "truths", "emails", "days", "numbers", "negative",
+    "fractional", "inexact", "longest", "low", "high",
+)
 
 
 class Inspection:
     """Measurements, inferred types and roles of one DataFrame."""
 
-    def __init__(self, df: DataFrame, rules: Rules = DEFAULT_RULES, extent: int | None = None):
-        """``extent``: how far positions reach, where rows were dropped since they were given."""
+    def __init__(self, df: DataFrame, rules: Rules = DEFAULT_RULES, extent: int | None = None, spread: bool = True):
+        """``extent``: how far positions reach, where rows were dropped since they were given.
+        ``spread=False``: the table lies in enough parts already."""
         self.rules = rules
         self._extent = extent
         self.cells = cells_of(df, rules=rules)
         self.ordered = ORD in df.columns
         self._kept: list[DataFrame] = []
-        self.df = self._spread(df)
+        self._done: set[str] = set()
+        self._found: dict[str, dict[int, dict]] = {}
+        self.df = self._spread(df, spread)
 
-    def _spread(self, df: DataFrame) -> DataFrame:
+    def _spread(self, df: DataFrame, spread: bool) -> DataFrame:
         """A small table, often one split, is spread over the cores and cached; others are scanned."""
         size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
         self._small = int(str(size)) <= self.rules.small_table_bytes
         if not self.cells or not self._small:
             return df
+        if not spread:
+            return self.keep(df)
         cores = df.sparkSession.sparkContext.defaultParallelism
         by = [quoted(ORD)] if self.ordered else [quoted(c.name) for c in self.cells if c.kind != "nested"]
-        return self._keep(df.repartition(cores, *by))
+        return self.keep(df.repartition(cores, *by))
 
     def cell(self, name: str) -> Cell:
         return next(cell for cell in self.cells if cell.name == name)
@@ -127,7 +117,7 @@ class Inspection:
         """The table with the derived columns of some of its cells."""
         return with_facts(self.df, cells)
 
-    def _keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame) -> DataFrame:
         """What several measurements read: cached if the table is small, else written to the shared folder."""
         if not self._small:
             return written(df, "measured")
@@ -145,91 +135,101 @@ class Inspection:
     def __exit__(self, *_) -> None:
         self.close()
 
-    # -- one scan, one row per column ---------------------------------------------------
-    @cached_property
-    def counts(self) -> dict[str, Counts]:
-        texts = [cell for cell in self.cells if cell.is_text]
-        others = [cell for cell in self.cells if not cell.is_text]
-        found = self._count_texts(texts + [cell for cell in others if cell.dates_from_number])
-        for start in range(0, len(others), _COLUMNS_PER_JOB):
-            found |= self._count_natives(others[start : start + _COLUMNS_PER_JOB], found)
-        return {cell.name: found.get(cell.name, Counts()) for cell in self.cells}
+    # -- one aggregate over everything that is counted ------------------------------------
+    def measure(self, cells: bool = True, rows_too: bool = True) -> None:
+        """Rules, distinct values and spellings of every column (``cells``), copies and key conflicts
+        (``rows_too``): one job with one last aggregate, tagged by what a row belongs to."""
+        cells, rows_too = cells and "cells" not in self._done, rows_too and "rows" not in self._done
+        parts = (self._cell_parts() if cells else []) + (self._row_parts() if rows_too else [])
+        self._found |= {name: {} for name, _ in parts}
+        if parts:
+            whole = None
+            for name, frame in parts:
+                frame = frame.withColumn("part", F.lit(name))
+                whole = frame if whole is None else whole.unionByName(frame, allowMissingColumns=True)
+            made = [together(what).alias(what) for what, together in _TOGETHER.items() if what in whole.columns]
+            for row in whole.groupBy("part", "column").agg(*made).collect():
+                self._found[row["part"]][row["column"]] = row.asDict()
+        self._done |= ({"cells"} if cells else set()) | ({"rows"} if rows_too else set())
+
+    def _cell_parts(self) -> list[tuple[str, DataFrame]]:
+        natives = [cell for cell in self.cells if not cell.is_text]
+        found = [("words", spellings.measured_tokens(self._measured, self.worded, self.rules))] if self.worded else []
+        return [*found, ("natives", self._native_rows(natives))] if natives else found
+
+    def _native_rows(self, cells: list[Cell]) -> DataFrame:
+        """One row for each cell of the columns that are no text, of one small set of columns."""
+        structs = []
+        for cell in cells:
+            x = cell.number_sql
+            structs.append(f"struct({cell.index} AS column, CAST(__blank_{cell.index} AS BIGINT) AS blank, {x} AS x)")
+        long = self.facts(cells).selectExpr(f"explode(array({', '.join(structs)})) AS v").select("v.*")
+        tests = {"numbers": "x IS NOT NULL", "negative": "x < 0", "fractional": "abs(x - rint(x)) >= 1e-9D", "inexact": "x != rint(x)"}
+        counted = [f"if({test}, 1L, 0L) AS {what}" for what, test in tests.items()]
+        return long.selectExpr("column", "1L AS n", "blank", *counted, "x AS low", "x AS high", "x AS total", "x AS deviation")
+
+    def _row_parts(self) -> list[tuple[str, DataFrame]]:
+        copies = self.groups.selectExpr("-1 AS column", "if(n > 1, n, 0L) AS n", "n - 1 AS extra")
+        found = [("copies", copies)] if self.cells else []
+        for key in self.keys:
+            tokens = rows.conflict_tokens(rows.repeated_keys(self.groups, key))
+            counted = tokens.selectExpr(f"{key.index} AS column", "if(variants > 1, rows, 0L) AS n", "if(variants > 1, 1L, 0L) AS tokens", "present")
+            found.append((f"key {key.index}", counted))
+        return found
 
     @cached_property
-    def _values(self) -> DataFrame:
-        return self._keep(spellings.text_values(self.df, self.worded))
+    def _measured(self) -> DataFrame:
+        """Every spelling of the columns that are counted as text; short values are grouped before rules run."""
+        short = spellings.text_values(self.df, self.worded).filter("NOT long").select("column", "text", "n")
+        long = long_texts(self.df, self.worded).filter(F.octet_length("text") > spellings.LONG)
+        texts = short.unionByName(long.withColumn("n", F.lit(1).cast("bigint")))
+        return self.keep(spellings.measured_spellings(texts, self.worded))
 
     @cached_property
-    def _long_columns(self) -> set[int]:
-        return {row["column"] for row in self._values.filter("long").select("column").distinct().collect()}
-
-    def texts(self, cells: Sequence[Cell]) -> DataFrame:
-        """``(column, text, n)``: short values grouped, long texts one by one."""
-        wanted = [cell.index for cell in cells]
-        short = self._values.filter(F.col("column").isin(wanted) & ~F.col("long")).select("column", "text", "n")
-        wide = [cell for cell in cells if cell.index in self._long_columns]
-        if not wide:
-            return short
-        long = long_texts(self.df, wide).filter(F.octet_length("text") > spellings.LONG)
-        return short.unionByName(long.withColumn("n", F.lit(1).cast("bigint")))
-
-    def _count_texts(self, cells: list[Cell]) -> dict[str, Counts]:
-        """Text rules over the distinct values of all text columns: one small piece of code."""
-        if not cells:
-            return {}
-        cell = long_cell(cells)
-        x = cell.number_sql
-        made = _text_aggregates(cell) | {
-            "numbers": f"sum(if({x} IS NOT NULL, n, 0))",
-            "negative": f"sum(if({x} < 0, n, 0))",
-            "fractional": f"sum(if(abs({x} - rint({x})) >= 1e-9D, n, 0))",
-            "inexact": f"sum(if({x} != rint({x}), n, 0))",
-            "low": f"min({x})",
-            "high": f"max({x})",
-            "mean": f"sum({x} * n) / nullif(sum(if({x} IS NOT NULL, n, 0)), 0)",
-        }
-        long = with_facts(self.texts(cells), [cell]).groupBy("column")
+    def counts(self) -> dict[str, Counts]:
+        self.measure(rows_too=False)
+        words, natives = self._found.get("words", {}), self._found.get("natives", {})
         found = {}
-        for row in long.agg(F.sum("n").alias("rows"), *[F.expr(f"{sql} AS {what}") for what, sql in made.items()]).collect():
-            one = self.cells[row["column"]]
-            wanted = ("rows", *made) if one.is_text else ("days", "not_iso")
-            found[one.name] = Counts(**{what: row[what] for what in wanted if row[what] is not None})
+        for cell in self.cells:
+            row = words.get(cell.index) if cell.is_text else natives.get(cell.index)
+            if row is None:
+                found[cell.name] = Counts()
+                continue
+            counts = Counts(rows=row["n"], **{what: row[what] for what in _COUNTED if row.get(what) is not None})
+            if counts.numbers:
+                counts.mean = row["total"] / counts.numbers
+            if not cell.is_text:
+                counts.deviation = row["deviation"]
+                self._count_native(cell, counts, words.get(cell.index))
+            found[cell.name] = counts
         return found
 
+    def _count_native(self, cell: Cell, counts: Counts, as_words: dict | None) -> None:
+        if cell.kind == "bool":
+            counts.truths = counts.present
+        elif cell.kind == "time":
+            counts.days = counts.present
+            clock = self.rules.truncate_time and cell.dtype.typeName() != "date"
+            counts.not_iso = counts.present if clock else 0
+        elif cell.dates_from_number and as_words:
+            counts.days, counts.not_iso = as_words["days"], as_words["not_iso"]
+
     def deviation(self, cell: Cell) -> float:
-        """Sample standard deviation; of a text column about its mean, over distinct values."""
-        counts = self.counts[cell.name]
-        if not cell.is_text:
-            return counts.deviation or 0.0
-        if counts.numbers < 2:
-            return 0.0
-        one = long_cell([cell])
-        off = f"({one.number_sql} - {double(counts.mean)})"
-        squares = with_facts(self.texts([cell]), [one]).selectExpr(f"sum({off} * {off} * n) AS s").first().s
-        return math.sqrt(squares / (counts.numbers - 1))
-
-    def _count_natives(self, cells: list[Cell], known: dict[str, Counts]) -> dict[str, Counts]:
-        """Aggregates of columns that are no text, side by side in one row."""
-        wanted = {}
-        for cell in cells:
-            made = _number_aggregates(f"__number_{cell.index}") if cell.kind == "number" else {}
-            for what, sql in ({"blank": f"count_if(__blank_{cell.index})"} | made).items():
-                wanted[f"{cell.index}_{what}"] = (cell, what, sql)
-        aggregates = [F.expr(f"{sql} AS `{name}`") for name, (_, _, sql) in wanted.items()]
-        row = self.facts(cells).agg(F.count(F.lit(1)).alias("rows"), *aggregates).first()
-        found = {cell.name: replace(known.get(cell.name, Counts()), rows=row["rows"]) for cell in cells}
-        for name, (cell, what, _) in wanted.items():
-            if row[name] is not None:
-                setattr(found[cell.name], what, row[name])
-        for cell in cells:
-            counts = found[cell.name]
-            if cell.kind == "bool":
-                counts.truths = counts.present
-            elif cell.kind == "time":
-                counts.days = counts.present
-                clock = self.rules.truncate_time and cell.dtype.typeName() != "date"
-                counts.not_iso = counts.present if clock else 0
-        return found
+        """Sample standard deviation; of a text column about its mean, over distinct spellings."""
+        return self._text_deviations[cell.name] if cell.is_text else self.counts[cell.name].deviation or 0.0
+
+    @cached_property
+    def _text_deviations(self) -> dict[str, float]:
+        """Of all text columns that are numeric, in one job."""
+        cells = [cell for cell in self.numeric if cell.is_text]
+        means = ", ".join(f"{cell.index}, {double(self.counts[cell.name].mean)}" for cell in cells if self.counts[cell.name].numbers)
+        found = {}
+        if means:
+            off = f"(x - try_element_at(map({means}), column))"
+            rows_ = self._measured.filter("x IS NOT NULL").groupBy("column").agg(F.expr(f"sum({off} * {off} * n) AS squares")).collect()
+            found = {row["column"]: row["squares"] for row in rows_}
+        numbers = {cell.name: self.counts[cell.name].numbers for cell in cells}
+        return {c.name: math.sqrt(found.get(c.index) or 0.0) / math.sqrt(max(numbers[c.name] - 1, 1)) for c in cells}
 
     @cached_property
     def rows(self) -> int:
@@ -247,7 +247,16 @@ class Inspection:
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return self._keep(spellings.spelling_counts(self.texts(self.worded), self.worded))
+        """``(column, folded, spelling, digest, n)`` of the present cells, by spelling."""
+        return self._measured.filter("folded IS NOT NULL").select("column", "folded", "spelling", "digest", "n")
+
+    def sentinel_words(self, cells: Sequence[Cell]) -> dict[int, list[str]]:
+        """The words for no value that stand in some columns; case variants of a dozen short words."""
+        wanted = F.col("column").isin([cell.index for cell in cells]) & (F.col("sentinel") > 0)
+        found: dict[int, list[str]] = {}
+        for row in self._measured.filter(wanted).select("column", "spelling").distinct().collect():
+            found.setdefault(row["column"], []).append(row.spelling)
+        return {column: sorted(words) for column, words in found.items()}
 
     @cached_property
     def distinct(self) -> dict[str, int]:
@@ -266,8 +275,9 @@ class Inspection:
             return {}
         if self.rules.approximate:
             return {cell.name: self.distinct[cell.name] for cell in self.worded}
-        found = {row["column"]: row["tokens"] for row in spellings.distinct_tokens(self.tokens).collect()}
-        return {cell.name: found.get(cell.index, 0) for cell in self.worded}
+        self.measure(rows_too=False)
+        found = self._found.get("words", {})
+        return {cell.name: found[cell.index]["tokens"] if cell.index in found else 0 for cell in self.worded}
 
     @cached_property
     def distinct_numbers(self) -> dict[str, int]:
@@ -372,8 +382,7 @@ class Inspection:
         found = {c.name: self.distinct_numbers[c.name] for c in self.numeric if c.kind == "number"}
         texts = [cell for cell in self.numeric if cell.kind != "number"]
         if texts:
-            one = long_cell(texts)
-            parsed = with_facts(self.texts(texts), [one]).select("column", F.expr(one.number_sql).alias("x"))
+            parsed = self._measured.filter(F.col("column").isin([cell.index for cell in texts])).select("column", "x")
             sizes = parsed.filter("x IS NOT NULL").distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()
             by_index = {row["column"]: row["n"] for row in sizes}
             found |= {cell.name: by_index.get(cell.index, 0) for cell in texts}
@@ -471,7 +480,7 @@ class Inspection:
     @cached_property
     def groups(self) -> DataFrame:
         groups = rows.row_groups(self.df, self.cells, self.keys)
-        return self._keep(groups) if self.keys else groups
+        return written(groups, "groups") if self.keys and not self._small else groups
 
     @cached_property
     def copies(self) -> tuple[int, int]:
@@ -479,17 +488,15 @@ class Inspection:
         measured = self.__dict__.get("distinct_numbers", {}) | self.__dict__.get("distinct_words", {})
         if not self.rules.approximate and any(measured.get(key.name) == self.rows for key in self.keys):
             return 0, 0  # a key that never repeats leaves no room for copies
-        return rows.copy_counts(self.groups)
+        self.measure(cells=False)
+        row = self._found.get("copies", {}).get(-1)
+        return (row["n"], row["extra"]) if row else (0, 0)
 
     def key_conflicts(self, key: Cell) -> tuple[int, int]:
         """(rows, groups) that share a key but differ elsewhere."""
-        tokens = rows.conflict_tokens(rows.repeated_keys(self.groups, key))
-        row = tokens.agg(
-            F.coalesce(F.max("present"), F.lit(False)).alias("triggered"),
-            F.coalesce(F.sum(F.when(F.col("variants") > 1, F.col("rows"))), F.lit(0)).alias("rows"),
-            F.count_if(F.col("variants") > 1).alias("tokens"),
-        ).first()
-        return (int(row["rows"]), int(row["tokens"])) if row.triggered else (0, 0)
+        self.measure(cells=False)
+        row = self._found[f"key {key.index}"].get(key.index)
+        return (row["n"], row["tokens"]) if row and row["present"] else (0, 0)
 
     # -- categories -------------------------------------------------------------------
     def checks_categories(self, cell: Cell) -> bool:
@@ -514,11 +521,22 @@ class Inspection:
 
     @cached_property
     def categories(self) -> dict[str, dict]:
-        if not self.category_cells:
-            return {}
-        names = {cell.index: cell.name for cell in self.category_cells}
-        found = spellings.category_findings(self.category_spellings, self.category_cells, self.rules).collect()
-        return {names[row["column"]]: row.asDict() for row in found}
+        """Rows to rewrite, losing spellings, aliases and countries of several spellings, by column."""
+        found = {}
+        long = [c for c in self.category_cells if 3 * self.counts[c.name].longest > spellings.LONG]
+        for cell in self.category_cells:
+            row = self._found["words"][cell.index]
+            forms: dict[str, int] = {}
+            for country in row["countries"]:
+                forms[country.canonical] = forms.get(country.canonical, 0) + country.forms
+            mixed = sum(n > 1 for n in forms.values())
+            found[cell.name] = {"rows": row["rewrite"], "variants": row["variants"], "aliases": row["aliases"] or 0, "mixed": mixed}
+        if long:  # their whole texts decide
+            names = {cell.index: cell.name for cell in long}
+            for row in spellings.category_findings(self.category_spellings, long, self.rules).collect():
+                if row["column"] in names:
+                    found[names[row["column"]]] = row.asDict()
+        return found
 
     def truth_counts(self, cell: Cell) -> DataFrame:
         """``(value, n)`` of the booleans a column is read as."""

@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.cells import ORD, Cell, country_of, long_cell, with_facts
+from sluice.functions.cells import ORD, Cell, country_of
 from sluice.functions.names import is_country_name
 from sluice.functions.severity import severity
 from sluice.functions.sqltext import quoted, text
@@ -134,6 +134,7 @@ def detect(inspection: Inspection, evidence: bool = True) -> list[Issue]:
     ``evidence`` adds sentinel words, spellings and, for tables with row
     positions, the first flagged positions, examples and the tail ratio.
     """
+    inspection.measure()
     if inspection.rows == 0:
         return []
     issues = _copies_issue(inspection)
@@ -155,17 +156,9 @@ def _add_words(inspection: Inspection, issues: Sequence[Issue]) -> None:
     by_type = {(issue.column, issue.issue_type): issue for issue in issues}
     marked = [cell for cell in inspection.cells if (cell.name, "sentinel_values") in by_type]
     if marked:
-        one = long_cell(marked)
-        words = (
-            with_facts(inspection.texts(marked), [one])
-            .filter(one.sentinel)
-            .select("column", one.bare.alias("word"))
-            .distinct()  # case variants of a dozen short words
-            .collect()
-        )
+        words = inspection.sentinel_words(marked)
         for cell in marked:
-            tokens = sorted(row.word for row in words if row["column"] == cell.index)[:8]
-            by_type[cell.name, "sentinel_values"].evidence["tokens"] = tokens
+            by_type[cell.name, "sentinel_values"].evidence["tokens"] = words.get(cell.index, [])[:8]
     mixed = [cell for cell in inspection.category_cells if (cell.name, "inconsistent_categories") in by_type]
     if mixed:
         wanted = inspection.category_spellings.filter(F.col("column").isin([cell.index for cell in mixed]))
@@ -227,10 +220,11 @@ def _misspelled(inspection: Inspection, cell: Cell, label: int) -> DataFrame:
 
 
 def _add_positions(inspection: Inspection, issues: Sequence[Issue]) -> None:
-    marked = flagged_rows(inspection, issues)
-    for label, tail in rows.tail_ratios(marked, inspection.extent).items():
+    marked = inspection.keep(flagged_rows(inspection, issues))
+    tails: dict[int, float] = {}
+    first = rows.first_rows(marked, POSITIONS, inspection.extent, tails).collect()
+    for label, tail in tails.items():
         issues[label].evidence["tail_ratio"] = tail
-    first = rows.first_rows(marked, POSITIONS, inspection.extent).collect()
     for row in sorted(first, key=lambda r: (r.label, r.place)):
         issue = issues[row.label]
         issue.positions.append(row[ORD])

@@ -5,7 +5,7 @@ interval known to hold a wanted rank is cut into equal blocks, one scan counts
 the rows per block (a few thousand small groups, combined before the shuffle),
 and only the block holding the rank stays in play, shrunk to its smallest and
 largest value. Evenly spread values lose a factor of 4096 per scan, so 10^12 rows
-need three; what is left, at most ``rows_per_task``, is ranked value by value.
+need three; what is left, at most ``rows_per_task``, is ordered in one buffer.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.sqltext import double
@@ -103,21 +103,15 @@ def _narrow(df: DataFrame, numbers: Mapping[str, Numbers], brackets: Sequence[li
 
 
 def _settle(df: DataFrame, numbers: Mapping[str, Numbers], brackets: Sequence[list[_Target]]) -> None:
-    """Rank the values left in each bracket one by one."""
-    values = _in_play(df, numbers, brackets, block=False).groupBy("label", "x").agg(F.count(F.lit(1)).alias("n"))
+    """Order the values left in each bracket, which are few, and take the wanted ranks."""
     wanted = ", ".join(
-        f"{label}, array({', '.join(f'{t.rank - t.below}L' for t in members)})" for label, members in enumerate(brackets)
+        f"{label}, array({', '.join(str(t.rank - t.below) for t in members)})" for label, members in enumerate(brackets)
     )
-    covers = f"exists(element_at(map({wanted}), label), r -> r < upto AND r >= upto - n)"
-    hits = (
-        values.withColumn("upto", F.sum("n").over(Window.partitionBy("label").orderBy("x")))
-        .filter(covers)
-        .collect()
-    )
-    for hit in hits:
-        for target in brackets[hit.label]:
-            if hit.upto - hit.n <= target.rank - target.below < hit.upto:
-                target.low = target.high = hit.x
+    values = _in_play(df, numbers, brackets, block=False).groupBy("label").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    picked = values.selectExpr("label", f"transform(element_at(map({wanted}), label), r -> get(xs, r)) AS found")
+    for row in picked.collect():
+        for target, x in zip(brackets[row.label], row.found):
+            target.low = target.high = x
 
 
 def exact_quantiles(

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sluice.functions import fixed
@@ -21,6 +21,7 @@ from sluice.functions.cells import (
     Cell,
     cells_of,
     country_of,
+    fold,
     strip,
     with_facts,
     without_facts,
@@ -234,20 +235,34 @@ CELL_REPAIRS: dict[str, CellRepair] = {
 }
 
 
+def known_answers(inspection: Inspection) -> dict[tuple[str, str], bool]:
+    """Answers to the questions of ``_question`` that an inspection of the raw table holds; cell repairs
+    that come earlier in the fixed order do not change them."""
+    found = {}
+    for cell in inspection.cells:
+        counts = inspection.counts[cell.name]
+        far = max(abs(counts.low or 0.0), abs(counts.high or 0.0))
+        found["coerce_numeric", cell.name] = not counts.inexact and far < 2.0**63
+        found["coerce_booleans", cell.name] = counts.truths == counts.present
+    return found
+
+
 def repair_cells(
-    df: DataFrame, repairs: Sequence[Repair], rules: Rules = DEFAULT_RULES, changed: Sequence[str] = ()
+    df: DataFrame, repairs: Sequence[Repair], rules: Rules = DEFAULT_RULES, changed: Sequence[str] = (),
+    answers: dict[tuple[str, str], bool] | None = None,
 ) -> DataFrame:
     """Several columns rewritten in one projection, at most one repair each.
 
-    ``changed`` names a flag column to add for each repair.
+    ``changed`` names a flag column to add for each repair; ``answers`` are those of ``known_answers``.
     """
     cells = {cell.name: cell for cell in cells_of(df, rules=rules)}
     pairs = [(repair, flag) for repair, flag in zip(repairs, changed or [None] * len(repairs)) if repair.column in cells]
     facts = with_facts(df, [cells[repair.column] for repair, _ in pairs])
     asked = {repair.column: _question(cells[repair.column], repair) for repair, _ in pairs}
-    asked = {column: sql for column, sql in asked.items() if sql}
-    answers = facts.selectExpr(*[f"coalesce({sql}, true)" for sql in asked.values()]).first() if asked else ()
-    known = dict(zip(asked, answers))
+    known = {r.column: answers[r.strategy, r.column] for r, _ in pairs if asked[r.column] and (r.strategy, r.column) in (answers or {})}
+    asked = {column: sql for column, sql in asked.items() if sql and column not in known}
+    if asked:
+        known |= dict(zip(asked, facts.selectExpr(*[f"coalesce({sql}, true)" for sql in asked.values()]).first()))
     made = {}
     for repair, name in pairs:
         extra = (known[repair.column],) if repair.column in known else ()
@@ -264,17 +279,24 @@ _LITERAL_SPELLINGS = 64
 
 
 def canonicalize_case(
-    df: DataFrame, repairs: Sequence[Repair], rules: Rules = DEFAULT_RULES, changed: Sequence[str] = ()
+    df: DataFrame, repairs: Sequence[Repair], rules: Rules = DEFAULT_RULES, changed: Sequence[str] = (),
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Losing spellings of columns replaced by their winner, as found on ``df`` now."""
+    """Losing spellings of columns replaced by their winner.
+
+    ``counted`` holds the spellings as ``(column, folded, spelling, n)`` where they are known, else they are
+    counted on ``df`` now.
+    """
     flags = dict(zip([repair.column for repair in repairs], changed))
     cells = [cell for cell in cells_of(df, rules=rules) if cell.kind == "text" and cell.name in {r.column for r in repairs}]
     if not cells:
         return df
-    losers = with_winner(whole_spellings(df, cells)).filter("spelling <> winner").select("column", "spelling", "winner")
-    losers = written(losers, "spellings")
+    counted = whole_spellings(df, cells) if counted is None else counted.filter(F.col("column").isin([c.index for c in cells]))
+    losers = with_winner(counted).filter("spelling <> winner").select("column", "spelling", "winner")
     most = len(cells) * _LITERAL_SPELLINGS
     few = losers.limit(most + 1).collect()
+    if len(few) > most:
+        losers = written(losers, "spellings")
     for cell in cells:
         raw = quoted(cell.name)
         running = df.withColumn("__bare", F.expr(strip(raw)))
@@ -362,23 +384,28 @@ def apply(
     rows: int | None = None,
     count: bool = True,
     write: bool = False,
+    inspected: Inspection | None = None,
+    target: str | None = None,
 ) -> tuple[DataFrame, list[Repair]]:
     """The repaired table and the plan with ``applied`` and ``rows_affected`` filled in.
 
     Cell changes are flagged beside the rows and summed in one aggregate that reads
-    only the repaired columns; dropped rows are row counts of written tables. ``rows``
-    is the size of ``df`` where it is known; ``write`` asks for a written result.
+    only the repaired columns; dropped rows are counted while the others are written. ``rows``
+    is the size of ``df`` where it is known; ``write`` asks for a written result, at ``target``
+    if a path is named. ``inspected`` is an open inspection of ``df``, which saves asking again.
     """
     rows = df.count() if rows is None else rows
     affected: dict[tuple[str, str | None], int] = {}
     running, pending, on_disk = df, [], False
-    for repair in chosen(repairs, include_review):
+    plan = chosen(repairs, include_review)
+    last = next((r for r in reversed(plan)), None)
+    for repair in plan:
         affected[repair.strategy, repair.column] = 0
         if repair.strategy not in ROW_REPAIRS:
             pending.append(repair)
             continue
         if pending:
-            running = _rewrite(running, pending, rules, affected if count else None)
+            running = _rewrite(running, pending, rules, affected if count else None, inspected)
             if include_review:
                 running = written(running, "cells")  # several row repairs will read these cells
             pending, on_disk = [], include_review
@@ -386,14 +413,17 @@ def apply(
         if smaller is not running:
             running, on_disk = smaller, False
             if count or write:
-                running, on_disk = written(smaller, "rows"), True
-                left = running.count()
+                seen = Observation()  # counted in the tasks that write
+                counted = smaller.observe(seen, F.count(F.lit(1)).alias("left"))
+                running, on_disk = written(counted, "rows", target if repair is last else None), True
+                left = seen.get["left"]
                 affected[repair.strategy, repair.column] = rows - left
                 rows = left
+                inspected = None
     if pending:
-        running, on_disk = _rewrite(running, pending, rules, affected if count else None), False
+        running, on_disk = _rewrite(running, pending, rules, affected if count else None, inspected), False
     if write and not on_disk:
-        running = written(running, "repaired")
+        running = written(running, "repaired", target)
     done = [
         replace(r, applied=(r.strategy, r.column) in affected, rows_affected=affected.get((r.strategy, r.column), 0))
         for r in repairs
@@ -402,19 +432,22 @@ def apply(
 
 
 def _rewrite(
-    df: DataFrame, repairs: Sequence[Repair], rules: Rules, affected: dict[tuple[str, str | None], int] | None
+    df: DataFrame, repairs: Sequence[Repair], rules: Rules, affected: dict[tuple[str, str | None], int] | None,
+    inspected: Inspection | None = None,
 ) -> DataFrame:
     """All cell repairs of one stretch, and how many cells each changed."""
     running, flags = df, {}
+    answers = known_answers(inspected) if inspected else None
+    renamed = [r.column for r in repairs if r.strategy == "normalize_country"]
     for wave in _waves(repairs):
         plain = [repair for repair in wave if repair.strategy in CELL_REPAIRS]
         names = [f"__changed_{repair.strategy}_{df.columns.index(repair.column)}" for repair in plain]
         if plain:
-            running = repair_cells(running, plain, rules, names)
+            running = repair_cells(running, plain, rules, names, answers)
         cased = [repair for repair in wave if repair.strategy == "canonicalize_case"]
         if cased:
             more = [f"__changed_case_{df.columns.index(repair.column)}" for repair in cased]
-            running = canonicalize_case(running, cased, rules, more)
+            running = canonicalize_case(running, cased, rules, more, _counted_spellings(inspected, cased, renamed) if inspected else None)
             names, plain = names + more, plain + cased
         flags |= {name: (r.strategy, r.column) for name, r in zip(names, plain) if name in running.columns}
     if flags and affected is not None:
@@ -423,6 +456,18 @@ def _rewrite(
     return running.select(*map(quoted, df.columns))
 
 
+def _counted_spellings(inspected: Inspection, repairs: Sequence[Repair], renamed: Sequence[str]) -> DataFrame | None:
+    """Spellings of the columns as they are after aliases of countries got their one name; None if not all are known."""
+    known = {cell.name for cell in inspected.category_cells}
+    if any(repair.column not in known for repair in repairs):
+        return None
+    by_country = [inspected.cell(name).index for name in renamed]
+    name = F.when(F.col("column").isin(by_country), F.expr(country_of("spelling", inspected.rules)))
+    now = inspected.category_spellings.withColumn("spelling", F.coalesce(name, "spelling"))
+    now = now.groupBy("column", "spelling").agg(F.sum("n").alias("n"))
+    return now.select("column", F.expr(fold("spelling")).alias("folded"), "spelling", "n")
+
+
 def repair_rows(repairs: Sequence[Repair]) -> list[dict]:
     return [asdict(repair) for repair in repairs]
 

@@ -51,15 +51,6 @@ def row_groups(df: DataFrame, cells: Sequence[Cell], keys: Sequence[Cell] = ())
     )
 
 
-def copy_counts(groups: DataFrame) -> tuple[int, int]:
-    """(rows that have a copy, rows beyond the first of each)."""
-    row = groups.agg(
-        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra"),
-    ).first()
-    return int(row.rows), int(row.extra)
-
-
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Every distinct row that occurs more than once, with its number of ``copies``."""
     names = data_columns(df)
@@ -165,36 +156,33 @@ def keep_first(df: DataFrame, key: str, rules: Rules = DEFAULT_RULES, rows: int
     return alone.unionByName(_first_of_group(again, [column.alias("__group")]))
 
 
-def tail_ratios(marked: DataFrame, rows: int) -> dict[int, float]:
-    """Share of each label's rows that lie in the last fifth of the positions."""
-    late = F.avg(F.when(F.col(ORD) >= rows * 0.8, 1.0).otherwise(0.0))
-    return {row.label: round(row.tail, 4) for row in marked.groupBy("label").agg(late.alias("tail")).collect()}
+_POSITION_BLOCKS = 1024
 
 
-def first_rows(marked: DataFrame, limit: int, rows: int) -> DataFrame:
+def first_rows(marked: DataFrame, limit: int, rows: int, tails: dict[int, float] | None = None) -> DataFrame:
     """First ``limit`` rows of each label of ``marked(label, _ord, value)`` by position.
 
-    On a large table a counting pass over a thousand blocks of positions first tells
-    how far each label has to be read; the ranking sees only rows up to there.
+    One aggregate over blocks of positions first tells how far each label has to be read, so the
+    ranking sees only rows up to there. It also gives the share of each label's rows that lie in the
+    last fifth of the positions, which is put into ``tails``. ``marked`` is read twice: give it written
+    or cached where it is dear.
     """
-    if rows > 50_000:
-        marked = _near_the_start(marked, limit, rows)
-    place = F.row_number().over(Window.partitionBy("label").orderBy(ORD))
-    return marked.withColumn("place", place).filter(F.col("place") <= limit)
-
-
-def _near_the_start(marked: DataFrame, limit: int, rows: int) -> DataFrame:
-    block = F.expr(f"CAST({ORD} * 1024D / {rows}D AS INT)")
-    counts = marked.groupBy("label", block.alias("block")).agg(F.count(F.lit(1)).alias("n")).collect()
-    last, seen = {}, {}
+    block = F.expr(f"CAST({ORD} * {_POSITION_BLOCKS}D / {max(rows, 1)}D AS INT)")
+    late = F.count_if(F.col(ORD) >= rows * 0.8)
+    counts = marked.groupBy("label", block.alias("block")).agg(F.count(F.lit(1)).alias("n"), late.alias("late")).collect()
+    reach, seen, behind = {}, {}, {}
     for row in sorted(counts, key=lambda r: (r.label, r.block)):
         if seen.get(row.label, 0) < limit:
-            last[row.label] = row.block
+            reach[row.label] = row.block
         seen[row.label] = seen.get(row.label, 0) + row.n
-    if not last:
-        return marked
-    reach = ", ".join(f"{label}, {block}" for label, block in last.items())
-    return marked.filter(block <= F.expr(f"try_element_at(map({reach}), label)"))
+        behind[row.label] = behind.get(row.label, 0) + row.late
+    if tails is not None:
+        tails |= {label: round(behind[label] / n, 4) for label, n in seen.items()}
+    if reach:
+        last = ", ".join(f"{label}, {block}" for label, block in reach.items())
+        marked = marked.filter(block <= F.expr(f"try_element_at(map({last}), label)"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(ORD))
+    return marked.withColumn("place", place).filter(F.col("place") <= limit)
 
 
 def mark(df: DataFrame, flags: Mapping[int, tuple[str, str]]) -> DataFrame:

@@ -36,40 +36,87 @@ def text_values(df: DataFrame, cells: Sequence[Cell]) -> DataFrame:
     )
 
 
-def spelling_counts(values: DataFrame, cells: Sequence[Cell]) -> DataFrame:
-    """``(column, folded, spelling, digest, n)`` for the present cells among ``(column, text, n)``.
+def measured_spellings(values: DataFrame, cells: Sequence[Cell]) -> DataFrame:
+    """``(column, folded, spelling, digest, n, x, ...)`` of ``(column, text, n)``: what the text rules count, by spelling.
 
-    ``column`` is the cell's index. For a long text ``folded`` and ``digest`` are
-    128-bit digests of the whole text and ``spelling`` its head; for any other
-    ``digest`` is null and both are the text itself.
+    ``column`` is the cell's index. For a long text ``folded`` and ``digest`` are 128-bit digests of the whole
+    text and ``spelling`` its head; for any other ``digest`` is null and both are the text itself. Of cells that
+    are not present, ``folded`` is null and only words for no value are spelt out. ``x`` is the number read.
     """
     cell = long_cell(cells)
-    bare, folded = cell.bare, F.col("folded")
-    long = F.octet_length(folded) > LONG
-    return (
+    flags = {what: cell.flag_sql(what) for what in ("blank", "sentinel", "decorated", "padded", "not_iso")} | {
+        "truths": f"{cell.truth_sql} IS NOT NULL",
+        "emails": cell.ref("email"),
+        "days": f"{cell.day_sql} IS NOT NULL",
+    }
+    shown = f"{cell.present_sql} OR {cell.flag_sql('sentinel')}"
+    rows = (
         with_facts(values, [cell])
-        .filter(cell.present)
-        .withColumn("folded", F.expr(fold(cell.ref("bare"))))
-        .select(
-            "column",
-            F.when(long, F.md5(folded)).otherwise(folded).alias("folded"),
-            F.when(long, F.left(bare, F.lit(HEAD))).otherwise(bare).alias("spelling"),
-            F.when(long, F.md5(bare)).alias("digest"),
-            "n",
-        )
+        .withColumn("bare", F.expr(f"CASE WHEN {shown} THEN {cell.ref('bare')} END"))
+        .withColumn("folded", F.expr(f"CASE WHEN {cell.present_sql} THEN {fold('bare')} END"))
+    )
+    long, bare, folded = F.coalesce(F.octet_length("folded") > LONG, F.lit(False)), F.col("bare"), F.col("folded")
+    rows = rows.select(
+        "column",
+        F.when(long, F.md5(folded)).otherwise(folded).alias("folded"),
+        F.when(long, F.left(bare, F.lit(HEAD))).otherwise(bare).alias("spelling"),
+        F.when(long, F.md5(bare)).alias("digest"),
+        "n",
+        *[F.expr(f"if({test}, n, 0L) AS {what}") for what, test in flags.items()],
+        F.octet_length(cell.bare).alias("longest"),
+        cell.number.alias("x"),
+    )
+    # spellings of one caseless value meet in one place, so that they need not be shuffled again
+    return (
+        rows.repartition("column", "folded")
         .groupBy("column", "folded", "spelling", "digest")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n"), *[F.sum(what).alias(what) for what in flags], F.max("longest").alias("longest"), F.max("x").alias("x"))
     )
 
 
-def distinct_tokens(counts: DataFrame) -> DataFrame:
-    """``(column, tokens)``: number of caseless distinct values."""
-    return (
-        counts.select("column", "folded", F.col("digest").isNotNull().alias("long"))
-        .distinct()
-        .groupBy("column")
-        .agg(F.count(F.lit(1)).alias("tokens"))
+def measured_tokens(measured: DataFrame, cells: Sequence[Cell], rules: Rules) -> DataFrame:
+    """One row for each caseless value of a column: sums over its spellings, and how these vary.
+
+    ``rewrite`` counts the rows whose spelling loses or is an alias of a country's name, ``countries``
+    holds the country and its spellings here.
+    """
+    countries = [cell.index for cell in cells if is_country_name(cell.name)]
+    with_alias = [cell.index for cell in cells] if rules.alias_rows_everywhere else countries
+    canonical = F.when(F.col("column").isin(with_alias) & F.col("folded").isNotNull(), F.expr(country_of("spelling", rules)))
+    weighed = {
+        "numbers": "x IS NOT NULL",
+        "negative": "x < 0",
+        "fractional": "abs(x - rint(x)) >= 1e-9D",
+        "inexact": "x != rint(x)",
+    }
+    sums = ("n", "blank", "sentinel", "decorated", "padded", "not_iso", "truths", "emails", "days")
+    tokens = (
+        measured.withColumn("canonical", canonical)
+        .groupBy("column", "folded")
+        .agg(
+            *[F.sum(what).alias(what) for what in sums],
+            *[F.sum(F.expr(f"if({test}, n, 0L)")).alias(what) for what, test in weighed.items()],
+            F.min("x").alias("low"),
+            F.max("x").alias("high"),
+            F.sum(F.expr("x * n")).alias("total"),
+            F.max("longest").alias("longest"),
+            F.count(F.lit(1)).alias("forms"),
+            F.min(F.struct(-F.col("n"), -F.length("spelling"), F.col("spelling").alias("winner"))).alias("best"),
+            F.max("canonical").alias("canonical"),
+            F.max(F.expr("spelling = canonical")).alias("named"),
+        )
     )
+    present = F.col("folded").isNotNull()
+    of_country = F.col("column").isin(countries) & F.col("canonical").isNotNull()
+    kept = F.when(F.coalesce(F.col("canonical") == F.col("best.winner"), F.lit(True)), F.expr("-best.col1")).otherwise(0)
+    return tokens.select(
+        "column", *sums, *weighed, "low", "high", "total", "longest",
+        present.cast("long").alias("tokens"),
+        F.when(present, F.col("n") - kept).alias("rewrite"),
+        F.when(present, F.col("forms") - 1).alias("variants"),
+        F.when(of_country, F.col("forms") - F.coalesce(F.col("named"), F.lit(False)).cast("long")).alias("aliases"),
+        F.when(of_country, F.struct("canonical", "forms")).alias("countries"),
+    )
 
 
 def top_values(

@@ -17,7 +17,7 @@ from sluice.operators.issues import Issue, detect, issue_rows
 from sluice.operators.profile import profile_rows
 from sluice.operators.repairs import Repair, apply, numbered, plan_auto, plan_review, repair_rows
 from sluice.operators.validation import Validation, score_of, validate
-from sluice.plans.store import Store, new_id, now
+from sluice.plans.store import Store, files_mark, new_id, now
 from sluice.rules import DEFAULT_RULES, Rules
 from sluice.sources.positions import with_positions
 from sluice.sources.readers import Source, read, require_rows
@@ -55,22 +55,25 @@ class Outcome:
     rows_after: int = 0
 
 
-def audit(df: DataFrame, rules: Rules = DEFAULT_RULES, detail: bool = True) -> Audit:
+def audit(df: DataFrame, rules: Rules = DEFAULT_RULES, detail: bool = True, target: str | None = None) -> Audit:
     """Profile, detect, explain, repair, look again and decide; nothing is published.
 
     ``detail=False`` leaves out the parts of the profile and the evidence that no
-    decision depends on.
+    decision depends on. Repaired rows are written once, at ``target`` if a path is named.
     """
     with Inspection(df, rules) as before:
+        before.measure()
         profile = profile_rows(before, detail)
         issues = detect(before, evidence=detail)
         planned = plan_auto(before, issues)
         rows_before = before.rows
         repaired, applied = df, planned
         if planned:
-            repaired, applied = apply(before.df, planned, rules=rules, rows=before.rows, count=detail, write=True)
+            repaired, applied = apply(
+                before.df, planned, rules=rules, rows=before.rows, count=detail, write=True, inspected=before, target=target
+            )
     if planned:
-        with Inspection(repaired, rules, extent=rows_before) as after:
+        with Inspection(repaired, rules, extent=rows_before, spread=False) as after:
             residual = detect(after, evidence=detail)
             review = plan_review(after, residual)
             rows_after, schema = after.rows, after.schema
@@ -101,30 +104,52 @@ class Gate:
 
     # -- runs -----------------------------------------------------------------------------
     def run(self, source: Source, run_id: str | None = None, detail: bool = True) -> Outcome:
-        """Read a source and publish it, or hold it for review."""
-        return self.run_table(read(self.spark, source), source, run_id, detail)
+        """Read a source and publish it, or hold it for review.
+
+        A Parquet source is read several times; if its files change before the rows are published, the run ends.
+        """
+        parquet = source.kind.lower().strip() == "parquet"
+        df = read(self.spark, source)
+        mark = files_mark(self.spark, source.location) if parquet else None
+        return self._run(df, source, run_id, detail, mark)
 
     def run_table(
         self, df: DataFrame, source: Source, run_id: str | None = None, detail: bool = True
     ) -> Outcome:
         """The same for a DataFrame that is already there."""
+        return self._run(df, source, run_id, detail)
+
+    def _run(
+        self, df: DataFrame, source: Source, run_id: str | None, detail: bool, mark: tuple[int, int] | None = None
+    ) -> Outcome:
         extract, run_id = require_rows(with_positions(df)), run_id or new_id()
         df = renamed(extract)
-        found = audit(df, self.rules, detail)
+        dataset, event = self.store.of_run(run_id)  # what the run led to before, if it is repeated
+        path, published = self.store.published(run_id), dataset is not None
+        found = audit(df, self.rules, detail, target=None if published else path)
         outcome = Outcome(run_id, "fail", "rollback", audit=found, validation=found.validation)
         outcome.repairs, outcome.rows_after = found.repairs, found.rows_after
+        changed = any(repair.applied for repair in found.repairs)
         if found.validation.passed:
-            outcome.status, outcome.decision = "pass", "store"
-            outcome.dataset_id = self._publish(found.repaired, source, found, run_id)
+            outcome.status, outcome.decision, outcome.dataset_id = "pass", "store", run_id
+            if not published and not changed:
+                self.store.write_rows(df, path)
+            dataset = dataset or self._facts(source, found, run_id)
         else:
-            outcome.review_id = self.store.hold(df, run_id)
+            event = event or self.store.hold(df, run_id)
+            outcome.review_id, dataset = event["id"], None
+        if mark and files_mark(self.spark, source.location) != mark:
+            raise GateError(f"the files of {source.location} changed during the run")
         columns = schema_report(extract, found.rows_before if detail else None, examples=detail)
-        self.store.record("columns", run_id, [{"run_id": run_id} | row.asDict() for row in columns.collect()])
-        self._record(df, source, found, outcome)
+        self._record(df, source, found, outcome, dataset=dataset, event=None if dataset else event, columns=columns)
+        if changed and not found.validation.passed and not published:
+            self.store.drop_rows(run_id)  # what was repaired has been looked at, and nothing points to it
         return outcome
 
-    def _publish(self, df: DataFrame, source: Source, found: Audit, run_id: str) -> str:
-        facts = {
+    def _facts(self, source: Source, found: Audit, run_id: str) -> dict:
+        return {
+            "id": run_id,
+            "path": self.store.published(run_id),
             "run_id": run_id,
             "display_name": source.display_name,
             "source_kind": source.kind,
@@ -133,19 +158,17 @@ class Gate:
             "column_count": len(found.schema),
             "quality_score": found.validation.score_after,
             "columns": found.schema,
+            "created_at": now(),
         }
-        return self.store.publish(df, facts)
 
-    def _record(self, df: DataFrame, source: Source, found: Audit, outcome: Outcome, parent: str | None = None) -> None:
+    def _record(
+        self, df: DataFrame, source: Source, found: Audit, outcome: Outcome, parent: str | None = None,
+        dataset: dict | None = None, event: dict | None = None, columns: list[dict] | None = None,
+    ) -> None:
+        """All about a run in one file: it is listed, and its table found, once everything is there."""
         run_id = outcome.run_id
         tag = {"run_id": run_id}
-        self.store.record("profiles", run_id, [tag | row for row in found.profile])
         stages = [("before", found.issues), ("after", found.residual)]
-        self.store.record(
-            "issues", run_id, [tag | {"stage": stage} | row for stage, rows in stages for row in issue_rows(rows)]
-        )
-        self.store.record("causes", run_id, [tag | asdict(cause) for cause in found.causes])
-        self.store.record("repairs", run_id, [tag | row for row in repair_rows(found.repairs)])
         run = {
             "run_id": run_id,
             "parent_run_id": parent,
@@ -165,7 +188,17 @@ class Gate:
             "preview_after": _preview(found.repaired),
             "created_at": now(),
         }
-        self.store.record("runs", run_id, [run])  # last: a run is listed once all about it is there
+        records = {
+            "columns": [tag | row for row in columns or []],
+            "profiles": [tag | row for row in found.profile],
+            "issues": [tag | {"stage": stage} | row for stage, rows in stages for row in issue_rows(rows)],
+            "causes": [tag | asdict(cause) for cause in found.causes],
+            "repairs": [tag | row for row in repair_rows(found.repairs)],
+            "runs": [run],
+            "datasets": [dataset] if dataset else [],
+            "review_events": [event] if event else [],
+        }
+        self.store.record(run_id, records)
 
     # -- reviews --------------------------------------------------------------------------
     def approve(self, review_id: str) -> Outcome:
@@ -176,16 +209,19 @@ class Gate:
         fields = list(Repair.__dataclass_fields__)
         plan = [Repair(**{name: row[name] for name in fields}) for row in rows]
         staged = self.store.staged(review_id)
+        run_id = f"a{event.run_id}"
+        path = self.store.published(run_id)
         repaired, applied = apply(
-            staged, plan, include_review=True, rules=self.rules, rows=run.rows_before, write=True
+            staged, plan, include_review=True, rules=self.rules, rows=run.rows_before, write=True, target=path
         )
-        with Inspection(repaired, self.rules, extent=run.rows_before) as after:
+        with Inspection(repaired, self.rules, extent=run.rows_before, spread=False) as after:
             residual = detect(after)
             profile = profile_rows(after)
             rows_after, schema = after.rows, after.schema
         decision = validate(run.rows_before, rows_after, len(schema), residual, run.score_before, self.rules)
-        outcome = Outcome(f"a{event.run_id}", "fail", "rollback", None, review_id, None, decision, applied, rows_after)
+        outcome = Outcome(run_id, "fail", "rollback", None, review_id, None, decision, applied, rows_after)
         if not decision.passed:
+            self.store.drop_rows(run_id)
             return outcome
         source = Source(run.source_kind, run.source_location, name=run.display_name)
         issues = self._issues(event.run_id)
@@ -193,9 +229,9 @@ class Gate:
             run.rows_before, rows_after, profile, issues, explain(issues), applied, residual, decision, schema, repaired
         )
         outcome.status, outcome.decision, outcome.audit = "pass", "store", found
-        outcome.dataset_id = self._publish(repaired, source, found, outcome.run_id)
-        self._record(staged, source, found, outcome, parent=event.run_id)
-        self.store.resolve(review_id, "approved", outcome.dataset_id)
+        outcome.dataset_id = run_id
+        done = self.store.event(review_id, event.run_id, "approved", event.staged_path, run_id)
+        self._record(staged, source, found, outcome, event.run_id, self._facts(source, found, run_id), done)
         return outcome
 
     def _issues(self, run_id: str) -> list[Issue]:

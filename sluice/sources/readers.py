@@ -13,7 +13,14 @@ from pyspark.sql import types as T
 from sluice.errors import GateError
 from sluice.functions.cells import data_columns, quoted
 from sluice.functions.names import safe_name
-from sluice.sources.positions import parquet_with_positions, with_file_positions, with_positions
+from sluice.sources.positions import (
+    FILE_PLACE,
+    file_place,
+    own_position_renamed,
+    parquet_with_positions,
+    with_file_positions,
+    with_positions,
+)
 from sluice.sources.shape import envelope_key, flatten, unwrap
 
 _MALFORMED = "__malformed"
@@ -52,7 +59,8 @@ def read(spark: SparkSession, source: Source) -> DataFrame:
     if kind == "parquet":
         return _found(lambda: parquet_with_positions(spark, source.location), source.location)
     if kind == "api":
-        return with_positions(payload_records(_found(lambda: payload_files(spark, source.location), source.location)))
+        files = _found(lambda: payload_files(spark, source.location), source.location).select("payload", *file_place())
+        return with_file_positions(own_position_renamed(payload_records(files, keep=FILE_PLACE)))
     if kind in ("postgres", "postgresql", "sqlite", "jdbc"):
         return with_positions(read_database(spark, source))
     raise GateError(f"unknown source kind {source.kind!r}: csv, json, jsonl, parquet, api, postgres or sqlite")
@@ -97,7 +105,7 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = True, typed: bool
     first = _found(lambda: reader.option("header", False).csv(path), path).limit(1).collect()
     if not first:
         raise GateError(f"{path} is empty")
-    names = _header(list(first[0]))
+    names = _header(list(first[0]))  # one of them may be the name of the row position
     schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, _MALFORMED]])
     as_written = names == list(first[0])  # else the header cannot be compared with the schema
     rows = (
@@ -108,7 +116,7 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = True, typed: bool
     if not as_written and len(rows.inputFiles()) > 1:
         raise GateError(f"{path} has several files, and headers with empty or repeated names")
     try:
-        landed = with_file_positions(rows)
+        landed = with_file_positions(own_position_renamed(rows))
     except Exception as error:
         if "CSV header does not conform" in str(error):
             raise GateError(f"{path} has files with different headers") from error
@@ -172,17 +180,19 @@ def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     df = _found(lambda: spark.read.json(path, multiLine=not lines, columnNameOfCorruptRecord=_MALFORMED), path)
     if _MALFORMED in df.columns or not df.columns:
         raise GateError(f"{path} is not JSON with records")
+    df = df.select("*", *file_place())
     text = spark.read.text(path, wholetext=not lines).filter("trim(value) <> ''").limit(1)
     first = "value"
     if not lines:
         first = "get_json_object(value, '$[0]')"
         if text.select(F.left(F.ltrim("value"), F.lit(1)).alias("c")).first().c == "{":
             first = f"get_json_object(value, '$.{envelope_key(df.schema)}[0]')"
-            df = unwrap(df)
+            df = unwrap(df, *FILE_PLACE)
     keys = text.selectExpr(f"json_object_keys({first}) AS keys").first()["keys"] or []
     ordered = [name for name in keys if name in df.columns]
-    ordered += [name for name in df.columns if name not in ordered]
-    return with_positions(flatten(df.select(*map(quoted, ordered))))
+    ordered += [name for name in df.columns if name not in (*ordered, *FILE_PLACE)]
+    # a document is read by one task, so its records keep their order, and files follow in order of their names
+    return with_file_positions(own_position_renamed(flatten(df.select(*map(quoted, ordered), *FILE_PLACE))))
 
 
 def payload_files(spark: SparkSession, path: str) -> DataFrame:

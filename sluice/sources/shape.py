@@ -63,7 +63,7 @@ def renamed(df: DataFrame) -> DataFrame:
 SCHEMA_REPORT = "name string, original_name string, source_type string, examples array<string>, renamed boolean"
 
 
-def schema_report(df: DataFrame, rows: int | None = None, examples: bool = True) -> DataFrame:
+def schema_report(df: DataFrame, rows: int | None = None, examples: bool = True) -> list[dict]:
     """Per column: its safe and original name, type and first three non-null values by position."""
     names = data_columns(df)
     shown: dict[int, list[str]] = {}
@@ -73,8 +73,13 @@ def schema_report(df: DataFrame, rows: int | None = None, examples: bool = True)
         marked = long.select(F.col("column").alias("label"), ORD, F.left("text", F.lit(80)).alias("value"))
         for row in sorted(first_rows(marked, 3, rows).collect(), key=lambda r: (r.label, r.place)):
             shown.setdefault(row.label, []).append(row.value)
-    report = [
-        (safe, name, df.schema[name].dataType.simpleString(), shown.get(i, []), safe != name)
+    return [
+        {
+            "name": safe,
+            "original_name": name,
+            "source_type": df.schema[name].dataType.simpleString(),
+            "examples": shown.get(i, []),
+            "renamed": safe != name,
+        }
         for i, (safe, name) in enumerate(zip(safe_names(names), names))
     ]
-    return df.sparkSession.createDataFrame(report, SCHEMA_REPORT)

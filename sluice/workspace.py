@@ -24,8 +24,12 @@ def workspace(spark: SparkSession) -> str:
     return own
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written out and read back: short lineage that outlives executors."""
-    path = f"{workspace(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """``df`` written out and read back: short lineage that outlives executors.
+
+    Into a folder of its own, or over what an earlier try left at ``path``.
+    """
+    mode = "overwrite" if path else "error"
+    path = path or f"{workspace(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.mode(mode).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
