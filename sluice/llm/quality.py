@@ -11,7 +11,7 @@ rate over those of the global rate.
 
 The only sample is of labelled rows for the fit, at most ``sample`` of them, chosen by a hash of
 the id. Everything else covers all rows. Groups are combined before any shuffle, so one host may hold
-any share of the rows; the table of paths is broadcast when it is small, else joined.
+any share of the rows; Spark broadcasts the written table of paths if its size allows, else joins it.
 
 Null text is empty. Null hosts and paths are sites of their own. A null id has no label. Repeated
 rows are judged one by one; of several labels for an id, the worst holds; null labels are left
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.registry import importable
+from sluice.llm.registry import importable, unused
 from sluice.workspace import written
 
 #: Labelled rows that the classifier is fitted on, at most.
@@ -45,8 +45,6 @@ BEGINNINGS = (6, 8, 10)
 LEAST_DEVIATION, LEAST_ROWS = 5.0, 5
 #: Posterior probability of being poor, or toxic, with which a document goes.
 REJECT = 0.5
-#: Paths whose table is broadcast; with more it is joined by shuffle.
-BROADCAST_PATHS = 200_000
 
 HEADS = ("poor", "toxic")
 _PLAIN = bytes(b if chr(b).isalnum() or b >= 0x80 else 0x20 for b in range(256))
@@ -129,7 +127,7 @@ def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for poor, toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             words = list(set(signs_of(text or "")))
-            flags = [pa.array([float(v)] * len(words)) for v in (poor, toxic)]
+            flags = [pa.array([float(v)] * len(words), pa.float64()) for v in (poor, toxic)]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *flags], names=["word", *HEADS])
 
 
@@ -186,19 +184,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: str
     return Classifier(place, centre, spread, weights)
 
 
-def with_evidence(docs: DataFrame, classifier: Classifier, names: tuple[str, str], text_column: str = "text") -> DataFrame:
-    """``docs`` with the log-odds of each head by the text alone, in columns ``names``."""
+#: Texts judged at once; bounds a worker's memory.
+_AT_ONCE = 512
+
+
+def with_evidence(docs: DataFrame, classifier: Classifier, names: tuple[str, str], text_column: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with the log-odds of each head by the text alone, in columns ``names``, written out."""
     importable(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(classifier)
     at = docs.columns.index(text_column)
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
+    passed = [i for i in range(len(docs.columns)) if keep_text or i != at]
+    schema = T.StructType([*(docs.schema.fields[i] for i in passed), *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            odds = model.value.log_odds(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds[:, 0]), pa.array(odds[:, 1])], names=schema.names)
+            for first in range(0, batch.num_rows, _AT_ONCE):
+                piece = batch.slice(first, _AT_ONCE)
+                odds = model.value.log_odds(piece.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in passed), pa.array(odds[:, 0]), pa.array(odds[:, 1])], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    found = written(docs.mapInArrow(run, schema), "evidence")
+    model.destroy()
+    return found
 
 
 def _probability(odds: Column) -> Column:
@@ -243,16 +250,16 @@ def _prior_count(rate: float, squares: float | None, sites: int, documents: floa
 
 def with_posteriors(rows: DataFrame, rates: DataFrame, host: Column, path: Column, evidence: tuple[str, str], names: tuple[str, str]) -> DataFrame:
     """``rows`` with the posterior probability of each head in columns ``names``."""
-    rates = rates.select(*(F.col(c).alias(f"__{c}") for c in rates.columns))
-    if rates.count() <= BROADCAST_PATHS:
-        rates = F.broadcast(rates)
-    joined = rows.join(rates, host.eqNullSafe(F.col("__host")) & path.eqNullSafe(F.col("__path")))
+    site = unused("site", rows.columns)  # one column, so that no name of the rates meets one of the rows
+    rates = rates.select(F.struct(*rates.columns).alias(site))
+    of = lambda name: F.col(site)[name]
+    joined = rows.join(rates, host.eqNullSafe(of("host")) & path.eqNullSafe(of("path")))
     found = []
     for head, odds, name in zip(HEADS, evidence, names, strict=True):
         own = _probability(F.col(odds))
-        count = F.col(f"__count_{head}")
-        rate = (count * F.col(f"__rate_{head}") + F.col(f"__{head}") - own) / (count + F.col("__n") - 1)
-        found.append(_probability(F.col(odds) + _odds(rate) - _odds(F.col(f"__global_{head}"))).alias(name))
+        count = of(f"count_{head}")
+        rate = (count * of(f"rate_{head}") + of(head) - own) / (count + of("n") - 1)
+        found.append(_probability(F.col(odds) + _odds(rate) - _odds(of(f"global_{head}"))).alias(name))
     return joined.select(*(rows[c] for c in rows.columns), *found)
 
 
@@ -262,7 +269,7 @@ def judge(
     """id, host, path, poor, toxic (posterior probabilities), rejected for every row."""
     classifier = fit(docs, labels, sample, id_column, text_column)
     chosen = docs.select(F.col(id_column).alias("id"), F.col(host_column).alias("host"), F.col(path_column).alias("path"), F.col(text_column).cast("string").alias("text"))
-    evidence = written(with_evidence(chosen, classifier, HEADS).drop("text"), "evidence")
+    evidence = with_evidence(chosen, classifier, HEADS, keep_text=False)
     rates = written(path_rates(evidence), "rates")
     found = with_posteriors(evidence, rates, evidence["host"], evidence["path"], HEADS, ("p_poor", "p_toxic"))
     return found.select("id", "host", "path", F.col("p_poor").alias("poor"), F.col("p_toxic").alias("toxic"), (F.greatest("p_poor", "p_toxic") >= REJECT).alias("rejected"))
@@ -271,13 +278,12 @@ def judge(
 def accepted(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source", path_column: str = "lang", sample: int = SAMPLE
 ) -> DataFrame:
-    """The rows of ``docs`` that are not rejected. The evidence is found twice, so that no text is shuffled."""
+    """The rows of ``docs`` that are not rejected. Rows are written once with their evidence, so that texts are
+    neither judged twice nor shuffled."""
     classifier = fit(docs, labels, sample, id_column, text_column)
-    used = set(docs.columns)
-    fresh = lambda name: name if name not in used else fresh(f"_{name}")
-    odds, posterior = (fresh("odds_poor"), fresh("odds_toxic")), (fresh("p_poor"), fresh("p_toxic"))
-    chosen = docs.select(F.col(host_column).alias("host"), F.col(path_column).alias("path"), F.col(text_column).cast("string").alias("text"))
-    rates = written(path_rates(with_evidence(chosen, classifier, HEADS).drop("text")), "rates")
+    odds = unused("odds_poor", docs.columns), unused("odds_toxic", docs.columns)
+    posterior = unused("p_poor", docs.columns), unused("p_toxic", docs.columns)
     rows = with_evidence(docs, classifier, odds, text_column)
-    found = with_posteriors(rows, rates, rows[host_column], rows[path_column], odds, posterior)
+    rates = path_rates(rows.select(F.col(host_column).alias("host"), F.col(path_column).alias("path"), *(F.col(o).alias(h) for o, h in zip(odds, HEADS, strict=True))))
+    found = with_posteriors(rows, written(rates, "rates"), rows[host_column], rows[path_column], odds, posterior)
     return found.where(F.greatest(*posterior) < REJECT).select(*docs.columns)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm import neighbours, quality, suffix_model
 
@@ -202,3 +203,58 @@ def test_sites_shrink_toward_their_host_and_the_whole(spark):
     p = {(r.host, r.path): r.p for r in found.collect()}
     assert p["bad", "b"] > p["new", None] > p["good", "a"]  # equal evidence at first, but the host is bad
     assert p["new", None] == pytest.approx(0.5, abs=0.15)  # nothing is known of it
+
+
+@pytest.mark.parametrize("text", [None, "", "!!! ...", " \n\t"])
+def test_labelled_rows_without_words(spark, text):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    known = [r.doc_id for r in labels.orderBy("doc_id").limit(3).collect()]
+    docs = docs.withColumn("text", F.when(F.col("doc_id").isin(known), F.lit(text)).otherwise(F.col("text")))
+    assert quality.judge(docs, labels).count() == docs.count()
+
+
+def plain_posteriors(rows):
+    """rows: host, path, log-odds of each head. The posterior of each, by the method's formulas."""
+    p = lambda x: 1 / (1 + math.exp(-x))
+    held = lambda r: math.log(min(max(r, 1e-6), 1 - 1e-6) / (1 - min(max(r, 1e-6), 1 - 1e-6)))
+    found = []
+    for head in (2, 3):
+        sites, paths = {}, {}
+        for r in rows:
+            for table, key in ((sites, r[0]), (paths, r[:2])):
+                n, total = table.get(key, (0, 0.0))
+                table[key] = n + 1, total + p(r[head])
+        mean = sum(p(r[head]) for r in rows) / len(rows)
+        prior = lambda squares, count: max(min(mean * (1 - mean) / max((squares - count * mean * (1 - mean)) / len(rows), 1e-9) - 1, 1e6), 2.0)  # noqa: E731, B023
+        k = prior(sum(n * (x / n - mean) ** 2 for n, x in sites.values()), len(sites))
+        rate = {h: (k * mean + x) / (k + n) for h, (n, x) in sites.items()}
+        within = prior(sum(n * (x / n - rate[key[0]]) ** 2 for key, (n, x) in paths.items()), len(paths))
+        column = []
+        for r in rows:
+            n, x = paths[r[:2]]
+            own = (within * rate[r[0]] + x - p(r[head])) / (within + n - 1)
+            column.append(p(r[head] + held(own) - held(mean)))
+        found.append(column)
+    return list(zip(*found, strict=True))
+
+
+def test_posteriors_are_the_plain_ones(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice(["a", "b", None]), draw.choice(["x", "y", None]), draw.gauss(-1, 3), draw.gauss(-3, 2)) for _ in range(300)]
+    rows += [("lonely", "x", 4.0, -1.0), ("hot", "x", 2.0, -30.0)] + [("hot", "x", -2.0, 1.0)] * 200
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n long, host string, path string, poor double, toxic double").repartition(4)
+    rates = quality.path_rates(df)
+    found = quality.with_posteriors(df, rates, df["host"], df["path"], quality.HEADS, ("p", "t")).orderBy("n").collect()
+    for row, want in zip(found, plain_posteriors(rows), strict=True):
+        assert (row.p, row.t) == pytest.approx(want, rel=1e-9)
+
+
+def test_accepted_keeps_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    plain = {r.doc_id for r in quality.accepted(docs, labels).collect()}
+    odd = docs.select("*", *(F.lit(k).alias(n) for k, n in enumerate(["site", "Odds_poor", "__host", "host", "path", "n", "p_toxic", "evidence"])))
+    found = quality.accepted(odd, labels)
+    assert found.columns == odd.columns
+    assert {r.doc_id for r in found.collect()} == plain
