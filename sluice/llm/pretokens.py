@@ -20,8 +20,10 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-#: Chunks in each of a worker's two cache generations; bounds memory, not results.
-CACHE_ENTRIES = 300_000
+#: Bytes that a worker's cache may take, about; bounds memory, not results.
+CACHE_BYTES = 24 << 20
+#: Bytes of an entry besides the chunk's and the value's own.
+ENTRY_BYTES = 150
 #: Longer chunks are encoded anew each time.
 CACHE_CHARS = 64
 
@@ -50,22 +52,20 @@ def _as_letters(text: str) -> str:
 
 
 class _Chunks(dict):
-    """Encoded chunks in two generations: what is used again moves to the young one, and when
-    that is full it becomes the old one. Pinned chunks stay."""
+    """Encoded chunks. When its share of the bytes is used up, all but the pinned chunks go."""
 
-    def __init__(self, encode, pinned=()):
+    def __init__(self, encode, most: int, pinned=()):
         super().__init__(pinned)
-        self.encode, self.pinned, self.old = encode, dict(pinned), {}
+        self.encode, self.pinned, self.most, self.held = encode, dict(pinned), most, 0
 
     def __missing__(self, chunk):
-        value = self.old.get(chunk)
-        if value is None:
-            value = self.encode(chunk)
+        value = self.encode(chunk)
         if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES + len(self.pinned):
-                self.old = dict(self)
+            if self.held > self.most:
                 self.clear()
                 self.update(self.pinned)
+                self.held = 0
+            self.held += ENTRY_BYTES + len(chunk) + (len(value) if isinstance(value, bytes) else 0)
             self[chunk] = value
         return value
 
@@ -79,8 +79,8 @@ class Encoder:
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._lengths = lengths
         self._join = sum if lengths else b"".join
-        self._spaced = _Chunks(self._after_space, frequent or ())
-        self._bare = _Chunks(self._chunk)
+        self._spaced = _Chunks(self._after_space, CACHE_BYTES * 3 // 4, frequent or ())
+        self._bare = _Chunks(self._chunk, CACHE_BYTES // 4)
 
     def _after_space(self, chunk: str):
         """``chunk`` with the space before it."""
