@@ -38,12 +38,17 @@ _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # else every state partition takes megabytes of disk before it holds anything
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.minBatchesToRetain": "2",
 }
 _LOCATOR = ["id", "file", "place"]
 
 
 def sha256(text: Column) -> Column:
-    return F.sha2(text, 256)
+    """32 raw bytes."""
+    return F.unhex(F.sha2(text, 256))
 
 
 def _rows(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -79,7 +84,7 @@ def digest_states(
         spark.conf.set(name, value)
     try:
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(_as_pattern(path))
-        rows = _rows(stream, id_column, text_column).withColumn("digest", digest(F.col("text")))
+        rows = _rows(stream, id_column, text_column).withColumn("digest", digest(F.col("text")).cast("binary"))
         states = rows.groupBy("digest").agg(F.max(F.struct(*_LOCATOR)).alias("keep"), F.count(F.lit(1)).alias("n"))
 
         def append(changed: DataFrame, batch: int) -> None:
@@ -97,7 +102,7 @@ def digest_states(
 
 def _states(spark: SparkSession, path: str) -> DataFrame:
     locator = "struct<id: bigint, file: string, place: bigint>"
-    return spark.read.schema(f"digest string, keep {locator}, n bigint").parquet(path)
+    return spark.read.schema(f"digest binary, keep {locator}, n bigint").parquet(path)
 
 
 def exact_copies(
@@ -108,19 +113,19 @@ def exact_copies(
     home = f"{workspace(spark)}/exact-copies-{uuid.uuid4().hex}"
     states = written(digest_states(spark, path, home, id_column, text_column, digest, files_per_batch), "digest-states")
     shared = states.where("n > 1").withColumn("salts", F.ceil(F.col("n") / SALT_ROWS).cast("int"))
-    docs = _rows(spark.read.parquet(path), id_column, text_column).withColumn("digest", digest(F.col("text")))
+    docs = _rows(spark.read.parquet(path), id_column, text_column).withColumn("digest", digest(F.col("text")).cast("binary"))
 
-    hits = shared.select("digest", "salts", "keep")
     if shared.count() <= BROADCAST_DIGESTS:
         near = F.broadcast(shared.select(F.xxhash64("digest").alias("h")).distinct())
-        candidates = docs.join(near, F.xxhash64("digest") == F.col("h"), "left_semi")
+        docs_near = docs.join(near, F.xxhash64("digest") == F.col("h"), "left_semi")
     else:
-        candidates = docs
+        docs_near = docs
+    # texts of copies go once through a shuffle and are not written
     salt = F.pmod(F.xxhash64("file", "place"), F.col("salts")).cast("int")
-    hit_rows = written(candidates.join(hits, "digest").withColumn("salt", salt), "hits")
+    hits = docs_near.join(shared.select("digest", "salts", "keep"), "digest").withColumn("salt", salt)
     located = (F.col("file") == F.col("keep.file")) & (F.col("place") == F.col("keep.place"))
-    contents = hit_rows.where(located).select("digest", F.col("text").alias("content"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    compared = hit_rows.join(contents, ["digest", "salt"]).withColumn("same", F.col("text") == F.col("content"))
+    contents = hits.where(located).select("digest", F.col("text").alias("content"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    compared = hits.join(contents, ["digest", "salt"]).withColumn("same", F.col("text") == F.col("content"))
     # digests that met by chance: none, in all likelihood
     strangers = written(compared.where("not same").select("digest", *_LOCATOR, "text"), "strangers")
     groups = strangers.groupBy("digest", "text").agg(F.max(F.struct(*_LOCATOR)).alias("own_keep"), F.count(F.lit(1)).alias("own_n"))
@@ -136,7 +141,7 @@ def exact_copies(
         keep["id"].alias("keep_id"),
         F.coalesce("own_n", "n").alias("group_size"),
         ((F.col("file") == keep["file"]) & (F.col("place") == keep["place"])).alias("kept"),
-        "digest",
+        F.lower(F.hex("digest")).alias("digest"),
     )
 
 
