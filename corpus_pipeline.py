@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import line_runs, mixing, packing, quality, simhash
 from sluice.llm.queries import END_ID, TOKENIZER
+from sluice.llm.registry import unused
 from sluice.workspace import workspace
 
 
@@ -20,8 +21,9 @@ def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go, and documents of which no word is left by that."""
     had = docs.columns
-    left = line_runs.without_repeats(docs, report=("_lines", "_removed"))
-    emptied = (F.col("_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(mixing.WORD)
+    lines, removed = unused("lines", had), unused("removed", had)
+    left = line_runs.without_repeats(docs, report=(lines, removed))
+    emptied = (F.col(removed) > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(mixing.WORD)
     return left.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(had)
 
 
