@@ -5,6 +5,7 @@ import subprocess
 import sys
 
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -60,9 +61,31 @@ def test_stages(spark, tmp_path):
     assert sum(r.piece == 0 for r in rows) >= len(before) / 2
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null, empty and very long texts, labelled ones too, repeated rows, null ids and clashing names."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    known = [r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").orderBy("doc_id").limit(3).collect()]
+    odd = F.when(F.col("doc_id") == known[0], F.lit(None)).when(F.col("doc_id") == known[1], "").when(F.col("doc_id") == known[2], "... !!!").otherwise(F.col("text"))
+    docs = docs.withColumn("text", odd.cast("string"))
+    more = docs.limit(20).withColumn("doc_id", F.lit(None).cast("long")).union(docs.limit(20)).union(docs.limit(1).withColumn("text", F.repeat(F.lit("long text. "), 100_000)))
+    names = ["lines", "_lines", "removed", "_removed", "__host", "site", "row", "copies", "h", "key", "place", "id"]
+    docs = docs.union(more).select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    for case, rows in (("odd", docs), ("empty", docs.limit(0))):
+        kept = rows
+        for place, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            path = f"{tmp_path}/{case}-{place}"
+            stage(spark, kept, SF).write.parquet(path)
+            before, kept = kept, spark.read.parquet(path)
+            if name != "best-fit packing":
+                assert kept.columns == docs.columns
+                ids = {r.doc_id for r in kept.select("doc_id").distinct().collect()}
+                assert ids <= {r.doc_id for r in before.select("doc_id").distinct().collect()}
+        assert (kept.count() > 0) == (case == "odd")
+
+
 def test_the_rest_stands_alone(tmp_path):
     """Without this subpackage and the pipeline the entry still has all other queries."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    hide = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(sum(n.startswith('op') for n in e.queries()), 'pipeline' in e.queries())"
+    hide = "import sys; sys.modules['corpus_pipeline'] = sys.modules['sluice.llm'] = None; import __spark_entry__ as e; print(sum(n.startswith('op') for n in e.queries()), 'pipeline' in e.queries())"
     said = subprocess.run([sys.executable, "-c", hide], cwd=root, capture_output=True, text=True)
     assert said.stdout.strip() == "0 False", said.stderr
