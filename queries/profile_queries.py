@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from queries.lens import COLUMNS, LENS, lens
 from queries.registry import query, table
 from queries.rule_queries import SENTINELS, number_sql
+from sluice.functions.cells import cells_of
 from sluice.operators.inspection import Inspection
 from sluice.operators.profile import profile, profile_rows, table_profile
-from sluice.operators.spellings import top_values
+from sluice.operators.spellings import digest_counts, top_values
 
 # Every cell of the lens as (place, name, _ord, raw text).
 LONG = f"{LENS}, long AS (" + " UNION ALL ".join(
@@ -229,6 +230,28 @@ def top_documents(spark, sf_dir):
     return _top(table(spark, sf_dir, "documents"), "text")
 
 
+_UNIQUE = """SELECT CASE WHEN o_orderkey % 3 = 0 THEN repeat('z', 100) || lpad(CAST(o_orderkey AS VARCHAR), 12, '0')
+    WHEN o_orderkey % 3 = 1 THEN 'order ' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') ELSE repeat('m', 40) || o_clerk_note END AS note
+    FROM (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) || ' ' || CAST(o_orderkey AS VARCHAR) AS o_clerk_note FROM orders)"""
+
+
+@query("P11_top_values_near_unique", f"WITH t AS ({_UNIQUE}) {_top_sql('note', 't')}")
+def top_near_unique(spark, sf_dir):
+    """A column that never repeats, a third of it under one long head: only digests and short heads are shuffled."""
+    notes = spark.sql(_UNIQUE.replace("VARCHAR", "STRING").replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    cells = cells_of(notes)
+    return top_values(notes, cells, digest_counts(notes, cells)).select(F.col("place").cast("bigint").alias("place"), "value", "n")
+
+
+@query("P11_top_values_tied_late", f"WITH t AS ({_UNIQUE.replace('CASE WHEN o_orderkey % 3 = 0', 'CASE WHEN true')}) {_top_sql('note', 't')}")
+def top_tied_late(spark, sf_dir):
+    """All under one head of 100 characters, so that the first values are told apart only after it."""
+    sql = _UNIQUE.replace("CASE WHEN o_orderkey % 3 = 0", "CASE WHEN true")
+    notes = spark.sql(sql.replace("VARCHAR", "STRING").replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    cells = cells_of(notes)
+    return top_values(notes, cells, digest_counts(notes, cells)).select(F.col("place").cast("bigint").alias("place"), "value", "n")
+
+
 @query(
     "P12_boolean_top_values",
     f"""{LENS} SELECT CASE WHEN lower(trim(active)) IN ('true','t','yes','y') THEN 'True' ELSE 'False' END AS value,

@@ -82,8 +82,7 @@ def top_value_rows(inspection: Inspection, limit: int = 8) -> dict[str, list[dic
             plain.append(cell)
     if plain:
         counts = inspection.tokens.filter(F.col("column").isin([cell.index for cell in plain]))
-        long = any(3 * inspection.counts[cell.name].longest > spellings.LONG for cell in plain)
-        ranked = spellings.top_values(inspection.df, plain, counts, limit, long).collect()
+        ranked = spellings.top_values(inspection.df, plain, counts, limit).collect()
         names = {cell.index: cell.name for cell in plain}
         for row in sorted(ranked, key=lambda r: (r["column"], r.place)):
             found.setdefault(names[row["column"]], []).append({"value": row.value, "count": row.n})

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.cells import Cell, cells_of, country_of, fold, long_cell, long_texts, with_facts
@@ -13,6 +14,9 @@ from sluice.rules import DEFAULT_RULES, Rules
 
 LONG = 200  # bytes; longer texts are counted by digest so that they are not shuffled
 HEAD = 64  # characters of a long text kept beside its digest, to order by
+SHORT_HEAD = 16  # characters by which ties are looked at first
+STEP = 32  # and in every further round
+OPEN = 1000  # texts with one beginning that are fetched whole
 
 
 def present_texts(df: DataFrame, cells: Sequence[Cell]) -> DataFrame:
@@ -119,36 +123,106 @@ def measured_tokens(measured: DataFrame, cells: Sequence[Cell], rules: Rules) ->
     )
 
 
-def top_values(
-    df: DataFrame, cells: Sequence[Cell], counts: DataFrame, limit: int = 8, long_texts_too: bool = True
-) -> DataFrame:
+def digest_counts(df: DataFrame, cells: Sequence[Cell]) -> DataFrame:
+    """``(column, spelling, digest, n)`` of present texts, for columns that hardly repeat: only a digest
+    and a short head of each text is shuffled."""
+    texts = present_texts(df, cells).select("column", F.left("bare", F.lit(SHORT_HEAD)).alias("spelling"), F.unhex(F.md5("bare")).alias("digest"))
+    return texts.groupBy("column", "spelling", "digest").agg(F.count(F.lit(1)).alias("n")).withColumn("digest", F.lower(F.hex("digest")))
+
+
+def top_values(df: DataFrame, cells: Sequence[Cell], counts: DataFrame, limit: int = 8) -> DataFrame:
     """``(column, place, value, n)``: most frequent values, ties in code-point order.
 
-    All texts are ordered by a head of one length first; where that leaves a tie open,
-    every tied long text is fetched by its digest and the whole texts decide.
+    ``counts`` has ``(column, spelling, digest, n)``, where a text with a digest is known by its head only. It is
+    counted how many values each frequency has, which settles all but the last frequency that is
+    needed. Of the values that tie there, the first are found by longer and longer beginnings: beginnings are
+    counted, and only the few texts under those that matter are ever fetched whole.
     """
-    by_count = Window.partitionBy("column").orderBy(F.desc("n"), F.left("spelling", F.lit(HEAD)))
-    near = counts.withColumn("place", F.rank().over(by_count)).filter(F.col("place") <= limit)
+    levels = counts.groupBy("column", "n").agg(F.count(F.lit(1)).alias("values"))
+    by_count = Window.partitionBy("column").orderBy(F.desc("n"))
+    levels = levels.withColumn("place", F.row_number().over(by_count)).filter(F.col("place") <= limit).collect()
+    level: dict[int, int] = {}  # the last frequency that is needed, by column
+    left: dict[int, int] = {}  # and how many of its values
+    needed: dict[int, int] = {}
+    for row in sorted(levels, key=lambda r: (r["column"], r.place)):
+        column = row["column"]
+        before = needed.get(column, limit)
+        if before > 0:
+            level[column], left[column] = row.n, min(before, row["values"])
+            needed[column] = before - row["values"]
+    empty = "column int, value string, n bigint"
+    if not level:
+        return df.sparkSession.createDataFrame([], empty).withColumn("place", F.lit(0)).select("column", "place", "value", "n")
+
+    at = F.expr(f"try_element_at(map({', '.join(f'{c}, {n}L' for c, n in level.items())}), column)")
+    head = F.left("spelling", F.lit(SHORT_HEAD))
+    tied = counts.filter(F.col("n") == at)
+    open_, deep = _first_beginnings(tied.select("column", head.alias("beginning")), dict.fromkeys(level, ""), left, limit)
+    near = counts.filter(F.col("n") > at).unionByName(tied.filter(_begins(open_, F.col("spelling"), dict.fromkeys(open_, SHORT_HEAD))))
     near = near.select("column", F.col("spelling").alias("value"), "digest", "n")
-    long = near.filter("digest IS NOT NULL")
-    if long_texts_too and not long.isEmpty():
-        texts = (
-            present_texts(df, cells)
-            .filter(F.octet_length("bare") > LONG // 3)
-            .select("column", F.col("bare").alias("text"), F.md5("bare").alias("digest"))
-        )
-        wanted = long.select("column", "digest", "n")
-        whole = texts.join(wanted, ["column", "digest"]).groupBy("column", "digest", "text", "n").count()
-        near = near.filter("digest IS NULL").select("column", "value", "n").unionByName(
-            whole.select("column", F.col("text").alias("value"), "n")
-        )
+    wanted = near.filter("digest IS NOT NULL").select("column", "digest", "n")
+    texts = present_texts(df, cells).select("column", F.col("bare").alias("value"), F.md5("bare").alias("digest"))
+    # OPEN texts of a column at most, and fewer than ``limit`` above them
+    fetched = texts.join(F.broadcast(wanted), ["column", "digest"]).groupBy("column", "value", "n").count()
+    found = near.filter("digest IS NULL").select("column", "value", "n").unionByName(fetched.select("column", "value", "n"))
+    if deep:
+        found = found.unionByName(_first_of_many(present_texts(df, cells), level, deep, limit))
     exact = Window.partitionBy("column").orderBy(F.desc("n"), "value")
-    return (
-        near.select("column", "value", "n")
-        .withColumn("place", F.row_number().over(exact))
-        .filter(F.col("place") <= limit)
-        .select("column", "place", "value", "n")
-    )
+    return found.withColumn("place", F.row_number().over(exact)).filter(F.col("place") <= limit).select("column", "place", "value", "n")
+
+
+def _first_beginnings(
+    values: DataFrame, before: dict[int, str], left: dict[int, int], limit: int
+) -> tuple[dict[int, list[str]], dict[int, tuple[str, int]]]:
+    """The beginnings under which the first ``left`` values of each column lie.
+
+    ``values``: one row ``(column, beginning)`` for each value, all of which begin with ``before``. Returns the
+    beginnings with few values by column, and the one with many: the beginning and how many of its values are needed.
+    """
+    counted = values.groupBy("column", "beginning").agg(F.count(F.lit(1)).alias("values"))
+    in_order = Window.partitionBy("column").orderBy("beginning")
+    rows = counted.withColumn("place", F.row_number().over(in_order)).filter(F.col("place") <= limit).collect()
+    open_: dict[int, list[str]] = {}
+    deep: dict[int, tuple[str, int]] = {}
+    still = dict(left)
+    for row in sorted(rows, key=lambda r: (r["column"], r.place)):
+        column, beginning = row["column"], before[row["column"]] + row.beginning
+        if still[column] <= 0:
+            continue
+        if row["values"] > OPEN:
+            deep[column] = (beginning, min(still[column], row["values"]))
+        else:
+            open_.setdefault(column, []).append(beginning)
+        still[column] -= row["values"]
+    return open_, deep
+
+
+def _begins(beginnings: dict[int, list[str]], text: Column, lengths: dict[int, int]) -> Column:
+    """Whether the first ``lengths`` characters of a column's text are one of its beginnings."""
+    found = F.lit(False)
+    for column, wanted in beginnings.items():
+        found = found | ((F.col("column") == column) & F.left(text, F.lit(lengths[column])).isin(wanted))
+    return found
+
+
+def _first_of_many(texts: DataFrame, level: dict[int, int], deep: dict[int, tuple[str, int]], limit: int) -> DataFrame:
+    """``(column, value, n)``: the first texts, in order, of those that occur ``level`` times and begin as ``deep`` says.
+
+    Each round lengthens a beginning to all that its texts have in common and counts what comes next.
+    """
+    at = F.expr(f"try_element_at(map({', '.join(f'{c}, {n}L' for c, n in level.items())}), column)")
+    found = None
+    while deep:
+        inside = texts.filter(_begins({c: [b] for c, (b, _) in deep.items()}, F.col("bare"), {c: len(b) for c, (b, _) in deep.items()}))
+        ends = inside.groupBy("column").agg(F.min("bare").alias("first"), F.max("bare").alias("last")).collect()
+        common = {row["column"]: os.path.commonprefix([row.first, row["last"]]) for row in ends}
+        length = F.expr(f"try_element_at(map({', '.join(f'{c}, {len(text)}' for c, text in common.items())}), column)")
+        once = inside.groupBy("column", F.substr("bare", length + 1, F.lit(STEP)).alias("beginning"), F.md5("bare").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+        values = once.filter(F.col("n") == at).select("column", "beginning")
+        open_, deep = _first_beginnings(values, common, {c: n for c, (_, n) in deep.items()}, limit)
+        few = texts.filter(_begins(open_, F.col("bare"), {c: len(common[c]) + STEP for c in open_})).groupBy("column", F.col("bare").alias("value")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == at)
+        found = few if found is None else found.unionByName(few)
+    return found
 
 
 def whole_spellings(df: DataFrame, cells: Sequence[Cell]) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sluice import Inspection, Rules
 from sluice.functions.cells import cells_of
-from sluice.operators import rows
+from sluice.operators import rows, spellings
 from sluice.operators.issues import detect
 from sluice.operators.profile import column_histogram, profile_rows
 from sluice.operators.quantiles import Numbers, exact_quantiles
@@ -191,3 +194,23 @@ def test_empty_table(spark):
     with Inspection(spark.createDataFrame([], "a string, b int")) as inspection:
         assert detect(inspection) == []
         assert [row["inferred_type"] for row in profile_rows(inspection)] == ["unknown", "unknown"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ties_are_settled_by_beginnings(spark, monkeypatch, seed):
+    """With few texts looked at whole, and heads much longer than what is compared at once."""
+    monkeypatch.setattr(spellings, "OPEN", 2)
+    monkeypatch.setattr(spellings, "STEP", 3)
+    draw = random.Random(seed)
+    heads = ["", "m" * 20, "z" * 70, "z" * 70 + "é" * 40]
+    texts = {draw.choice(heads) + "".join(draw.choices("abé😀", k=draw.randint(1, 6))) for _ in range(150)}
+    rows = [(t, f"{i % 7}{t}") for i, t in enumerate(sorted(texts)) for _ in range(draw.choice([1, 1, 1, 2, 2, 3]))]
+    df = spark.createDataFrame(rows, "t string, u string").repartition(3)
+    cells = cells_of(df)
+    with Inspection(df) as inspection:
+        for counts in (spellings.digest_counts(df, cells), inspection.tokens):
+            found = top_values(df, cells, counts, 5).orderBy("column", "place").collect()
+            for place, column in enumerate(("t", "u")):
+                many = Counter(r[place] for r in rows)
+                want = sorted(many.items(), key=lambda x: (-x[1], x[0].encode()))[:5]
+                assert [(r.value, r.n) for r in found if r["column"] == cells[place].index] == want
