@@ -36,7 +36,7 @@ from sluice.workspace import written
 LEAST_DOCS = 3
 TOP = 200
 #: Bytes of text whose pointers are sorted at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Slices of eight bytes compared by number; what is still equal then is compared as bytes.
 WORD_DEPTH = 4
 #: Rows of one block of terms, about, and sources of one tile.
@@ -130,36 +130,36 @@ def _pieces(text: bytes, size: int) -> Iterator[bytes]:
 
 
 def _term_counts(size: int):
-    def rows(terms, keys, term, group, times, docs) -> pa.RecordBatch:
+    def rows(keys, terms, term, group, times, docs) -> pa.RecordBatch:
         at, of = pa.array(term, pa.int64()), pa.array(group, pa.int64())
         columns = [keys.field(0).take(of), keys.field(1).take(of), pa.array(terms, pa.binary()).take(at), pa.array(times, pa.int64()), pa.array(docs, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 
+    def sliced(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        frame = pd.DataFrame({"lang": batch.column(0).to_pandas(), "source": batch.column(1).to_pandas()})
+        group = frame.groupby(["lang", "source"], sort=False).ngroup().to_numpy()
+        _, at = np.unique(group, return_index=True)
+        keys = pa.StructArray.from_arrays([batch.column(c).take(pa.array(at)) for c in (0, 1)], ["lang", "source"])
+        order = np.argsort(group, kind="stable")
+        groups = group[order]
+        edges, content = text_bytes(batch.column(2).take(pa.array(order)))
+        if edges[0] == edges[-1]:
+            return None
+        data = content[int(edges[0]) : int(edges[-1])].to_pybytes().translate(_FOLD)
+        if len(data) <= size or len(groups) > 1:
+            return rows(keys, *_runs(data + bytes(8), edges - edges[0], groups))
+        seen: Counter = Counter()  # one long document
+        for piece in _pieces(data, size):
+            terms, _, _, times, _ = _runs(piece + bytes(8), np.array([0, len(piece)]), groups)
+            seen.update(dict(zip(terms, times.tolist(), strict=True)))
+        one = np.ones(len(seen), np.int64)
+        return rows(keys, list(seen), np.arange(len(seen)), 0 * one, np.fromiter(seen.values(), np.int64, len(seen)), one)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            frame = pd.DataFrame({"lang": batch.column(0).to_pandas(), "source": batch.column(1).to_pandas()})
-            group = frame.groupby(["lang", "source"], sort=False).ngroup().to_numpy()
-            _, at = np.unique(group, return_index=True)
-            keys = pa.StructArray.from_arrays([batch.column(c).take(pa.array(at)) for c in (0, 1)], ["lang", "source"])
-            order = np.argsort(group, kind="stable")
-            groups = group[order]
-            edges, content = text_bytes(batch.column(2).take(pa.array(order)))
-            for a, b in ranges(edges, size):
-                if edges[a] == edges[b]:
-                    continue
-                data = content[int(edges[a]) : int(edges[b])].to_pybytes().translate(_FOLD)
-                if len(data) <= size:
-                    found = _runs(data + bytes(8), edges[a : b + 1] - edges[a], groups[a:b])
-                else:  # one long document
-                    seen: Counter = Counter()
-                    for piece in _pieces(data, size):
-                        terms, _, _, times, _ = _runs(piece + bytes(8), np.array([0, len(piece)]), groups[a:b])
-                        seen.update(dict(zip(terms, times.tolist(), strict=True)))
-                    one = np.ones(len(seen), np.int64)
-                    found = list(seen), np.arange(len(seen)), one * groups[a], np.fromiter(seen.values(), np.int64, len(seen)), one
-                yield rows(found[0], keys, *found[1:])
+            for a, b in ranges(text_bytes(batch.column(2))[0], size):
+                if (found := sliced(batch.slice(a, b - a))) is not None:
+                    yield found
 
     return run
 
