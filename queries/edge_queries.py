@@ -14,6 +14,8 @@ from sluice.operators.ask import ask, where_equals
 from sluice.operators.inspection import Inspection
 from sluice.operators.spellings import top_values
 from sluice.sources.readers import read_csv, read_json
+from sluice.streaming.gated import gate_stream
+from sluice.streaming.keys import count_keys, repeated_keys
 
 _WIDE = "12345678901234567"  # more digits than a double has
 
@@ -85,16 +87,24 @@ def all_sums(spark, sf_dir):
     return ask(table(spark, sf_dir, "lineitem"), "sum", "l_quantity", group="l_partkey", limit="all")
 
 
-@query("A13_refusals", "SELECT count(*) * 0 + 3 AS refused FROM nation")
+@query(
+    "A13_refusals",
+    """SELECT * FROM (VALUES ('nothing asked', NULL), ('unknown column', NULL), ('no measure', NULL)) AS t(question, answer)
+    UNION ALL SELECT 'rows', CAST(count(*) AS DOUBLE) FROM orders UNION ALL SELECT 'total', sum(o_totalprice) FROM orders""",
+)
 def refusals(spark, sf_dir):
-    """No question, an unknown column, no measure."""
-    nation, refused = table(spark, sf_dir, "nation"), 0
-    for question in ({}, {"agg": "count", "group": "nowhere"}, {"agg": "sum"}):
+    """Questions without an answer are refused; the others are answered."""
+    orders, answers = table(spark, sf_dir, "orders"), []
+    asked = {
+        "nothing asked": {}, "unknown column": {"agg": "count", "group": "nowhere"}, "no measure": {"agg": "sum"},
+        "rows": {"agg": "count"}, "total": {"agg": "sum", "measure": "o_totalprice"},
+    }
+    for name, question in asked.items():
         try:
-            ask(nation, **question)
+            answers.append((name, float(ask(orders, **question).first()[0])))
         except GateError:
-            refused += 1
-    return spark.createDataFrame([(refused,)], "refused bigint")
+            answers.append((name, None))
+    return spark.createDataFrame(answers, "question string, answer double")
 
 
 def _cut_off(spark, sf_dir):
@@ -162,59 +172,163 @@ def decide_and_replay(spark, sf_dir):
 
 @query(
     "H02_A10_chosen_dataset",
-    "SELECT 'supplier' AS by_id, 'labels' AS mentioned, 'labels' AS newest FROM nation GROUP BY 1",
+    """SELECT 'by id' AS choice, 'supplier' AS display_name, count(*) AS row_count FROM supplier UNION ALL
+    SELECT 'mentioned', 'labels', count(*) FROM labels UNION ALL SELECT 'newest', 'labels', count(*) FROM labels""",
 )
 def chosen_dataset(spark, sf_dir):
     gate = _gate(spark)
     for name in ("supplier", "labels"):
         gate.run_table(table(spark, sf_dir, name), Source("parquet", name=name), name, detail=False)
     datasets = gate.store.records("datasets")
-    one = history.by_id(datasets, "supplier").first().display_name
-    other = history.choose_dataset(datasets, "how many labels are there").first().display_name
-    newest = history.choose_dataset(datasets).first().display_name
-    return spark.createDataFrame([(one, other, newest)], "by_id string, mentioned string, newest string")
+    chosen = {
+        "by id": history.by_id(datasets, "supplier"),
+        "mentioned": history.choose_dataset(datasets, "how many labels are there"),
+        "newest": history.choose_dataset(datasets),
+    }
+    rows = [(choice, row.display_name, row.row_count) for choice, found in chosen.items() for row in found.collect()]
+    return spark.createDataFrame(rows, "choice string, display_name string, row_count bigint")
 
 
-@query("S01_csv_directory", "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS _ord, s_suppkey, s_name FROM supplier")
+@query("S01_csv_directory", "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS _ord, * FROM supplier")
 def csv_directory(spark, sf_dir):
     """Files of very different sizes: rows come in order of file name and place."""
-    path, suppliers = _scratch(spark, "csv"), table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").orderBy("s_suppkey")
+    path, suppliers = _scratch(spark, "csv"), table(spark, sf_dir, "supplier").orderBy("s_suppkey")
     suppliers.filter("s_suppkey <= 3").write.csv(f"{path}/a", header=True)
     suppliers.filter("s_suppkey > 3").repartitionByRange(4, "s_suppkey").sortWithinPartitions("s_suppkey").write.csv(f"{path}/b", header=True)
-    return read_csv(spark, f"{path}/*", multiline=False)
+    return read_csv(spark, f"{path}/*", multiline=False).withColumn("s_nationkey", F.col("s_nationkey").cast("int"))
 
 
-@query("S08_refused_headers", "SELECT count(*) * 0 + 1 AS refused FROM nation")
+@query(
+    "S08_refused_headers",
+    "SELECT 'equal' AS headers, count(*) AS rows FROM orders UNION ALL SELECT 'in another order', NULL",
+)
 def refused_headers(spark, sf_dir):
     """Files with the same columns in another order are not read by place."""
-    path, nation, refused = _scratch(spark, "csv"), table(spark, sf_dir, "nation"), 0
-    nation.select("n_nationkey", "n_regionkey").coalesce(1).write.csv(f"{path}/a", header=True)
-    nation.select("n_regionkey", "n_nationkey").coalesce(1).write.csv(f"{path}/b", header=True)
-    try:
-        read_csv(spark, f"{path}/*")
-    except GateError:
-        refused = 1
-    return spark.createDataFrame([(refused,)], "refused bigint")
+    orders, found = table(spark, sf_dir, "orders"), []
+    even, odd = orders.filter("o_orderkey % 2 = 0"), orders.filter("o_orderkey % 2 = 1")
+    for headers, rest in (("equal", odd), ("in another order", odd.select(*reversed(odd.columns)))):
+        path = _scratch(spark, "csv")
+        even.coalesce(1).write.csv(f"{path}/a", header=True)
+        rest.coalesce(1).write.csv(f"{path}/b", header=True)
+        try:
+            found.append((headers, read_csv(spark, f"{path}/*").count()))
+        except GateError:
+            found.append((headers, None))
+    return spark.createDataFrame(found, "headers string, rows bigint")
+
+
+@query(
+    "S08_empty_sources",
+    """WITH s(o_orderstatus) AS (VALUES ('F'), ('O'), ('P'), ('none'), ('no columns'))
+    SELECT o_orderstatus AS extract, nullif(count(o_orderkey), 0) AS rows FROM s LEFT JOIN orders USING (o_orderstatus) GROUP BY 1""",
+)
+def empty_sources(spark, sf_dir):
+    """Extracts without a row or a column are refused, the others go through the gate."""
+    gate, orders, found = _gate(spark), table(spark, sf_dir, "orders"), []
+    extracts = {status: orders.filter(F.col("o_orderstatus") == status) for status in ("F", "O", "P", "none")}
+    for name, extract in (extracts | {"no columns": orders.select()}).items():
+        try:
+            found.append((name, gate.run_table(extract, Source("sql", name=name), detail=False).audit.rows_before))
+        except GateError:
+            found.append((name, None))
+    return spark.createDataFrame(found, "extract string, rows bigint")
 
 
-@query("S02_json_document", "SELECT r_regionkey, r_name FROM region")
+@query("S02_json_document", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
 def json_document(spark, sf_dir):
-    """An envelope: one document with a list of records."""
+    """Envelopes: a document for each nation, with the list of its customers."""
     path = _scratch(spark, "json")
-    records = table(spark, sf_dir, "region").select(F.struct("r_regionkey", "r_name").alias("x"))
-    whole = records.agg(F.to_json(F.struct(F.lit(200).alias("status"), F.sort_array(F.collect_list("x")).alias("items"))).alias("value"))
-    whole.coalesce(1).write.text(path)
-    return read_json(spark, path).drop("_ord")
+    customers = table(spark, sf_dir, "customer").select("c_nationkey", F.struct("c_custkey", "c_name", "c_acctbal", "c_mktsegment").alias("x"))
+    whole = customers.groupBy("c_nationkey").agg(F.to_json(F.struct(F.lit(200).alias("status"), F.collect_list("x").alias("items"))).alias("value"))
+    whole.repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    return read_json(spark, f"{path}/*").drop("_ord")
 
 
 @query(
     "S10_stored_columns",
-    """SELECT * FROM (VALUES ('order_key', 'Order Key', 'bigint', true), ('o_totalprice', 'o_totalprice', 'double', false))
-    AS t(name, original_name, source_type, renamed)""",
+    " UNION ALL ".join(
+        f"""SELECT '{safe}' AS name, '{name}' AS original_name, '{kind}' AS source_type, {str(safe != name).lower()} AS renamed,
+        (SELECT string_agg(x, '|' ORDER BY k) FROM (SELECT o_orderkey AS k, {shown} AS x FROM orders ORDER BY o_orderkey LIMIT 3)) AS examples"""
+        for safe, name, kind, shown in (
+            ("order_key", "Order Key", "bigint", "CAST(o_orderkey AS VARCHAR)"),
+            ("o_custkey", "o_custkey", "bigint", "CAST(o_custkey AS VARCHAR)"),
+            ("o_orderstatus", "o_orderstatus", "string", "o_orderstatus"),
+            ("o_totalprice", "o_totalprice", "double", "CAST(o_totalprice AS VARCHAR)"),
+            ("o_orderdate", "o_orderdate", "date", "CAST(CAST(o_orderdate AS DATE) AS VARCHAR)"),
+            ("order_priority", "Order-Priority", "string", "o_orderpriority"),
+        )
+    ),
 )
 def stored_columns(spark, sf_dir):
-    """Original names and types stay with the run."""
+    """Original names, types and first values of every column stay with the run."""
     gate = _gate(spark)
-    df = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS `Order Key`", "o_totalprice")
-    gate.run_table(df, Source("sql", name="orders"), "r1", detail=False)
-    return gate.store.records("columns").select("name", "original_name", "source_type", "renamed")
+    df = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+    df = df.withColumn("_ord", F.col("o_orderkey")).withColumnsRenamed({"o_orderkey": "Order Key", "o_orderpriority": "Order-Priority"})
+    gate.run_table(df, Source("sql", name="orders"), "r1")
+    shown = F.concat_ws("|", "examples").alias("examples")
+    return gate.store.records("columns").select("name", "original_name", "source_type", "renamed", shown)
+
+
+@query(
+    "E01_stream_publishes_batches",
+    "SELECT l_returnflag, count(*) AS rows, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1",
+)
+def stream_publishes(spark, sf_dir):
+    """A folder of files as a stream: every micro-batch is an extract, and what is published adds up to the table."""
+    gate, path = _gate(spark), _scratch(spark, "stream")
+    lines = table(spark, sf_dir, "lineitem")
+    lines.repartitionByRange(2, "l_orderkey").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    for _ in range(2):  # the second time there is nothing new
+        gate_stream(stream, gate, "lines", f"{path}/checkpoint", detail=False, availableNow=True).awaitTermination()
+    whole = None
+    for row in gate.store.records("datasets").collect():  # one row a batch
+        rows = gate.store.dataset(row.id)
+        whole = rows if whole is None else whole.unionByName(rows)
+    return whole.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("E01_stream_repeated_keys", "SELECT user_id AS key, count(*) AS rows FROM events GROUP BY 1 HAVING count(*) > 1")
+def stream_repeated_keys(spark, sf_dir):
+    """Keys that come again, whichever micro-batches their rows are in, from state that a restart goes on with."""
+    path, events = _scratch(spark, "stream"), table(spark, sf_dir, "events")
+    events.repartition(4).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    for _ in range(2):
+        count_keys(stream, "user_id", path, availableNow=True).awaitTermination()
+    return repeated_keys(spark, path).select("key", "rows")
+
+
+@query(
+    "E02_alias_table",
+    """SELECT c_custkey, c_name, n_name AS nation, c_acctbal, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+)
+def alias_table(spark, sf_dir):
+    """Nations written in three ways get their names back by an alias table made from ``nation``, kept with the run."""
+    gate, nation = _gate(spark), table(spark, sf_dir, "nation")
+    code = F.concat(F.lit("N-"), F.col("n_nationkey").cast("string"))
+    version = gate.save_aliases(nation.select(code.alias("alias"), F.col("n_name").alias("name")).union(nation.select("n_name", "n_name")))
+    written_as = F.when(F.col("c_custkey") % 3 == 0, F.lower(code)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit(" "), F.lower("n_name"))).otherwise(F.col("n_name"))
+    customers = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    customers = customers.select("c_custkey", "c_name", written_as.alias("nation"), "c_acctbal", "c_mktsegment")
+    outcome = gate.run_table(customers, Source("sql", name="customers"), detail=False, aliases={"nation": version})
+    return gate.store.dataset(outcome.dataset_id).drop("_ord")
+
+
+@query(
+    "K04_compacted_log",
+    """SELECT 'issues' AS kind, count(DISTINCT user_id) * 0 + 2 AS records FROM events UNION ALL
+    SELECT 'runs', 2 FROM events GROUP BY 1 UNION ALL SELECT 'rows', count(*) FROM events UNION ALL SELECT 'again', count(*) FROM events""",
+)
+def compacted(spark, sf_dir):
+    """The log says the same after it is put together, and a run that is repeated then replaces what it said."""
+    gate, events = _gate(spark), table(spark, sf_dir, "events").select("event_id", "user_id")
+    for name in ("first", "second"):
+        gate.run_table(events, Source("sql", name=name), name, detail=False)
+    gate.store.compact()
+    gate.run_table(events, Source("sql", name="second"), "second", detail=False)
+    runs = gate.store.records("runs")
+    issues = gate.store.records("issues").filter("stage = 'before'").count()
+    before = {row.run_id: row.rows_before for row in runs.collect()}
+    rows = [("issues", issues), ("runs", runs.count()), ("rows", before["first"]), ("again", before["second"])]
+    return spark.createDataFrame(rows, "kind string, records bigint")

@@ -84,23 +84,6 @@ def checks_clean(spark, sf_dir):
     return _checks(spark, sf_dir, clean=True)
 
 
-_RUN_TABLES = ("customer", "supplier", "part", "labels", "conversations", "events", "documents", "orders")
-
-
-@query("V07_checks_of_many_runs")
-def checks_of_runs(spark, sf_dir):
-    """All five checks for a history of runs in one job."""
-    issues, runs = [], []
-    for name in _RUN_TABLES:
-        with Inspection(table(spark, sf_dir, name)) as inspection:
-            issues += [(name, issue.severity) for issue in detect(inspection, evidence=False)]
-            runs.append((name, inspection.rows, inspection.rows, len(inspection.cells)))
-    return checks_by_run(
-        spark.createDataFrame(issues, "run_id string, severity string"),
-        spark.createDataFrame(runs, "run_id string, rows_before bigint, rows_after bigint, columns int"),
-    )
-
-
 @query(
     "V08_gate_decisions",
     f"""WITH conv AS ({conflict_sql('conv_id', 'conversations')}), ev AS ({conflict_sql('user_id', 'events')}),
@@ -156,9 +139,9 @@ _APPROVED = f"""{repaired_sql()},
     signless AS (SELECT _ord, {', '.join('abs(amount) AS amount' if c == 'amount' else c for c in COLUMNS)} FROM fixed),
     q AS (SELECT quantile_cont(amount, 0.25) AS q1, quantile_cont(amount, 0.75) AS q3 FROM signless),
     near AS (SELECT signless.* FROM signless, q
-      WHERE amount IS NULL OR amount BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1))
-    SELECT order_id, CAST(arg_min(struct_pack(a := amount), _ord).a AS DOUBLE) AS amount, arg_min(status, _ord) AS status,
-      min(_ord) AS _ord FROM near GROUP BY order_id"""
+      WHERE amount IS NULL OR amount BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)),
+    first AS (SELECT min(_ord) AS _ord FROM near GROUP BY order_id)
+    SELECT near.* FROM near JOIN first USING (_ord)"""
 
 
 @query("V09_approved_rows", _APPROVED)
@@ -167,7 +150,7 @@ def approved(spark, sf_dir):
     gate = _gate(spark)
     held = gate.run_table(lens(spark, sf_dir), Source("sql", name="orders"), detail=False)
     outcome = gate.approve(held.review_id)
-    return gate.store.dataset(outcome.dataset_id).select("order_id", "amount", "status", "_ord")
+    return gate.store.dataset(outcome.dataset_id)
 
 
 def _history(spark, sf_dir) -> Gate:
@@ -175,39 +158,102 @@ def _history(spark, sf_dir) -> Gate:
     gate = _gate(spark)
     for name in ("supplier", "customer", "labels", "conversations", "events"):
         outcome = gate.run_table(table(spark, sf_dir, name), Source("parquet", name=name), run_id=name, detail=False)
-        if name == "conversations":
+        if name == "conversations" and outcome.review_id:
             gate.reject(outcome.review_id)
     return gate
 
 
+# What the runs of ``_history`` find, computed from the tables: keys that conflict, signs, outliers.
+_FOUND = f"""WITH conv AS ({conflict_sql('conv_id', 'conversations')}), ev AS ({conflict_sql('user_id', 'events')}),
+    q AS (SELECT quantile_cont(value, 0.25) AS q1, abs(quantile_cont(value, 0.5)) AS q2, quantile_cont(value, 0.75) AS q3 FROM events),
+    far AS (SELECT count(*) AS n, coalesce(bool_or(abs(value) > greatest(20 * q2, 1)), false) AS slip FROM events, q
+      WHERE value NOT BETWEEN q1 - 3 * (q3 - q1) AND q3 + 3 * (q3 - q1) AND abs(value) > greatest(10 * q2, 1)),
+    sizes AS (SELECT (SELECT count(*) FROM conversations) AS conversations, (SELECT count(*) FROM events) AS events),
+    issues AS (
+      SELECT 'conversations' AS run_id, 1 AS place, 'conv_id' AS "column", 'duplicate_key' AS issue_type, coalesce(sum(rows), 0)::BIGINT AS row_count,
+        CASE WHEN sum(rows) > 0.2 * any_value(sizes.conversations) THEN 'critical' ELSE 'high' END AS severity, 'conflicting_keys' AS category, 0.82 AS confidence FROM conv, sizes
+      UNION ALL SELECT 'events', 1, 'user_id', 'duplicate_key', coalesce(sum(rows), 0)::BIGINT,
+        CASE WHEN sum(rows) > 0.2 * any_value(sizes.events) THEN 'critical' ELSE 'high' END, 'conflicting_keys', 0.82 FROM ev, sizes
+      UNION ALL SELECT 'events', 2, 'value', 'outliers', n, CASE WHEN slip THEN 'high' ELSE 'medium' END,
+        CASE WHEN slip THEN 'unit_mismatch' ELSE 'outlier' END, CASE WHEN slip THEN 0.74 ELSE 0.48 END FROM far
+      UNION ALL SELECT 'customer', 1, 'c_acctbal', 'negative_values', count(*), 'medium', 'sign_convention', 0.7 FROM customer WHERE c_acctbal < 0
+      UNION ALL SELECT 'supplier', 1, 's_acctbal', 'negative_values', count(*), 'medium', 'sign_convention', 0.7 FROM supplier WHERE s_acctbal < 0),
+    found AS (SELECT * REPLACE ('Q' || lpad(CAST(row_number() OVER (PARTITION BY run_id ORDER BY place) AS VARCHAR), 3, '0') AS place) FROM issues WHERE row_count > 0),
+    tables AS (
+      SELECT 'supplier' AS run_id, count(*) AS n, 4 AS k FROM supplier UNION ALL SELECT 'customer', count(*), 5 FROM customer
+      UNION ALL SELECT 'labels', count(*), 3 FROM labels UNION ALL SELECT 'conversations', count(*), 4 FROM conversations
+      UNION ALL SELECT 'events', count(*), 6 FROM events),
+    scored AS (SELECT run_id, n, k, greatest(0, 100 - coalesce(sum(CASE severity WHEN 'critical' THEN 30 WHEN 'high' THEN 15 WHEN 'medium' THEN 5 END), 0))::BIGINT AS score,
+      count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high
+      FROM tables LEFT JOIN found USING (run_id) GROUP BY ALL),
+    decided AS (SELECT *, critical = 0 AND high = 0 AND score >= 70 AS passed FROM scored)"""
+
+
+_RUN_TABLES = ("customer", "supplier", "part", "labels", "conversations", "events", "documents", "orders")
+
+
+@query(
+    "V07_checks_of_many_runs",
+    f"""{_FOUND}, dq AS (SELECT quantile_cont(n_chars, 0.25) AS q1, abs(quantile_cont(n_chars, 0.5)) AS q2, quantile_cont(n_chars, 0.75) AS q3 FROM documents),
+    doc AS (SELECT count(*) AS n, coalesce(bool_or(abs(n_chars) > greatest(20 * q2, 1)), false) AS slip FROM documents, dq
+      WHERE n_chars NOT BETWEEN q1 - 3 * (q3 - q1) AND q3 + 3 * (q3 - q1) AND abs(n_chars) > greatest(10 * q2, 1)),
+    more AS (
+      SELECT run_id, n, k, score, critical, high FROM scored
+      UNION ALL SELECT 'part', count(*), 6, 100, 0, 0 FROM part UNION ALL SELECT 'orders', count(*), 6, 100, 0, 0 FROM orders
+      UNION ALL SELECT 'documents', (SELECT count(*) FROM documents), 5, CASE WHEN n = 0 THEN 100 WHEN slip THEN 85 ELSE 95 END, 0, CASE WHEN n > 0 AND slip THEN 1 ELSE 0 END FROM doc)
+    SELECT run_id, n AS rows_before, n AS rows_after, k::INTEGER AS columns, score::BIGINT AS score_after, critical, high, n > 0 AND k > 0 AS non_empty, true AS rows_retained,
+      critical = 0 AS no_critical_issues, high = 0 AS no_high_issues, score >= 70 AS quality_score, n > 0 AND critical = 0 AND high = 0 AND score >= 70 AS passed FROM more""",
+)
+def checks_of_runs(spark, sf_dir):
+    """All five checks for a history of runs in one job."""
+    issues, runs = [], []
+    for name in _RUN_TABLES:
+        with Inspection(table(spark, sf_dir, name)) as inspection:
+            issues += [(name, issue.severity) for issue in detect(inspection, evidence=False)]
+            runs.append((name, inspection.rows, inspection.rows, len(inspection.cells)))
+    return checks_by_run(
+        spark.createDataFrame(issues, "run_id string, severity string"),
+        spark.createDataFrame(runs, "run_id string, rows_before bigint, rows_after bigint, columns int"),
+    )
+
+
 @query(
     "H01_H02_datasets",
-    """SELECT 'customer' AS display_name, count(*) AS row_count FROM customer
-    UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'labels', count(*) FROM labels""",
+    f"{_FOUND} SELECT run_id AS id, run_id AS display_name, n AS row_count, k::BIGINT AS column_count, score AS quality_score FROM decided WHERE passed",
 )
 def datasets(spark, sf_dir):
-    return history.newest_datasets(_history(spark, sf_dir).store.records("datasets")).select("display_name", "row_count")
+    found = history.newest_datasets(_history(spark, sf_dir).store.records("datasets"))
+    return found.select("id", "display_name", "row_count", "column_count", "quality_score")
 
 
 @query(
     "H03_H04_runs_and_reviews",
-    """SELECT * FROM (VALUES ('supplier', 'pass', NULL), ('customer', 'pass', NULL), ('labels', 'pass', NULL),
-      ('conversations', 'fail', 'rejected'), ('events', 'fail', 'pending')) AS t(run_id, status, review_status)""",
+    f"""{_FOUND} SELECT run_id, CASE WHEN passed THEN 'pass' ELSE 'fail' END AS status, run_id AS display_name, CASE WHEN passed THEN 'store' ELSE 'rollback' END AS decision,
+    score AS score_after, CASE WHEN passed THEN run_id END AS dataset_id, CASE WHEN NOT passed THEN 'r' || run_id END AS review_id,
+    CASE WHEN passed THEN NULL WHEN run_id = 'conversations' THEN 'rejected' ELSE 'pending' END AS review_status,
+    CASE WHEN NOT passed THEN (SELECT count(*) FROM found WHERE found.run_id = decided.run_id) END AS residual_issues FROM decided""",
 )
 def runs_and_reviews(spark, sf_dir):
     store = _history(spark, sf_dir).store
-    runs = history.recent_runs(store.records("runs")).select("run_id", "status")
+    runs = history.recent_runs(store.records("runs")).drop("created_at")
     queue = history.review_queue(*[store.records(k) for k in ("review_events", "runs", "issues", "repairs")])
-    return runs.join(queue.select("run_id", F.col("status").alias("review_status")), "run_id", "left")
+    queue = queue.select("run_id", F.col("status").alias("review_status"), F.size("residual_issues").cast("bigint").alias("residual_issues"))
+    return runs.join(queue, "run_id", "left")
 
 
-@query("H05_totals", "SELECT 3::BIGINT AS datasets, 1::BIGINT AS pending_reviews")
+@query(
+    "H05_totals",
+    f"{_FOUND} SELECT count(*) FILTER (passed) AS datasets, count(*) FILTER (NOT passed AND run_id <> 'conversations') AS pending_reviews FROM decided",
+)
 def totals(spark, sf_dir):
     store = _history(spark, sf_dir).store
     return history.totals(store.records("datasets"), store.records("review_events"))
 
 
-@query("K04_recorded_issues")
+@query(
+    "K04_recorded_issues",
+    f"""{_FOUND} SELECT run_id, place AS id, "column", issue_type, severity, row_count, category, confidence::DOUBLE AS confidence FROM found""",
+)
 def recorded(spark, sf_dir):
     """Issues, causes and repairs as the store recorded them."""
     store = _history(spark, sf_dir).store
@@ -216,5 +262,3 @@ def recorded(spark, sf_dir):
     return issues.join(causes, ["run_id", "id"], "left").select(
         "run_id", "id", "column", "issue_type", "severity", "row_count", "category", "confidence"
     )
-
-

@@ -64,9 +64,9 @@ def drop_duplicates(spark, sf_dir):
     return drop_copies(lens(spark, sf_dir))
 
 
-@query("R08_drop_duplicate_documents", "SELECT DISTINCT text, lang FROM documents")
+@query("R08_drop_duplicate_documents", "SELECT min(doc_id) AS _ord, text, lang, source, n_chars FROM documents GROUP BY text, lang, source, n_chars")
 def drop_duplicate_documents(spark, sf_dir):
-    return drop_copies(table(spark, sf_dir, "documents").select("text", "lang"))
+    return drop_copies(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", ORD))
 
 
 @query(
@@ -98,20 +98,32 @@ def outlier_rows_documents(spark, sf_dir):
 @query(
     "R13_dedupe_key_events",
     """SELECT min(event_id) AS _ord, arg_min(event_id, event_id) AS event_id, user_id,
-    arg_min(event_type, event_id) AS event_type, arg_min(value, event_id) AS value FROM events GROUP BY user_id""",
+    arg_min(ts, event_id) AS ts, arg_min(event_type, event_id) AS event_type, arg_min(value, event_id) AS value,
+    arg_min(props, event_id) AS props FROM events GROUP BY user_id""",
 )
 def dedupe_events(spark, sf_dir):
-    df = table(spark, sf_dir, "events").select(F.col("event_id").alias(ORD), "event_id", "user_id", "event_type", "value")
-    return keep_first(df, "user_id")
+    return keep_first(table(spark, sf_dir, "events").withColumn(ORD, F.col("event_id")), "user_id")
 
 
 @query(
     "R13_dedupe_key_lens",
-    f"""{LENS} SELECT order_id, min(_ord) AS _ord, arg_min(customer, _ord) AS customer, arg_min(amount, _ord) AS amount
-    FROM lens GROUP BY order_id""",
+    f"""{LENS}, first AS (SELECT min(_ord) AS _ord FROM lens GROUP BY order_id)
+    SELECT lens.* FROM lens JOIN first USING (_ord)""",
 )
 def dedupe_lens(spark, sf_dir):
-    return keep_first(lens(spark, sf_dir).select(ORD, "order_id", "customer", "amount"), "order_id")
+    return keep_first(lens(spark, sf_dir), "order_id")
+
+
+@query(
+    "C15_trim_text_only",
+    """SELECT o_orderkey, o_custkey, trim(' ' || o_orderstatus || '  ') AS o_orderstatus, o_totalprice, o_orderdate,
+    trim(chr(9) || o_orderpriority, chr(9) || ' ') AS o_orderpriority FROM orders""",
+)
+def trim_all(spark, sf_dir):
+    """Every column is to be trimmed; what is no text keeps its type and values."""
+    padded = {"o_orderstatus": F.concat(F.lit(" "), "o_orderstatus", F.lit("  ")), "o_orderpriority": F.concat(F.lit("\t"), "o_orderpriority")}
+    df = table(spark, sf_dir, "orders").withColumns(padded)
+    return repair_cells(df, [Repair("trim_whitespace", name) for name in df.columns])
 
 
 # -- plans and whole runs ---------------------------------------------------------------------

@@ -19,13 +19,13 @@ def _scratch(spark, name: str) -> str:
 
 @query(
     "S01_csv",
-    "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority, CAST(CAST(o_orderdate AS DATE) AS STRING) AS o_orderdate FROM orders",
+    "SELECT * REPLACE (CAST(CAST(o_orderdate AS DATE) AS STRING) AS o_orderdate) FROM orders",
 )
 def csv(spark, sf_dir):
     """Written as text with a header and read back, numeric columns typed again."""
     path = _scratch(spark, "csv")
-    columns = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "CAST(CAST(o_orderdate AS DATE) AS STRING) AS o_orderdate"]
-    table(spark, sf_dir, "orders").selectExpr(*columns).write.csv(path, header=True)
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date").cast("string"))
+    orders.write.csv(path, header=True)
     return read_csv(spark, path, multiline=False).drop("_ord")
 
 
@@ -38,13 +38,32 @@ def csv_text(spark, sf_dir):
     return read_csv(spark, path).drop("_ord")
 
 
-@query("S02_json_lines", "SELECT event_id, event_type, value, user_id FROM events")
+_TEXT_TIME = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
+
+
+def _texts(events):
+    """Times as text, as JSON has no other."""
+    return events.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("S02_json_lines", f"SELECT * REPLACE ({_TEXT_TIME}) FROM events")
 def json_lines(spark, sf_dir):
     path = _scratch(spark, "json")
-    table(spark, sf_dir, "events").select("event_id", "event_type", "value", "user_id").write.json(path)
+    _texts(table(spark, sf_dir, "events")).write.json(path)
     return read_json(spark, path, lines=True).drop("_ord")
 
 
+@query("S02_json_folder", f"SELECT * REPLACE ({_TEXT_TIME}), event_id - (SELECT min(event_id) FROM events) AS _ord FROM events")
+def json_folder(spark, sf_dir):
+    """Files of very different sizes: records come in order of file name and place."""
+    path, events = _scratch(spark, "json"), _texts(table(spark, sf_dir, "events"))
+    least = events.agg(F.min("event_id")).first()[0]
+    events.filter(F.col("event_id") < least + 3).coalesce(1).sortWithinPartitions("event_id").write.json(f"{path}/a")
+    rest = events.filter(F.col("event_id") >= least + 3)
+    rest.repartitionByRange(5, "event_id").sortWithinPartitions("event_id").write.json(f"{path}/b")
+    return read_json(spark, f"{path}/*", lines=True)
+
+
 _K = "CAST(json_extract(props, '$.k') AS BIGINT)"
 
 

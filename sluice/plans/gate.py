@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from sluice.errors import GateError
 from sluice.functions.cells import ORD
 from sluice.operators import ask as questions
 from sluice.operators import history
+from sluice.operators.aliases import alias_lookup, alias_version, named_by
 from sluice.operators.causes import Cause, explain
 from sluice.operators.inspection import Inspection
 from sluice.operators.issues import Issue, detect, issue_rows
@@ -22,6 +24,7 @@ from sluice.rules import DEFAULT_RULES, Rules
 from sluice.sources.positions import with_positions
 from sluice.sources.readers import Source, read, require_rows
 from sluice.sources.shape import renamed, schema_report
+from sluice.workspace import written
 
 
 @dataclass
@@ -114,22 +117,46 @@ class Gate:
         return self._run(df, source, run_id, detail, mark)
 
     def run_table(
-        self, df: DataFrame, source: Source, run_id: str | None = None, detail: bool = True
+        self, df: DataFrame, source: Source, run_id: str | None = None, detail: bool = True,
+        aliases: Mapping[str, str] | None = None,
     ) -> Outcome:
-        """The same for a DataFrame that is already there."""
-        return self._run(df, source, run_id, detail)
+        """The same for a DataFrame that is already there; a column ``_ord`` of it is the row position.
+
+        ``aliases``: for columns (by their safe names), the version of an alias table of ``save_aliases``.
+        """
+        return self._run(df, source, run_id, detail, aliases=aliases)
+
+    def save_aliases(self, aliases: DataFrame) -> str:
+        """Keep a table ``(alias, name)`` in the store; returns its version."""
+        lookup = written(alias_lookup(aliases), "lookup")
+        version = alias_version(lookup)
+        lookup.write.mode("overwrite").parquet(f"{self.store.root}/aliases/{version}")
+        return version
+
+    def _named(self, df: DataFrame, aliases: Mapping[str, str] | None) -> tuple[DataFrame, list[Repair]]:
+        """``df`` with the names of alias tables, and what that changed: the run's record has the version."""
+        done = []
+        for column, version in (aliases or {}).items():
+            lookup = self.spark.read.parquet(f"{self.store.root}/aliases/{version}")
+            marked = written(named_by(df, column, lookup, self.rules, "__changed"), "named")
+            text = f"Give the aliases in {column} their names by alias table {version}."
+            df, n = marked.drop("__changed"), marked.agg(F.count_if("__changed")).first()[0]
+            done.append(Repair("alias_table", column, description=text, applied=True, rows_affected=n))
+        return df, done
 
     def _run(
-        self, df: DataFrame, source: Source, run_id: str | None, detail: bool, mark: tuple[int, int] | None = None
+        self, df: DataFrame, source: Source, run_id: str | None, detail: bool, mark: tuple[int, int] | None = None,
+        aliases: Mapping[str, str] | None = None,
     ) -> Outcome:
         extract, run_id = require_rows(with_positions(df)), run_id or new_id()
-        df = renamed(extract)
+        df, named = self._named(renamed(extract), aliases)
         dataset, event = self.store.of_run(run_id)  # what the run led to before, if it is repeated
         path, published = self.store.published(run_id), dataset is not None
         found = audit(df, self.rules, detail, target=None if published else path)
+        changed = any(repair.applied for repair in found.repairs)
+        found.repairs = numbered([*named, *found.repairs])
         outcome = Outcome(run_id, "fail", "rollback", audit=found, validation=found.validation)
         outcome.repairs, outcome.rows_after = found.repairs, found.rows_after
-        changed = any(repair.applied for repair in found.repairs)
         if found.validation.passed:
             outcome.status, outcome.decision, outcome.dataset_id = "pass", "store", run_id
             if not published and not changed:
@@ -207,7 +234,7 @@ class Gate:
         run = self.store.records("runs").filter(F.col("run_id") == event.run_id).first()
         rows = self.store.records("repairs").filter(F.col("run_id") == event.run_id).orderBy("id").collect()
         fields = list(Repair.__dataclass_fields__)
-        plan = [Repair(**{name: row[name] for name in fields}) for row in rows]
+        plan = [Repair(**{name: row[name] for name in fields}) for row in rows if row.strategy != "alias_table"]  # staged rows have it
         staged = self.store.staged(review_id)
         run_id = f"a{event.run_id}"
         path = self.store.published(run_id)

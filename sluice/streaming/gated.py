@@ -11,7 +11,9 @@ from sluice.sources.positions import with_positions
 from sluice.sources.readers import Source
 
 
-def gate_stream(stream: DataFrame, gate: Gate, name: str, checkpoint: str, **trigger) -> StreamingQuery:
+def gate_stream(
+    stream: DataFrame, gate: Gate, name: str, checkpoint: str, detail: bool = True, **trigger
+) -> StreamingQuery:
     """Publish or hold every micro-batch.
 
     The run id comes from the stream's own id, which its checkpoint keeps, and the batch
@@ -24,7 +26,7 @@ def gate_stream(stream: DataFrame, gate: Gate, name: str, checkpoint: str, **tri
         run_id = f"{name}-{stream_id}-{batch_id:09d}"
         done = gate.store.records("runs").filter(F.col("run_id") == run_id)
         if done.isEmpty() and not batch.isEmpty():
-            gate.run_table(with_positions(batch), Source("stream", checkpoint, name=name), run_id)
+            gate.run_table(with_positions(batch), Source("stream", checkpoint, name=name), run_id, detail)
 
     writer = stream.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()

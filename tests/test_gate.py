@@ -187,6 +187,89 @@ def test_replayed_run_is_published_once(gate, frame):
     assert gate.store.records("datasets").count() == 1
 
 
+def test_an_audit_takes_few_jobs(spark, tmp_path):
+    """Counted with everything that the engine runs as a job of its own, each shuffle among them."""
+    from queries.lens import lens
+
+    context = spark.sparkContext
+    context.setJobGroup("few", "an audit")
+    try:
+        found = audit(lens(spark, "/root/testdata/sf0.001"), detail=False)
+    finally:
+        context.setJobGroup("others", "after the audit")
+    assert found.repairs
+    assert len(context.statusTracker().getJobIdsForGroup("few")) <= 42  # two inspections and a repair; 83 before
+
+
+def test_source_that_changes_is_not_published(spark, gate, tmp_path, monkeypatch):
+    path = f"{tmp_path}/source"
+    spark.range(20).selectExpr("id AS k", "id * 2 AS v").write.parquet(path)
+    assert gate.run(Source("parquet", path)).status == "pass"
+    import sluice.plans.gate as module
+
+    inspect = module.audit
+
+    def meddling(*args, **options):
+        found = inspect(*args, **options)
+        spark.range(3).selectExpr("id AS k", "id AS v").write.mode("append").parquet(path)
+        return found
+
+    monkeypatch.setattr(module, "audit", meddling)
+    with pytest.raises(GateError, match="changed during the run"):
+        gate.run(Source("parquet", path), run_id="late")
+    assert gate.store.records("datasets").filter("id = 'late'").isEmpty()
+
+
+def test_rows_are_written_once(gate, extract, monkeypatch):
+    """Repaired rows go straight to where they are published; what fails leaves nothing there."""
+    import sluice.plans.store as module
+
+    copies = []
+    monkeypatch.setattr(module.Store, "write_rows", lambda self, df, path: copies.append(path))
+    outcome = gate.run(Source("csv", extract(ORDERS, "orders.csv")))
+    assert outcome.status == "pass" and not copies
+    assert gate.store.dataset(outcome.dataset_id).count() == 9
+    held = gate.run(Source("csv", extract(LEDGER, "ledger.csv")))
+    assert held.status == "fail"
+    system, at = gate.store._folder(gate.store.published(held.run_id))
+    assert not system.exists(at)
+
+
+def test_compaction_and_replay(gate, frame):
+    df = frame("a string, b int", ("x", 1), ("y", 2))
+    held = gate.run_table(frame("row_id string, v double", *[(None, 1.0)] * 4), Source("sql", name="t"), run_id="bad")
+    gate.reject(held.review_id)
+    gate.run_table(df, Source("sql", name="t"), run_id="one")
+    before = {kind: gate.store.records(kind).count() for kind in ("runs", "issues", "columns", "datasets", "review_events")}
+    assert gate.store.compact() > 0 and gate.store.compact() > 0
+    assert {kind: gate.store.records(kind).count() for kind in before} == before
+    gate.run_table(df, Source("sql", name="t"), run_id="one")
+    gate.run_table(frame("row_id string, v double", *[(None, 1.0)] * 4), Source("sql", name="t"), run_id="bad")
+    assert {kind: gate.store.records(kind).count() for kind in before} == before
+    with pytest.raises(GateError, match="already rejected"):
+        gate.approve(held.review_id)
+
+
+def test_alias_tables(spark, gate, frame):
+    aliases = spark.createDataFrame([(" DE ", "Germany"), ("brd", "Germany"), ("de", "Zz"), (None, "x"), ("y", " ")], "alias string, name string")
+    version = gate.save_aliases(aliases)
+    assert version == gate.save_aliases(aliases.orderBy("alias"))
+    df = frame("land string, v int", ("de", 1), (" BRD ", 2), ("France", 3), (None, 4))
+    outcome = gate.run_table(df, Source("sql", name="t"), aliases={"land": version})
+    (named,) = [r for r in gate.store.records("repairs").collect() if r.strategy == "alias_table"]
+    assert named.rows_affected == 2 and version in named.description
+    assert values(outcome.audit.repaired, "land") == ["Germany", "Germany", "France", None]
+
+
+def test_own_position_columns(spark, extract, tmp_path):
+    df = read_csv(spark, extract("_ord,ord,v\n7,1,a\n7,2,b\n", "own.csv"))
+    assert sorted(df.columns) == ["_ord", "ord", "ord_", "v"] and values(df, "ord_") == [7, 7]
+    path = f"{tmp_path}/own"
+    spark.createDataFrame([(7, "a"), (7, "b")], "_ord int, v string").coalesce(1).write.parquet(path)
+    found = parquet_with_positions(spark, path)
+    assert sorted((r.ord, r._ord) for r in found.collect()) == [(7, 0), (7, 1)]
+
+
 def test_empty_source_is_refused(gate, extract, spark):
     with pytest.raises(GateError):
         gate.run(Source("csv", extract("a,b\n")))
