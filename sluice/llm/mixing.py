@@ -7,8 +7,8 @@ hash lies below a threshold: the words of a source are summed by hash bucket, th
 its budget runs out is split again by the next hash bits, and so on to one hash value, which is
 taken if that brings the sum nearer. Thresholds for smaller budgets are lower, so mixes nest.
 
-The hash is of the document id alone: reruns agree, and rows with one id go together. Null text
-has no words, a null id hashes like empty text, null is a source of its own, sources without
+The hash is of the document's id and text: reruns agree, and only rows equal in both go together. Null
+text has no words, a null id hashes like an empty one, null is a source of its own, sources without
 words get target 0, an empty table gives an empty result; other columns stay out of the way.
 """
 
@@ -33,9 +33,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def id_hash(identifier: Column) -> Column:
-    """The first 60 bits of the md5 of the id's digits."""
-    digest = F.md5(F.coalesce(identifier.cast("string"), F.lit("")))
+def row_hash(identifier: Column, text: Column) -> Column:
+    """The first 60 bits of the md5 of the id's digits and the text."""
+    digest = F.md5(F.concat(F.coalesce(identifier.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -93,7 +93,7 @@ def planned(
 ) -> tuple[DataFrame, DataFrame]:
     """The size and hash of every row; for every source, plan_source, source_size, target, whole, edge, edge_taken."""
     rows = written(
-        docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), words(F.col(text_column)).alias("size"), id_hash(F.col(id_column)).alias("h")),
+        docs.select(F.col(id_column).alias("id"), F.col(source_column).alias("source"), words(F.col(text_column)).alias("size"), row_hash(F.col(id_column), F.col(text_column)).alias("h")),
         "sizes",
     )
     wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
@@ -128,7 +128,7 @@ def repeated(
     plan = plan.select("plan_source", "whole", "edge", "edge_taken")
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    rows = docs.select(F.struct("*").alias("row"), F.col(source_column).alias("source"), id_hash(F.col(id_column)).alias("h"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(source_column).alias("source"), row_hash(F.col(id_column), F.col(text_column)).alias("h"))
     taken = rows.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).withColumn("copies", _copies(F.col("h"))).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
@@ -136,7 +136,7 @@ def repeated(
 SQL = """
 WITH s AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents),
 w AS (
   SELECT source, source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight

@@ -11,7 +11,7 @@ from sluice.llm import mixing
 
 def brute(docs):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    h = lambda i: int(hashlib.md5(b"" if i is None else str(i).encode()).hexdigest()[:15], 16)
+    h = lambda i, t: int(hashlib.md5(f"{'' if i is None else i}:{t or ''}".encode()).hexdigest()[:15], 16)
     sources = sorted({s for _, _, s in docs}, key=lambda s: (s is None, s or ""))
     total = {s: sum(size(t) for _, t, x in docs if x == s) for s in sources}
     weight = {s: 1 + k % 3 for k, s in enumerate(sources)}
@@ -33,11 +33,11 @@ def brute(docs):
         by_hash: dict = {}
         for i, t, x in docs:
             if x == s:
-                by_hash[h(i)] = by_hash.get(h(i), 0) + size(t)
+                by_hash[h(i, t)] = by_hash.get(h(i, t), 0) + size(t)
         for value in sorted(by_hash):
             found[s, value] = whole + (whole < 3 and before + by_hash[value] / 2 <= budget)
             before += by_hash[value]
-    return sorted(((i, size(t), total[s], round(goal[s], 6), size(t) * found.get((s, h(i)), 0)) for i, t, s in docs), key=repr)
+    return sorted(((i, size(t), total[s], round(goal[s], 6), size(t) * found.get((s, h(i, t)), 0)) for i, t, s in docs), key=repr)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -55,6 +55,15 @@ def test_mix_is_brute_force(spark, seed):
     assert repeated.count() == sum(r.copies for r in mixed.collect())
 
 
+def test_rows_that_share_an_id_are_taken_one_by_one(spark):
+    docs = [(None if i % 2 else 5, f"w{i} " * 10, "a") for i in range(30)] + [(100 + i, f"v{i} " * 10, "b") for i in range(60)]
+    mixed = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).where("source = 'a'").collect()
+    assert {r.target for r in mixed} == {300.0}
+    again = mixing.mix(spark.createDataFrame(docs + [(7, "x " * 150, "b")], "doc_id long, text string, source string")).where("source = 'a'").collect()
+    assert {r.target for r in again} == {350.0}
+    assert abs(sum(r.size * r.copies for r in again) - 350) <= 5
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(empty).count() == 0
