@@ -9,8 +9,9 @@ the block have collided on ``threshold`` of the lines, those are verified by the
 Windows end up over the whole block if need be, so a block always yields as many as it can.
 
 Queries in blocks meet vectors in blocks; every vector is indexed and no partner is cut off. Each
-pair of blocks returns its best ``k``, and these are merged. Rows with equal ids count once, by
-the smallest vector. Null ids, and vectors that are null, zero, or hold null or non-finite
+pair of blocks returns its best ``k``, and these are merged. Rows with equal ids and vectors count
+once; rows that share an id only are candidates and queries of their own, and a query leaves out
+just its own row. Null ids, and vectors that are null, zero, or hold null or non-finite
 components, take no part; vectors of different lengths are never compared. With fewer than
 ``k`` candidates all are returned. An empty table gives an empty result; other columns are not read.
 """
@@ -37,7 +38,7 @@ STEP, BACK = 1.12, 2
 BLOCK = 4096
 SEED = 20
 
-_RESULT = "query_id long, vec_id long, score double"
+_RESULT = "query_id long, query_key long, vec_id long, score double"
 
 
 def _usable(vector: Column) -> Column:
@@ -85,20 +86,22 @@ def search_block(vectors: np.ndarray, queries: np.ndarray, own: np.ndarray, norm
 
 
 def _search(norm: float, k: int):
+    columns = ("query_id", "query_key", "vec_id", "score")
+
     def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(vectors) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        vectors, queries = vectors.sort_values("id"), queries.sort_values("id")
+            return pd.DataFrame({c: pd.Series(dtype="float64" if c == "score" else "int64") for c in columns})
+        vectors, queries = vectors.sort_values(["id", "key"]), queries.sort_values(["id", "key"])
         ids, data, asked = vectors["id"].to_numpy(), _vectors(vectors), _vectors(queries)
-        names = queries["id"].to_numpy()
-        place = np.minimum(np.searchsorted(ids, names), len(ids) - 1)
-        own = np.where(ids[place] == names, place, -1)
+        place = {row: i for i, row in enumerate(zip(vectors["id"], vectors["key"], strict=True))}
+        rows = list(zip(queries["id"], queries["key"], strict=True))
+        own = np.array([place.get(row, -1) for row in rows])
         found = []
-        for name, query, candidates in zip(names, asked, search_block(data, asked, own, norm, k), strict=True):
+        for (name, key), query, candidates in zip(rows, asked, search_block(data, asked, own, norm, k), strict=True):
             score = (data[candidates] * query).sum(1)
             best = np.lexsort((ids[candidates], -score))[:k]
-            found.append((np.full(len(best), name), ids[candidates[best]], score[best]))
-        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("query_id", "vec_id", "score"), zip(*found, strict=True), strict=True)})
+            found.append((np.full(len(best), name), np.full(len(best), key), ids[candidates[best]], score[best]))
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(columns, zip(*found, strict=True), strict=True)})
 
     return run
 
@@ -108,15 +111,16 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_column: str = "
     importable(vectors.sparkSession)
     chosen = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
     chosen = chosen.where(F.col("id").isNotNull() & _usable(F.col("vector")))
-    rows = written(chosen.groupBy("id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector")), "vectors")
+    chosen = chosen.groupBy("id", "vector").agg(F.count(F.lit(1)).alias("times")).drop("times")
+    rows = written(chosen.withColumns({"dim": F.size("vector"), "key": F.xxhash64("vector")}), "vectors")
     squares = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
     asked = F.col("id") % every == 0
     count, queries, norm = rows.agg(F.count(F.lit(1)), F.count_if(asked), F.max(F.sqrt(squares))).first()
     blocks, query_blocks = max(1, math.ceil(count / BLOCK)), max(1, math.ceil(queries / BLOCK))
-    part = F.xxhash64("id")
+    part = F.xxhash64("id", "key")
     data = rows.withColumn("block", F.pmod(part, F.lit(blocks))).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>")))
     wanted = rows.where(asked).withColumn("query_block", F.pmod(part, F.lit(query_blocks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
     key = ["dim", "block", "query_block"]
     found = data.groupBy(key).cogroup(wanted.groupBy(key)).applyInPandas(_search(norm or 0.0, k), _RESULT)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -55,6 +55,14 @@ def test_nearest_by_blocks_norms_and_odd_rows(spark, monkeypatch):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [-1.0, 0.0]), (0, [-1.0, 0.0]), (1, [1.0, 0.0]), (1, [3.0, 0.0]), (2, [0.0, 1.0])]
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.query_id for r in found} == {0}
+    answers = sorted((r.rank, r.vec_id, r.score) for r in found)
+    assert answers == sorted([(1, 1, 3.0), (2, 1, 1.0), (3, 2, 0.0), (4, 0, -1.0), (1, 2, 0.0), (2, 0, -1.0), (3, 1, -1.0), (4, 1, -3.0)])
+
+
 def split(text):
     return (text or "").encode().lower().split()
 
