@@ -21,14 +21,13 @@ import regex
 from tokenizers import Tokenizer
 
 #: Bytes that a worker's cache may take, about; bounds memory, not results.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 56 << 20
 #: Bytes of an entry besides the chunk's and the value's own.
 ENTRY_BYTES = 150
 #: Longer chunks are encoded anew each time.
 CACHE_CHARS = 64
 
 _PIECES = regex.compile(public_tokenizers.PATTERN)
-_GAPPED = re.compile(r" \s")
 _GAP = re.compile(r" (?=\S)")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -51,6 +50,10 @@ def _as_letters(text: str) -> str:
     return text.encode().decode("latin-1").translate(_byte_letters())
 
 
+class _NotInChunks(Exception):
+    """A chunk that shows that its text cannot be cut at every space. It is never cached, so every such text has one."""
+
+
 class _Chunks(dict):
     """Encoded chunks. When its share of the bytes is used up, all but the pinned chunks go."""
 
@@ -77,6 +80,7 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenize = self._tokenizer.model.tokenize
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._spaced_special = any(" " in s for s in self._special)
         self._lengths = lengths
         self._join = sum if lengths else b"".join
         self._spaced = _Chunks(self._after_space, CACHE_BYTES * 3 // 4, frequent or ())
@@ -84,6 +88,8 @@ class Encoder:
 
     def _after_space(self, chunk: str):
         """``chunk`` with the space before it."""
+        if not chunk or chunk[0].isspace():
+            raise _NotInChunks
         if _WORD(chunk):
             return self._piece(_SPACE + (chunk if chunk.isascii() else _as_letters(chunk)))
         if two := _WORD_AND_SIGNS(chunk):
@@ -91,6 +97,8 @@ class Encoder:
         return self._chunk(" " + chunk)
 
     def _chunk(self, chunk: str):
+        if _SEPARATORS.search(chunk) or any(s in chunk for s in self._special):
+            raise _NotInChunks
         if not _LATIN(chunk):
             return self._whole(chunk)
         pieces = _PIECES.findall(chunk)
@@ -110,9 +118,16 @@ class Encoder:
         """The number of ids of ``text``, or the bytes of its ids; null is an empty text."""
         if not text:
             return 0 if self._lengths else b""
+        if not self._spaced_special:
+            try:
+                return self._joined(text.split(" "))
+            except _NotInChunks:
+                pass
         if _SEPARATORS.search(text) or any(s in text for s in self._special):
             return self._whole(text)
-        chunks = _GAP.split(text) if _GAPPED.search(text) else text.split(" ")
+        return self._joined(_GAP.split(text))
+
+    def _joined(self, chunks: list[str]):
         first = self._bare[chunks[0]] if chunks[0] else (0 if self._lengths else b"")
         return first + self._join(map(self._spaced.__getitem__, chunks[1:]))
 
