@@ -21,7 +21,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Bytes that a worker's cache may take, about; bounds memory, not results.
-CACHE_BYTES = 56 << 20
+CACHE_BYTES = 48 << 20
 #: Bytes of an entry besides the chunk's and the value's own.
 ENTRY_BYTES = 150
 #: Longer chunks are encoded anew each time.
@@ -55,16 +55,20 @@ class _NotInChunks(Exception):
 
 
 class _Chunks(dict):
-    """Encoded chunks. When its share of the bytes is used up, all but the pinned chunks go."""
+    """Encoded chunks in two generations of equal bytes. What is used again moves to the young one; when that
+    is full, it becomes the old one and the old one goes. Pinned chunks stay."""
 
     def __init__(self, encode, most: int, pinned=()):
         super().__init__(pinned)
-        self.encode, self.pinned, self.most, self.held = encode, dict(pinned), most, 0
+        self.encode, self.pinned, self.most, self.held, self.old = encode, dict(pinned), most // 2, 0, {}
 
     def __missing__(self, chunk):
-        value = self.encode(chunk)
+        value = self.old.get(chunk)
+        if value is None:
+            value = self.encode(chunk)
         if len(chunk) <= CACHE_CHARS:
             if self.held > self.most:
+                self.old = dict(self)
                 self.clear()
                 self.update(self.pinned)
                 self.held = 0
