@@ -7,7 +7,7 @@ import pytest
 from queries.lens import lens
 from sluice import Inspection
 from sluice.functions.cells import cells_of, with_facts
-from sluice.operators import rows
+from sluice.operators import rows, spellings
 from sluice.operators.repairs import Repair, repair_cells
 from sluice.operators.spellings import case_map
 
@@ -58,3 +58,20 @@ def test_filter_is_pushed_down(spark):
 def test_fingerprints_are_what_is_shuffled(frames):
     exchange = next(line for line in plan(frames["copies"]).splitlines() if "Exchange hashpartitioning" in line)
     assert "f1" in exchange and "customer" not in exchange
+
+
+def test_near_unique_texts_are_not_shuffled(spark):
+    """Top values of texts that hardly repeat shuffle digests and heads, never the texts."""
+    documents = spark.read.parquet(f"{SF}/documents.parquet").select("text")
+    counts = spellings.digest_counts(documents, cells_of(documents))
+    (exchange,) = [line for line in plan(counts).splitlines() if "Exchange" in line]
+    assert "digest" in exchange and "text" not in exchange and "bare" not in exchange
+
+
+def test_flagged_rows_and_measures_are_single_actions(spark, monkeypatch):
+    """An inspection for decisions counts everything in one aggregate."""
+    with Inspection(lens(spark, SF)) as inspection:
+        inspection.measure()
+        done = dict(inspection._found)
+        assert inspection.copies[1] > 0 and inspection.counts and inspection.categories and inspection.distinct_words
+        assert inspection._found == done
