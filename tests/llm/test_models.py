@@ -82,9 +82,7 @@ def test_base_scores_are_brute_force(spark):
     for i, t, _ in rows:
         tokens = [*split(t), b""]
         want.append((i, out(i), len(tokens), sum(counts[w] > 0 for w in tokens), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens), 6)))
-    # so few tokens that some words are rare only by a high share
-    shape = suffix_model.Shape(context_share=2e-3, successor_share=0.1, word_share=2e-4)
-    found = suffix_model.score(df, shape).collect()
+    found = suffix_model.score(df).collect()
     key = lambda r: tuple(map(repr, r))
     assert sorted(((*r[:5], round(r.base_score, 6)) for r in found), key=key) == sorted(want, key=key)
     held = [r for r in suffix_model.score(df).collect() if r.held_out]
@@ -94,39 +92,21 @@ def test_base_scores_are_brute_force(spark):
 
 
 def test_next_symbol_distributions_sum_to_one(spark):
+    """Held-out texts ask for every word after a context, and for one that nobody has heard of."""
     draw = random.Random(2)
-    texts = [(" ".join(draw.choice(["a b c", "a b d", "b c", "x", "rare%d" % draw.randrange(50)]) for _ in range(40)),) for _ in range(60)]
-    training = spark.createDataFrame(texts, "text string")
-    counts = Counter(w for (t,) in texts for w in t.split()) + Counter({"": len(texts)})
-    table = spark.createDataFrame(list(counts.items()), "word string, n long")
-    shape = suffix_model.Shape(context_share=4e-3, successor_share=0.05, word_share=2e-4, divergence=5)
-    tree = suffix_model.grow(training, table, shape)
-    assert len(tree.levels) == 3 and all((level.back < 0).any() for level in tree.levels[:2])
-    words = np.arange(len(tree.words))
-    other = 1 / (tree.total + tree.distinct + 1)
-    assert math.isclose((10 ** tree.root(words)).sum() + other, 1, rel_tol=1e-9)
-    for d, level in enumerate(tree.levels, 1):
-        for state in range(len(level.keys)):
-            back, at, deep = 0.0, state, d
-            while deep:  # the one other word goes by the suffixes alone
-                back += tree.levels[deep - 1].back[at]
-                at, deep = tree.levels[deep - 1].suffix[at], deep - 1
-            total = (10 ** tree.log10(d, np.full(len(words), state), words)).sum() + 10**back * other
-            assert math.isclose(total, 1, rel_tol=1e-9)
-    # the longest suffix state scores: after "a b" comes c or d
-    name = tree.words
-    sequence = tree.sequence([b"x", b"a", b"b", b"c"])
-    state = tree.states(sequence)[1][3]
-    assert 10 ** tree.log10(2, np.array([state]), np.array([name[b"c"]]))[0] > 0.3
-    # pair counts are those of brute force
-    pairs = Counter(p for (t,) in texts for w in [["", *t.split(), ""]] for p in zip(w, w[1:]))
-    level = tree.levels[0]
-    by_number = {i: w.decode() for w, i in name.items()}
-    for pair, value in zip(level.pairs, level.values, strict=True):
-        one, two = by_number[int(level.keys[pair >> 21])], by_number[int(pair & (1 << 21) - 1)]
-        n, c, kept = counts[one], pairs[one, two], sum(v for (a, _), v in pairs.items() if a == one and v >= 0.05 * counts[one])
-        want = (c + (n - kept + 5) * (counts[two] + 1) / (tree.total + tree.distinct + 1)) / (n + 5)
-        assert math.isclose(10**value, want, rel_tol=1e-9)
+    texts = [" ".join(draw.choice(["a b c", "a b d", "b c", "x", "rare%d" % draw.randrange(50)]) for _ in range(40)) for _ in range(60)]
+    every = [*sorted({w for t in texts for w in t.split()}), "unheard", ""]
+    rows = [(t, False) for t in texts] + [(f"{before} {x}".strip(), True) for before in ("a b", "b", "x") for x in every]
+    table = spark.createDataFrame(rows, "text string, held_out boolean")
+    words, seed = suffix_model._numbered(table)
+    total, distinct = words.where("n > 0").agg(F.sum("n"), F.count(F.lit(1))).first()
+    assert distinct == len(every) - 1
+    levels, _ = suffix_model._levels(table, words, seed, total, distinct, suffix_model.Shape(divergence=5))
+    assert math.isclose(levels[0].agg(F.sum("p")).first()[0], 1, rel_tol=1e-9)  # "unheard" is the one other word
+    for level in levels[1:3]:
+        whole = level.groupBy("k", "w").agg(F.sum("p").alias("p"), F.count(F.lit(1)).alias("n"), F.max("p").alias("most")).where(F.col("n") == len(every)).collect()
+        assert whole and all(math.isclose(r.p, 1, rel_tol=1e-9) for r in whole)
+        assert max(r.most for r in whole) > 0.3  # after "a b" comes c or d
 
 
 def test_scores_use_every_context_and_successor(spark):
