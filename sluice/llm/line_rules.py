@@ -49,13 +49,15 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line that has a word breaks a rule."""
+    """Whether a line that has a word breaks a rule. What is found in few lines is looked for first, since counting
+    costs more than looking."""
     words = _count(line, WORD)
-    odd = _count(line, ODD_SIGN) * WORDS_PER_ODD_SIGN > words
-    listed = (words >= LIST_WORDS) & ~line.rlike(SENTENCE_MARK)
+    odd = line.rlike(ODD_SIGN) & (_count(line, ODD_SIGN) * WORDS_PER_ODD_SIGN > words)
+    listed = ~line.rlike(SENTENCE_MARK) & (words >= LIST_WORDS)
     # neighbouring separators share a blank, so each counts with the blank after it doubled
-    navigation = ((words <= MENU_WORDS) & (_count(F.replace(line, F.lit(" "), F.lit("  ")), SEPARATOR) >= 2)) | line.rlike(MENU)
-    boilerplate = (words <= PHRASE_WORDS) & line.rlike(PHRASE)
+    separated = line.rlike(SEPARATOR) & (_count(F.replace(line, F.lit(" "), F.lit("  ")), SEPARATOR) >= 2)
+    navigation = (separated & (words <= MENU_WORDS)) | line.rlike(MENU)
+    boilerplate = line.rlike(PHRASE) & (words <= PHRASE_WORDS)
     return odd | listed | navigation | boilerplate
 
 
