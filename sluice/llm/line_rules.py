@@ -65,7 +65,7 @@ def repeated_words(words: Column) -> Column:
     """Words that lie in a window of three that the array has twice or more."""
     windows = F.transform(
         F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
-        lambda word, i: F.struct(F.concat_ws(" ", word, F.get(words, i + 1), F.get(words, i + 2)).alias("text"), i.alias("at")),
+        lambda word, i: F.concat_ws(" ", word, F.get(words, i + 1), F.get(words, i + 2)),
     )
 
     def covered(found: Column) -> Column:
@@ -73,8 +73,17 @@ def repeated_words(words: Column) -> Column:
         again = F.filter(F.transform(found, lambda w, i: F.when(F.coalesce(same(i, i - 1), F.lit(False)) | F.coalesce(same(i, i + 1), F.lit(False)), w["at"])), lambda at: at.isNotNull())
         return F.size(F.array_distinct(F.flatten(F.transform(again, lambda at: F.array(at, at + 1, at + 2)))))
 
-    # an array of one, so that the sorted windows are made once
-    return F.element_at(F.transform(F.array(F.sort_array(windows)), covered), 1).cast("long")
+    def counted(texts: Column) -> Column:
+        in_order = F.sort_array(F.transform(texts, lambda text, i: F.struct(text.alias("text"), i.alias("at"))))
+        # most texts have no window twice, and nothing to sort
+        return F.when(F.size(F.array_distinct(texts)) == F.size(texts), 0).otherwise(_once(in_order, covered))
+
+    return _once(windows, counted).cast("long")
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` made once: the element of an array of one."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def clean_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
