@@ -72,9 +72,9 @@ def default_measure(spark, sf_dir):
     return ask(table(spark, sf_dir, "supplier").drop("s_nationkey"), "max", schema=_SUPPLIER)
 
 
-@query("A11_preview", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 200")
+@query("A11_preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 200")
 def first_rows(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS _ord", "o_orderkey", "o_totalprice")
+    df = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS _ord", "*")
     return preview(df, 10_000)
 
 

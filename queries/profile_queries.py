@@ -8,6 +8,7 @@ from queries.lens import COLUMNS, LENS, lens
 from queries.registry import query, table
 from queries.rule_queries import SENTINELS, number_sql
 from sluice.functions.cells import cells_of
+from sluice.operators import sketches
 from sluice.operators.inspection import Inspection
 from sluice.operators.profile import profile, profile_rows, table_profile
 from sluice.operators.spellings import digest_counts, top_values
@@ -266,3 +267,43 @@ def top_booleans(spark, sf_dir):
 def full_profile(spark, sf_dir):
     with Inspection(table(spark, sf_dir, "lineitem")) as inspection:
         return profile(inspection)
+
+
+_LINEITEM = {
+    "l_orderkey": True, "l_partkey": True, "l_suppkey": True, "l_linenumber": True, "l_quantity": True, "l_extendedprice": True,
+    "l_discount": True, "l_tax": True, "l_returnflag": False, "l_linestatus": False, "l_shipdate": False,
+}
+
+
+@query(
+    "P05_P09_merged_sketches",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS name, count(*) AS row_count, count(*) - count({name}) AS null_count,
+        {f'min({name})::DOUBLE' if number else 'NULL::DOUBLE'} AS low, {f'max({name})::DOUBLE' if number else 'NULL::DOUBLE'} AS high,
+        true AS distinct_within, {'true' if number else 'NULL::BOOLEAN'} AS quartiles_within FROM lineitem"""
+        for name, number in _LINEITEM.items()
+    ),
+)
+def merged_sketches(spark, sf_dir):
+    """Two extracts sketched apart and merged; distinct counts and ranks within the stated errors of the exact ones."""
+    lines = table(spark, sf_dir, "lineitem")
+    parts = [sketches.sketch(lines.filter(F.col("l_partkey") % 3 == 0)), sketches.sketch(lines.filter("l_partkey % 3 <> 0 OR l_partkey IS NULL"))]
+    found = sketches.sketched_profile(sketches.merged(parts[0].unionByName(parts[1])))
+    quartiles = {row["name"]: row.quartiles for row in found.select("name", "quartiles").collect()}
+    exact = [F.count_distinct(name).alias(f"distinct_{name}") for name in _LINEITEM]
+    for name, values in quartiles.items():
+        for share, value in zip((0.25, 0.5, 0.75), values or ()):
+            margin = F.count(name) * sketches.RANK_ERROR
+            below, upto = F.count_if(F.col(name) < value), F.count_if(F.col(name) <= value)
+            near = (below - margin <= share * F.count(name)) & (upto + margin >= share * F.count(name))
+            exact.append(near.alias(f"near_{name}_{int(share * 100)}"))
+    truth = []
+    for name, values in quartiles.items():
+        near = " AND ".join(f"near_{name}_{p}" for p in (25, 50, 75)) if values else "CAST(NULL AS BOOLEAN)"
+        truth.append(f"struct('{name}' AS name, distinct_{name} AS distinct, {near} AS quartiles_within)")
+    checked = lines.agg(*exact).selectExpr(f"inline(array({', '.join(truth)}))")
+    off = F.abs(F.col("unique_count") - F.col("distinct"))
+    return found.join(checked, "name").select(
+        "name", F.col("rows").alias("row_count"), "null_count", F.col("min").alias("low"), F.col("max").alias("high"),
+        (off <= F.col("distinct") * sketches.DISTINCT_ERROR).alias("distinct_within"), "quartiles_within",
+    )

@@ -125,6 +125,8 @@ def ask(
         order = [F.col(quoted(_known(measure, df))).desc_nulls_last(), *map(quoted, tie_break), *position]
         return df.orderBy(*order).transform(_first, limit, TOP_LIMIT).select(*columns)
     if agg == "show":
+        if position and not tie_break and limit != "all":
+            df = _front(df, limit or SHOW_LIMIT)
         ordered = df.orderBy(*map(quoted, tie_break), *position) if tie_break or position else df
         return ordered.transform(_first, limit, SHOW_LIMIT).select(*columns)
     raise GateError(f"unknown question {agg!r}")
@@ -134,6 +136,18 @@ def _first(df: DataFrame, limit: int | str | None, default: int) -> DataFrame:
     return df if limit == "all" else df.limit(limit or default)
 
 
+def _front(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` up to a position before which it has so many rows, so that a scan of a table in order of position
+    skips the files and row groups after it. Each try reaches further by a fixed factor."""
+    reach, last = 16 * rows, None
+    while df.filter(F.col(ORD) < reach).limit(rows).count() < rows:
+        last = df.agg(F.max(ORD)).first()[0] if last is None else last
+        if last is None or reach > last:
+            return df
+        reach *= 256
+    return df.filter(F.col(ORD) < reach)
+
+
 def _grouped(df: DataFrame, group: str | None, metric: Column, name: str, limit: int | str | None) -> DataFrame:
     if group is None:
         return df.agg(metric.alias(name))

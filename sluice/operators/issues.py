@@ -198,9 +198,10 @@ def flagged_rows(inspection: Inspection, issues: Sequence[Issue]) -> DataFrame:
 def _conflicting(inspection: Inspection, key: Cell, label: int) -> DataFrame:
     repeated = rows.repeated_keys(inspection.groups, key)
     bad = rows.conflict_tokens(repeated).filter("variants > 1").select(F.col("token").alias("bad"))
-    bad_keys = repeated.join(bad, F.col("token").eqNullSafe(F.col("bad")), "left_semi").select("key")
+    bad_keys = repeated.join(bad, F.col("token").eqNullSafe(F.col("bad")), "left_semi")
+    entries = inspection.keep(bad_keys.select(*rows.digest_of(F.col("key")), F.col("rows").alias("n")))
     values = inspection.df.select(ORD, rows.comparable(key).alias("value"))
-    hits = values.join(bad_keys, F.col("value").eqNullSafe(F.col("key")), "left_semi")
+    hits = rows.listed(values, F.col("value"), entries, inspection.rows)
     return hits.select(F.lit(label).alias("label"), ORD, F.col("value").cast("string").alias("value"))
 
 
@@ -208,14 +209,15 @@ def _misspelled(inspection: Inspection, cell: Cell, label: int) -> DataFrame:
     losers = (
         spellings.with_winner(inspection.category_spellings.filter(F.col("column") == cell.index))
         .filter("spelling <> winner")
-        .select("spelling", F.lit(True).alias("loses"))
+        .select(*rows.digest_of(F.col("spelling")), "n")
     )
     alias = "false"
     if is_country_name(cell.name) or inspection.rules.alias_rows_everywhere:
         canonical = country_of(cell.ref("bare"), inspection.rules)
         alias = f"{cell.present_sql} AND coalesce({canonical} != {cell.ref('bare')}, false)"
     values = inspection.facts([cell]).select(ORD, cell.text.alias("value"), cell.bare.alias("bare"), F.expr(alias).alias("alias"))
-    hits = values.join(losers, values["bare"] == losers["spelling"], "left").filter("alias OR loses")
+    spelled = rows.listed(values.filter("NOT alias"), F.col("bare"), inspection.keep(losers), inspection.rows)
+    hits = values.filter("alias").unionByName(spelled)
     return hits.select(F.lit(label).alias("label"), ORD, F.left("value", F.lit(80)).alias("value"))
 
 

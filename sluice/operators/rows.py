@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.cells import ORD, Cell, cells_of, data_columns, one_of, quoted, strip
+from sluice.operators.sieve import sieve, sifted
 from sluice.rules import DEFAULT_RULES, Rules
 from sluice.workspace import written
 
@@ -98,62 +99,79 @@ def key_conflicts(df: DataFrame, key: str, rules: Rules = DEFAULT_RULES) -> Data
     return tokens.filter((F.col("variants") > 1) & triggered).select("token", "rows", "variants")
 
 
-def _first_of_group(df: DataFrame, group: Sequence[Column]) -> DataFrame:
-    """First row (by position, if there is one) of each group, as one aggregate."""
-    whole = F.struct(*[F.col(quoted(name)) for name in df.columns])
-    first = F.min_by(whole, F.col(ORD)) if ORD in df.columns else F.first(whole)
-    return df.groupBy(*group).agg(first.alias("row")).select("row.*")
+def without_positions(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """``df`` without the rows at the written positions ``gone(_ord)``.
+
+    Each position is a bit of a bitmap of bounded size. Rows whose bit is not set stay where they are;
+    only the others, which nearly all go, are compared with the list itself.
+    """
+    caught, kept = sifted(df, F.col(ORD), sieve(gone, F.col(ORD)))
+    return kept.unionByName(caught.join(gone, ORD, "left_anti").select(*map(quoted, df.columns)))
+
+
+def later_rows(marked: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Positions of all but the first row of each group of ``marked(_ord, names...)``, written.
+
+    Groups are combined before the shuffle. Only rows that may be in a group of several, as a bitmap
+    tells, are compared with the first positions; a hot group is a skewed partition of few narrow rows,
+    which Spark splits.
+    """
+    groups = marked.groupBy(*names).agg(F.min(ORD).alias("__first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    firsts = written(groups.drop("n"), "firsts")
+    suspects, _ = sifted(marked, F.xxhash64(*names), sieve(firsts, F.xxhash64(*names)))
+    others = firsts.select("__first", *[F.col(name).alias(f"{name}_first") for name in names])
+    same = [F.col(name).eqNullSafe(F.col(f"{name}_first")) for name in names]
+    return written(suspects.join(others, same).filter(F.col(ORD) > F.col("__first")).select(ORD), "later")
 
 
 def drop_copies(df: DataFrame, rules: Rules = DEFAULT_RULES, rows: int | None = None) -> DataFrame:
     """Distinct rows, each at its first position.
 
-    Only an 8-byte hash of every row is shuffled. Rows whose hash does not repeat are
-    unique and stay where they are; the others, picked out by a lookup of checked
-    size, are grouped by all their columns, so a chance match costs nothing but work.
-    A table known to be small, or with very many copies, is simply grouped.
+    Fingerprints and positions are shuffled, 24 bytes a row, and what goes is deleted by position. A table
+    without positions, or one known to be small, is simply grouped.
     """
-    names = data_columns(df)
-    if rows is not None and rows <= rules.broadcast_rows:
-        return _distinct(df, names)
-    marked = df.withColumn("__f1", fingerprint(cells_of(df, rules=rules))[0])
-    counts = marked.groupBy("__f1").agg(F.count(F.lit(1)).alias("n"))
-    repeated = written(counts.filter("n > 1").select("__f1"), "copies")
-    size = repeated.count()
-    if size == 0:
-        return df
-    if size > rules.broadcast_rows:
-        return _distinct(df, names)
-    lookup = F.broadcast(repeated)
-    alone = marked.join(lookup, "__f1", "left_anti").select(*map(quoted, df.columns))
-    copies = marked.join(lookup, "__f1", "left_semi").select(*map(quoted, df.columns))
-    return alone.unionByName(_distinct(copies, names))
-
-
-def _distinct(df: DataFrame, names: Sequence[str]) -> DataFrame:
     if ORD not in df.columns:
         return df.dropDuplicates()
-    return df.groupBy(*map(quoted, names)).agg(F.min(ORD).alias(ORD)).select(*map(quoted, df.columns))
+    if rows is not None and rows <= rules.broadcast_rows:
+        names = data_columns(df)
+        return df.groupBy(*map(quoted, names)).agg(F.min(ORD).alias(ORD)).select(*map(quoted, df.columns))
+    f1, f2 = fingerprint(cells_of(df, rules=rules))
+    gone = later_rows(df.select(ORD, f1.alias("f1"), f2.alias("f2")), ["f1", "f2"])
+    return without_positions(df, gone)
 
 
 def keep_first(df: DataFrame, key: str, rules: Rules = DEFAULT_RULES, rows: int | None = None) -> DataFrame:
     """First row of every key; rows without a key all stay unless told otherwise.
 
-    Keys found once (nearly all) are not shuffled with their rows: only the keys
-    are counted, and the repeated ones are looked up and aggregated.
+    Only keys and positions are shuffled, and what goes is deleted by position. Without positions any row
+    of a key is its first.
     """
     column = F.col(quoted(key))
-    counts = df.groupBy(column.alias("__key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if not rules.collapse_null_keys:
-        counts = counts.filter(F.col("__key").isNotNull())
-    repeated = written(counts.select("__key", F.lit(True).alias("__again")), "keys")
-    if repeated.isEmpty():
-        return df
-    small = F.broadcast(repeated) if may_broadcast(repeated.select("__key"), rules) else repeated
-    same = column.eqNullSafe(F.col("__key"))
-    alone = df.join(small, same, "left_anti")
-    again = df.join(small, same, "left_semi")
-    return alone.unionByName(_first_of_group(again, [column.alias("__group")]))
+    keyed = F.lit(True) if rules.collapse_null_keys else column.isNotNull()
+    if ORD not in df.columns:
+        return df.filter(keyed).dropDuplicates([key]).unionByName(df.filter(~keyed))
+    gone = later_rows(df.filter(keyed).select(ORD, column.alias("__key")), ["__key"])
+    return without_positions(df, gone)
+
+
+def digest_of(value: Column) -> list[Column]:
+    """A value, null included, as two 64-bit numbers ``h1 h2``, however long it is."""
+    flag = value.isNull()
+    return [F.xxhash64(value, flag).alias("h1"), F.xxhash64(F.lit("second"), flag, value).alias("h2")]
+
+
+def listed(df: DataFrame, value: Column, entries: DataFrame, rows: int) -> DataFrame:
+    """Rows of ``df`` whose value is among ``entries(h1, h2, n)``, which is written or kept; n rows have it.
+
+    A bitmap first lets those through that may be. An entry that a thousandth of all rows have is one of a
+    thousand at most, so these are broadcast, and a hot value is never shuffled; the others are joined.
+    """
+    names = df.columns
+    suspects, _ = sifted(df.select("*", *digest_of(value)), F.col("h1"), sieve(entries, F.col("h1")))
+    common = entries.filter(F.col("n") * 1000 > rows).select("h1", "h2", F.lit(True).alias("common"))
+    marked = suspects.join(F.broadcast(common), ["h1", "h2"], "left")
+    rare = marked.filter(F.col("common").isNull()).join(entries, ["h1", "h2"], "left_semi")
+    return marked.filter("common").select(*names).unionByName(rare.select(*names))
 
 
 _POSITION_BLOCKS = 1024

@@ -18,6 +18,7 @@ from sluice.operators.inspection import Inspection
 from sluice.operators.issues import Issue, detect, issue_rows
 from sluice.operators.profile import profile_rows
 from sluice.operators.repairs import Repair, apply, numbered, plan_auto, plan_review, repair_rows
+from sluice.operators.sketches import merged, sketch, sketched_profile
 from sluice.operators.validation import Validation, score_of, validate
 from sluice.plans.store import Store, files_mark, new_id, now
 from sluice.rules import DEFAULT_RULES, Rules
@@ -167,6 +168,8 @@ class Gate:
             outcome.review_id, dataset = event["id"], None
         if mark and files_mark(self.spark, source.location) != mark:
             raise GateError(f"the files of {source.location} changed during the run")
+        if self.rules.approximate:
+            self.store.write_sketches(sketch(df, self.rules), run_id)
         columns = schema_report(extract, found.rows_before if detail else None, examples=detail)
         self._record(df, source, found, outcome, dataset=dataset, event=None if dataset else event, columns=columns)
         if changed and not found.validation.passed and not published:
@@ -286,6 +289,10 @@ class Gate:
         table, schema = self.store.dataset(dataset_id), self.store.dataset_schema(dataset_id)
         return questions.ask(table, schema=schema, **question)
 
+    def sketched_profile(self, *run_ids: str) -> DataFrame:
+        """One approximate profile of the extracts of several runs under approximate rules, without reading them."""
+        return sketched_profile(merged(self.store.sketches(*run_ids)))
+
     def preview(self, dataset_id: str, limit: int = 20) -> DataFrame:
         return questions.preview(self.store.dataset(dataset_id), limit)
 

@@ -21,6 +21,7 @@ from sluice.operators.causes import CAUSE_SCHEMA
 from sluice.operators.issues import ISSUE_SCHEMA
 from sluice.operators.profile import PROFILE_SCHEMA
 from sluice.operators.repairs import REPAIR_SCHEMA
+from sluice.operators.sketches import SCHEMA as SKETCH_SCHEMA
 from sluice.sources.shape import SCHEMA_REPORT
 
 _CHECK = "array<struct<name: string, passed: boolean, detail: string>>"
@@ -151,6 +152,15 @@ class Store:
             raise GateError(f"no dataset {dataset_id!r}")
         return row
 
+    # -- sketches -------------------------------------------------------------------------
+    def write_sketches(self, sketches: DataFrame, run_id: str) -> None:
+        """The column sketches of a run's extract, a few kilobytes a column."""
+        sketches.write.mode("overwrite").parquet(f"{self.root}/sketches/{run_id}")
+
+    def sketches(self, *run_ids: str) -> DataFrame:
+        """The sketches of the extracts of several runs, below each other."""
+        return self.spark.read.schema(SKETCH_SCHEMA).parquet(*[f"{self.root}/sketches/{run_id}" for run_id in run_ids])
+
     # -- reviews --------------------------------------------------------------------------
     def hold(self, df: DataFrame, run_id: str) -> dict:
         """The extract as it came, for a person to decide on; the event that says so."""
