@@ -22,8 +22,8 @@ from tokenizers import Tokenizer
 
 #: Bytes that a worker's cache may take, about; bounds memory, not results.
 CACHE_BYTES = 48 << 20
-#: Bytes of an entry besides the chunk's and the value's own.
-ENTRY_BYTES = 150
+#: Bytes of an entry, about: chunks and values are short, and those of CACHE_CHARS are rare.
+ENTRY_BYTES = 200
 #: Longer chunks are encoded anew each time.
 CACHE_CHARS = 64
 
@@ -55,25 +55,25 @@ class _NotInChunks(Exception):
 
 
 class _Chunks(dict):
-    """Encoded chunks in two generations of equal bytes. What is used again moves to the young one; when that
+    """Encoded chunks in two generations of equal numbers. What is used again moves to the young one; when that
     is full, it becomes the old one and the old one goes. Pinned chunks stay."""
 
     def __init__(self, encode, most: int, pinned=()):
         super().__init__(pinned)
-        self.encode, self.pinned, self.most, self.held, self.old = encode, dict(pinned), most // 2, 0, {}
+        self.encode, self.pinned, self.old = encode, dict(pinned), {}
+        self.most = len(self.pinned) + most // 2 // ENTRY_BYTES
 
     def __missing__(self, chunk):
         value = self.old.get(chunk)
         if value is None:
             value = self.encode(chunk)
-        if len(chunk) <= CACHE_CHARS:
-            if self.held > self.most:
-                self.old = dict(self)
-                self.clear()
-                self.update(self.pinned)
-                self.held = 0
-            self.held += ENTRY_BYTES + len(chunk) + (len(value) if isinstance(value, bytes) else 0)
-            self[chunk] = value
+            if len(chunk) > CACHE_CHARS:
+                return value
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+            self.update(self.pinned)
+        self[chunk] = value
         return value
 
 
@@ -92,10 +92,12 @@ class Encoder:
 
     def _after_space(self, chunk: str):
         """``chunk`` with the space before it."""
+        if chunk.isascii() and chunk.isalpha():
+            return self._piece(_SPACE + chunk)
         if not chunk or chunk[0].isspace():
             raise _NotInChunks
         if _WORD(chunk):
-            return self._piece(_SPACE + (chunk if chunk.isascii() else _as_letters(chunk)))
+            return self._piece(_SPACE + _as_letters(chunk))
         if two := _WORD_AND_SIGNS(chunk):
             return self._spaced[two[1]] + self._bare[two[2]]
         return self._chunk(" " + chunk)
