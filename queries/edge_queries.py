@@ -18,6 +18,7 @@ from sluice.streaming.gated import gate_stream
 from sluice.streaming.keys import count_keys, repeated_keys
 
 _WIDE = "12345678901234567"  # more digits than a double has
+_FILE_ROWS = 1_000_000  # rows of one written file, which a task may have to read whole
 
 
 @query(
@@ -208,8 +209,8 @@ def refused_headers(spark, sf_dir):
     even, odd = orders.filter("o_orderkey % 2 = 0"), orders.filter("o_orderkey % 2 = 1")
     for headers, rest in (("equal", odd), ("in another order", odd.select(*reversed(odd.columns)))):
         path = _scratch(spark, "csv")
-        even.coalesce(1).write.csv(f"{path}/a", header=True)
-        rest.coalesce(1).write.csv(f"{path}/b", header=True)
+        for name, part in (("a", even), ("b", rest)):  # one task reads a file, however large
+            part.write.option("maxRecordsPerFile", _FILE_ROWS).csv(f"{path}/{name}", header=True)
         try:
             found.append((headers, read_csv(spark, f"{path}/*").count()))
         except GateError:
@@ -274,11 +275,12 @@ def stored_columns(spark, sf_dir):
     "SELECT l_returnflag, count(*) AS rows, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1",
 )
 def stream_publishes(spark, sf_dir):
-    """A folder of files as a stream: every micro-batch is an extract, and what is published adds up to the table."""
+    """A folder of files as a stream: each of two micro-batches is an extract, and what is published adds up to the table."""
     gate, path = _gate(spark), _scratch(spark, "stream")
     lines = table(spark, sf_dir, "lineitem")
-    lines.repartitionByRange(2, "l_orderkey").write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    files = 2 * (lines.count() // (2 * _FILE_ROWS) + 1)
+    lines.repartitionByRange(files, "l_orderkey").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", files // 2).parquet(f"{path}/in")
     for _ in range(2):  # the second time there is nothing new
         gate_stream(stream, gate, "lines", f"{path}/checkpoint", detail=False, availableNow=True).awaitTermination()
     whole = None
