@@ -290,7 +290,7 @@ def merged_sketches(spark, sf_dir):
     parts = [sketches.sketch(lines.filter(F.col("l_partkey") % 3 == 0)), sketches.sketch(lines.filter("l_partkey % 3 <> 0 OR l_partkey IS NULL"))]
     found = sketches.sketched_profile(sketches.merged(parts[0].unionByName(parts[1])))
     quartiles = {row["name"]: row.quartiles for row in found.select("name", "quartiles").collect()}
-    exact = [F.count_distinct(name).alias(f"distinct_{name}") for name in _LINEITEM]
+    exact, counts = [], None
     for name, values in quartiles.items():
         for share, value in zip((0.25, 0.5, 0.75), values or ()):
             margin = F.count(name) * sketches.RANK_ERROR
@@ -298,10 +298,13 @@ def merged_sketches(spark, sf_dir):
             near = (below - margin <= share * F.count(name)) & (upto + margin >= share * F.count(name))
             exact.append(near.alias(f"near_{name}_{int(share * 100)}"))
     truth = []
+    for name in _LINEITEM:  # one column at a time, so that a row is not shuffled once for each
+        count = lines.select(name).distinct().agg(F.lit(name).alias("name"), F.count(name).alias("distinct"))
+        counts = count if counts is None else counts.unionByName(count)
     for name, values in quartiles.items():
         near = " AND ".join(f"near_{name}_{p}" for p in (25, 50, 75)) if values else "CAST(NULL AS BOOLEAN)"
-        truth.append(f"struct('{name}' AS name, distinct_{name} AS distinct, {near} AS quartiles_within)")
-    checked = lines.agg(*exact).selectExpr(f"inline(array({', '.join(truth)}))")
+        truth.append(f"struct('{name}' AS name, {near} AS quartiles_within)")
+    checked = lines.agg(*exact).selectExpr(f"inline(array({', '.join(truth)}))").join(counts, "name")
     off = F.abs(F.col("unique_count") - F.col("distinct"))
     return found.join(checked, "name").select(
         "name", F.col("rows").alias("row_count"), "null_count", F.col("min").alias("low"), F.col("max").alias("high"),
