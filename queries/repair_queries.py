@@ -215,7 +215,7 @@ def affected(spark, sf_dir):
 )
 def review_plan(spark, sf_dir):
     df = lens(spark, sf_dir)
-    with Inspection(apply(df, _plan(spark, df), count=False)[0]) as after:
+    with Inspection(apply(df, _plan(spark, df), count=False, write=True)[0]) as after:
         plan = plan_review(after, detect(after, evidence=False))
     rows = [(r.strategy, r.column, r.disposition) for r in plan]
     return spark.createDataFrame(rows, "strategy string, column string, disposition string")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from contextlib import ExitStack
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -26,7 +27,7 @@ from sluice.functions.sqltext import double, quoted
 from sluice.operators import rows, spellings
 from sluice.operators.quantiles import Numbers, approximate_quantiles, exact_quantiles
 from sluice.rules import DEFAULT_RULES, Rules
-from sluice.workspace import written
+from sluice.workspace import scanned, short_methods, written
 
 
 @dataclass
@@ -94,16 +95,20 @@ class Inspection:
         self.cells = cells_of(df, rules=rules)
         self.ordered = ORD in df.columns
         self._kept: list[DataFrame] = []
+        self._compiled = ExitStack()
         self._done: set[str] = set()
         self._found: dict[str, dict[int, dict]] = {}
         self.df = self._spread(df, spread)
 
     def _spread(self, df: DataFrame, spread: bool) -> DataFrame:
-        """A small table, often one split, is spread over the cores and cached; others are scanned."""
+        """A small table, often one split, is spread over the cores and cached; others are scanned, and written
+        first if more than a scan makes them."""
         size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
         self._small = int(str(size)) <= self.rules.small_table_bytes
-        if not self.cells or not self._small:
+        if not self.cells:
             return df
+        if not self._small:
+            return df if scanned(df) else written(df, "inspected")
         if not spread:
             return self.keep(df)
         cores = df.sparkSession.sparkContext.defaultParallelism
@@ -125,11 +130,13 @@ class Inspection:
         return self._kept[-1]
 
     def close(self) -> None:
+        self._compiled.close()
         for df in self._kept:
             df.unpersist()
         self._kept.clear()
 
     def __enter__(self) -> Inspection:
+        self._compiled.enter_context(short_methods(self.df.sparkSession))
         return self
 
     def __exit__(self, *_) -> None:

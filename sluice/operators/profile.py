@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from sluice.functions.cells import ORD, Cell, long_cell, long_texts, with_facts
 from sluice.operators import rows, spellings
 from sluice.operators.inspection import Inspection
 
+NEAR = 10_000  # positions among which examples are looked for before the whole table is
 PROFILE_SCHEMA = """
     name string, inferred_type string, role string,
     null_count bigint, null_pct double, sentinel_count bigint, sentinel_pct double, unique_count bigint,
@@ -60,13 +63,21 @@ def examples(inspection: Inspection, limit: int = 3) -> dict[str, list[str]]:
     """First present values of each column by row position, 80 characters each."""
     if not inspection.ordered:
         return {}
-    cell = long_cell(inspection.cells)
-    long = with_facts(long_texts(inspection.df, inspection.cells, [F.col(ORD)]), [cell]).filter(cell.present)
+    near = _first_present(inspection.df.filter(F.col(ORD) < NEAR), inspection.cells, limit, NEAR)
+    few = [cell for cell in inspection.cells if len(near.get(cell.index, [])) < limit]
+    if few and inspection.extent > NEAR:
+        near |= _first_present(inspection.df, few, limit, inspection.extent)
+    return {cell.name: near.get(cell.index, []) for cell in inspection.cells}
+
+
+def _first_present(df: DataFrame, cells: Sequence[Cell], limit: int, extent: int) -> dict[int, list[str]]:
+    """The first present values of some columns, by the cell's index; ``extent``: how far positions reach."""
+    cell = long_cell(cells)
+    long = with_facts(long_texts(df, cells, [F.col(ORD)]), [cell]).filter(cell.present)
     marked = long.select(F.col("column").alias("label"), ORD, F.left(cell.text, F.lit(80)).alias("value"))
-    first = rows.first_rows(marked, limit, inspection.extent).collect()
-    found: dict[str, list[str]] = {cell.name: [] for cell in inspection.cells}
-    for row in sorted(first, key=lambda r: (r.label, r.place)):
-        found[inspection.cells[row.label].name].append(row.value)
+    found: dict[int, list[str]] = {}
+    for row in sorted(rows.first_rows(marked, limit, extent).collect(), key=lambda r: (r.label, r.place)):
+        found.setdefault(row.label, []).append(row.value)
     return found
 
 

@@ -35,7 +35,7 @@ from sluice.operators.quantiles import Numbers, exact_quantiles
 from sluice.operators.rows import drop_copies, keep_first, may_broadcast
 from sluice.operators.spellings import whole_spellings, with_winner
 from sluice.rules import DEFAULT_RULES, Rules
-from sluice.workspace import written
+from sluice.workspace import short_methods, written
 
 REPAIR_SCHEMA = """
     id string, issue_id string, column string, strategy string, description string, disposition string,
@@ -389,11 +389,19 @@ def apply(
 ) -> tuple[DataFrame, list[Repair]]:
     """The repaired table and the plan with ``applied`` and ``rows_affected`` filled in.
 
-    Cell changes are flagged beside the rows and summed in one aggregate that reads
-    only the repaired columns; dropped rows are counted while the others are written. ``rows``
+    Cell changes are flagged beside the rows and summed while these are written, or else in one aggregate that
+    reads only the repaired columns; dropped rows are counted while the others are written. ``rows``
     is the size of ``df`` where it is known; ``write`` asks for a written result, at ``target``
     if a path is named. ``inspected`` is an open inspection of ``df``, which saves asking again.
     """
+    with short_methods(df.sparkSession):
+        return _apply(df, repairs, include_review, rules, rows, count, write, inspected, target)
+
+
+def _apply(
+    df: DataFrame, repairs: Sequence[Repair], include_review: bool, rules: Rules, rows: int | None, count: bool,
+    write: bool, inspected: Inspection | None, target: str | None,
+) -> tuple[DataFrame, list[Repair]]:
     rows = df.count() if rows is None else rows
     affected: dict[tuple[str, str | None], int] = {}
     running, pending, on_disk = df, [], False
@@ -405,10 +413,10 @@ def apply(
             pending.append(repair)
             continue
         if pending:
-            running = _rewrite(running, pending, rules, affected if count else None, inspected)
-            if include_review:
-                running = written(running, "cells")  # several row repairs will read these cells
-            pending, on_disk = [], include_review
+            # several row repairs, or a large one several times, will read these cells
+            on_disk = include_review or rows > rules.broadcast_rows
+            running = _rewrite(running, pending, rules, affected if count else None, inspected, "cells" if on_disk else None)
+            pending = []
         smaller = ROW_REPAIRS[repair.strategy](running, repair, rules, rows)
         if smaller is not running:
             running, on_disk = smaller, False
@@ -421,7 +429,8 @@ def apply(
                 rows = left
                 inspected = None
     if pending:
-        running, on_disk = _rewrite(running, pending, rules, affected if count else None, inspected), False
+        running = _rewrite(running, pending, rules, affected if count else None, inspected, "repaired" if write else None, target)
+        on_disk = write
     if write and not on_disk:
         running = written(running, "repaired", target)
     done = [
@@ -433,9 +442,9 @@ def apply(
 
 def _rewrite(
     df: DataFrame, repairs: Sequence[Repair], rules: Rules, affected: dict[tuple[str, str | None], int] | None,
-    inspected: Inspection | None = None,
+    inspected: Inspection | None = None, label: str | None = None, target: str | None = None,
 ) -> DataFrame:
-    """All cell repairs of one stretch, and how many cells each changed."""
+    """All cell repairs of one stretch, and how many cells each changed; written if there is a ``label``."""
     running, flags = df, {}
     answers = known_answers(inspected) if inspected else None
     renamed = [r.column for r in repairs if r.strategy == "normalize_country"]
@@ -450,8 +459,16 @@ def _rewrite(
             running = canonicalize_case(running, cased, rules, more, _counted_spellings(inspected, cased, renamed) if inspected else None)
             names, plain = names + more, plain + cased
         flags |= {name: (r.strategy, r.column) for name, r in zip(names, plain) if name in running.columns}
-    if flags and affected is not None:
-        totals = running.selectExpr(*[f"count_if(coalesce({name}, false)) AS {name}" for name in flags]).first()
+    changes = [F.expr(f"count_if(coalesce({name}, false))").alias(name) for name in flags] if affected is not None else []
+    totals: dict[str, int] = {}
+    if label:
+        seen = Observation()  # counted in the tasks that write
+        counted = running.observe(seen, *changes) if changes else running
+        running = written(counted.select(*map(quoted, df.columns)), label, target)
+        totals = seen.get if changes else totals
+    elif changes:
+        totals = running.agg(*changes).first().asDict()
+    if changes:
         affected |= {key: totals[name] for name, key in flags.items()}
     return running.select(*map(quoted, df.columns))
 
