@@ -25,6 +25,7 @@ SHAPE = (
     r"|\d{1,2}[ -][A-Za-z]{3,9}\.?,?[ -]\d{4})"  # 3 Nov 2024
     r"(?:" + CLOCK.removesuffix(r"\z") + r")?\z"
 )
+ISO = r"\A\d{4}-\d\d-\d\d\z"
 YEAR_FIRST = r"\A(\d{4})([-/.])(\d{1,2})\2(\d{1,2})\z"
 YEAR_LAST = r"\A(\d{1,2})([-/.])(\d{1,2})\2(\d{4})\z"
 YEAR_LAST_SHORT_20 = r"\A(\d{1,2})([-/.])(\d{1,2})\2([0-5]\d|6[0-8])\z"
@@ -51,7 +52,8 @@ def dated(x: str) -> str:
     """Stripped text of an accepted shape without its clock; NULL for anything else."""
     ends_well = f"right({x}, 1) IN ({texts('0123456789ZCMm')})"
     fits = f"octet_length({x}) BETWEEN 4 AND {LONGEST} AND {ends_well} AND {x} RLIKE {pattern(SHAPE)}"
-    return f"CASE WHEN {fits} THEN regexp_replace({x}, {pattern(CLOCK)}, '') END"
+    clockless = f"CASE WHEN contains({x}, ':') THEN regexp_replace({x}, {pattern(CLOCK)}, '') ELSE {x} END"
+    return f"CASE WHEN {x} RLIKE {pattern(ISO)} THEN {x} WHEN {fits} THEN {clockless} END"
 
 
 def day_of(shaped: str) -> str:
@@ -80,7 +82,11 @@ def day_of(shaped: str) -> str:
     month = _month_number(f"regexp_extract({shaped}, {pattern('([A-Za-z]+)')}, 1)")
     named = f"replace({rewrite(shaped, (NAME_FIRST, '$2-#-$1'), (DAY_FIRST_THEN_NAME, '$2-#-$1'))}, '#', {month})"
     month_first = f"CASE WHEN {shaped} RLIKE '[A-Za-z]' THEN {named} ELSE {numeric} END"
-    return f"coalesce(try_cast({month_first} AS DATE), try_cast({day_first} AS DATE))"
+    # text of the commonest shape reads as it is, whatever the rewritings would try
+    return (
+        f"CASE WHEN {shaped} LIKE '____-__-__' THEN try_cast({shaped} AS DATE)"
+        f" ELSE coalesce(try_cast({month_first} AS DATE), try_cast({day_first} AS DATE)) END"
+    )
 
 
 def plausible(day: str) -> str:

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from sluice.functions.cells import ORD, Cell, cells_of, long_cell, long_texts, parse_bool, with_facts
@@ -75,15 +75,30 @@ _TOGETHER = {
     "n": F.sum, "blank": F.sum, "sentinel": F.sum, "decorated": F.sum, "padded": F.sum, "not_iso": F.sum,
     "truths": F.sum, "emails": F.sum, "days": F.sum, "numbers": F.sum, "negative": F.sum, "fractional": F.sum,
     "inexact": F.sum, "low": F.min, "high": F.max, "total": F.sum, "longest": F.max, "deviation": F.stddev_samp,
-    "tokens": F.sum, "rewrite": F.sum, "variants": F.sum, "aliases": F.sum, "countries": F.collect_list,
+    "tokens": F.sum, "rewrite": F.sum, "variants": F.sum, "aliases": F.sum, "forms": F.sum,
     "extra": F.sum, "present": F.max,
 }
+_OF_TWO = {F.sum: lambda a, b: a + b, F.min: min, F.max: max}
 _COUNTED = (
     "blank", "sentinel", "decorated", "padded", "not_iso", "truths", "emails", "days", "numbers", "negative",
     "fractional", "inexact", "longest", "low", "high",
 )
 
 
+def _add(found: dict[int, dict], row: Row) -> None:
+    """Put a counted row to what is there of its column; ``countries`` lists the countries and their spellings."""
+    values = row.asDict()
+    canonical, forms = values.pop("canonical", None), values.pop("forms", None)
+    values["countries"] = [] if canonical is None else [(canonical, forms)]
+    if before := found.get(row["column"]):
+        values["countries"] += before["countries"]
+        for what, together in _TOGETHER.items():
+            a, b = before.get(what), values.get(what)
+            if what in values and a is not None:
+                values[what] = a if b is None else _OF_TWO[together](a, b)
+    found[row["column"]] = values
+
+
 class Inspection:
     """Measurements, inferred types and roles of one DataFrame."""
 
@@ -155,8 +170,9 @@ class Inspection:
                 frame = frame.withColumn("part", F.lit(name))
                 whole = frame if whole is None else whole.unionByName(frame, allowMissingColumns=True)
             made = [together(what).alias(what) for what, together in _TOGETHER.items() if what in whole.columns]
-            for row in whole.groupBy("part", "column").agg(*made).collect():
-                self._found[row["part"]][row["column"]] = row.asDict()
+            by = ["part", "column"] + [what for what in ("canonical",) if what in whole.columns]
+            for row in whole.groupBy(*by).agg(*made).collect():  # a row more for each country that a column names
+                _add(self._found[row["part"]], row)
         self._done |= ({"cells"} if cells else set()) | ({"rows"} if rows_too else set())
 
     def _cell_parts(self) -> list[tuple[str, DataFrame]]:
@@ -176,7 +192,7 @@ class Inspection:
         return long.selectExpr("column", "1L AS n", "blank", *counted, "x AS low", "x AS high", "x AS total", "x AS deviation")
 
     def _row_parts(self) -> list[tuple[str, DataFrame]]:
-        copies = self.groups.selectExpr("-1 AS column", "if(n > 1, n, 0L) AS n", "n - 1 AS extra")
+        copies = self.groups.filter("n > 1").selectExpr("-1 AS column", "n", "n - 1 AS extra")
         found = [("copies", copies)] if self.cells else []
         for key in self.keys:
             tokens = rows.conflict_tokens(rows.repeated_keys(self.groups, key))
@@ -188,7 +204,7 @@ class Inspection:
     def _measured(self) -> DataFrame:
         """Every spelling of the columns that are counted as text; short values are grouped before rules run."""
         short = spellings.text_values(self.df, self.worded).filter("NOT long").select("column", "text", "n")
-        long = long_texts(self.df, self.worded).filter(F.octet_length("text") > spellings.LONG)
+        long = spellings.only_long(self.df, self.worded)
         texts = short.unionByName(long.withColumn("n", F.lit(1).cast("bigint")))
         return self.keep(spellings.measured_spellings(texts, self.worded))
 
@@ -367,14 +383,22 @@ class Inspection:
     @cached_property
     def quartiles(self) -> dict[str, list[float]]:
         """First quartile, median and third quartile of each numeric column."""
-        numbers = {}
+        numbers, exact = {}, not self.rules.approximate
         for cell in self.numeric:
             counts = self.counts[cell.name]
-            numbers[cell.name] = Numbers(cell.number, counts.numbers, counts.low, counts.high)
-        shares, facts = (0.25, 0.5, 0.75), self.facts(self.numeric)
-        if self.rules.approximate:
-            return approximate_quantiles(facts, numbers, shares)
-        return exact_quantiles(facts, numbers, shares, self.rules.quantile_rows_per_task)
+            value = cell.index if cell.is_text and exact else cell.number
+            numbers[cell.name] = Numbers(value, counts.numbers, counts.low, counts.high)
+        shares = (0.25, 0.5, 0.75)
+        if not exact:
+            return approximate_quantiles(self.facts(self.numeric), numbers, shares)
+        facts = self.facts([cell for cell in self.numeric if not cell.is_text])
+        return exact_quantiles(facts, numbers, shares, self.rules.quantile_rows_per_task, self._read_numbers)
+
+    @property
+    def _read_numbers(self) -> DataFrame | None:
+        """``(column, x, n)``: the numbers that were read from text, by spelling, so that no text is read again."""
+        texts = any(cell.is_text for cell in self.numeric)
+        return self._measured.filter("x IS NOT NULL").select("column", "x", "n") if texts else None
 
     def _bucket_count(self, cell: Cell) -> int:
         """Equal-width buckets of a histogram, at most one per distinct number."""
@@ -427,9 +451,9 @@ class Inspection:
         return found
 
     def _measure_spread(self, cells: list[Cell], histogram: bool) -> dict[str, Spread]:
-        """One scan of ``(column, number, parameters)``, counted by bucket and outlier flags."""
+        """One scan of ``(column, number, parameters, n)``, counted by bucket and outlier flags."""
         found: dict[str, Spread] = {}
-        longs = []
+        longs, of_texts = [], []
         for cell in cells:
             counts = self.counts[cell.name]
             spread = found[cell.name] = Spread()
@@ -453,11 +477,21 @@ class Inspection:
                     "unit": unit,
                 }
                 literals = ", ".join(f"{double(value)} AS {name}" for name, value in parameters.items())
-                longs.append(f"struct({cell.index} AS column, __number_{cell.index} AS x, {literals})")
-        if not longs:
+                if cell.is_text:
+                    of_texts.append(f"{cell.index}, struct({literals})")
+                else:
+                    longs.append(f"struct({cell.index} AS column, __number_{cell.index} AS x, {literals}, 1L AS n)")
+        frames = []
+        if longs:
+            natives = self.facts([cell for cell in cells if not cell.is_text])
+            frames.append(natives.selectExpr(f"explode(array({', '.join(longs)})) AS v").selectExpr("v.*"))
+        if of_texts:
+            wanted = self._read_numbers.selectExpr("column", "x", f"try_element_at(map({', '.join(of_texts)}), column) AS p", "n")
+            frames.append(wanted.filter("p IS NOT NULL").select("column", "x", "p.*", "n"))
+        if not frames:
             return found
-        long = self.facts(cells).selectExpr(f"explode(array({', '.join(longs)})) AS v")
-        long = long.selectExpr("v.*").filter("x IS NOT NULL")
+        long = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+        long = long.filter("x IS NOT NULL")
         last = "buckets - 1"
         coded = (
             long.selectExpr("*", f"least(floor((x - low) / step), {last}) AS guess")
@@ -468,9 +502,9 @@ class Inspection:
                     WHEN x >= low + (guess + 1) * step AND guess < {last} THEN guess + 1 ELSE guess END, 0) AS bucket""",
                 "coalesce(x NOT BETWEEN fence_low AND fence_high AND abs(x) > far, false) AS outlier",
             )
-            .selectExpr("column", "bucket", "outlier", "coalesce(outlier AND abs(x) > unit, false) AS slip")
+            .selectExpr("column", "bucket", "outlier", "coalesce(outlier AND abs(x) > unit, false) AS slip", "n")
         )
-        counted = coded.groupBy("column", "bucket", "outlier", "slip").agg(F.count(F.lit(1)).alias("n"))
+        counted = coded.groupBy("column", "bucket", "outlier", "slip").agg(F.sum("n").alias("n"))
         for row in counted.collect():
             spread = found[self.cells[row["column"]].name]
             if spread.buckets:
@@ -534,8 +568,8 @@ class Inspection:
         for cell in self.category_cells:
             row = self._found["words"][cell.index]
             forms: dict[str, int] = {}
-            for country in row["countries"]:
-                forms[country.canonical] = forms.get(country.canonical, 0) + country.forms
+            for canonical, n in row["countries"]:
+                forms[canonical] = forms.get(canonical, 0) + n
             mixed = sum(n > 1 for n in forms.values())
             found[cell.name] = {"rows": row["rewrite"], "variants": row["variants"], "aliases": row["aliases"] or 0, "mixed": mixed}
         if long:  # their whole texts decide

@@ -27,7 +27,7 @@ _BRACKETS_PER_JOB = 48
 class Numbers:
     """A numeric expression with the count and range of its non-null values."""
 
-    value: Column
+    value: Column | int  # or the label under which the values stand, grouped, in a frame of their own
     rows: int
     low: float | None
     high: float | None
@@ -56,8 +56,10 @@ def _by_bracket(targets: Sequence[_Target]) -> list[list[_Target]]:
     return list(groups.values())
 
 
-def _in_play(df: DataFrame, numbers: Mapping[str, Numbers], brackets: Sequence[list[_Target]], block: bool) -> DataFrame:
-    """``(label, x[, block])`` of the values inside a bracket; ``label`` is its place in the list.
+def _in_play(
+    df: DataFrame, numbers: Mapping[str, Numbers], brackets: Sequence[list[_Target]], block: bool, grouped: DataFrame | None
+) -> DataFrame:
+    """``(label, x, n[, block])`` of the values inside a bracket; ``label`` is its place in the list.
 
     The brackets of a column do not overlap, so a value is in one of them at most.
     """
@@ -65,28 +67,40 @@ def _in_play(df: DataFrame, numbers: Mapping[str, Numbers], brackets: Sequence[l
     for label, (first, *_) in enumerate(brackets):
         by_column.setdefault(first.column, []).append((label, first))
     values, structs = [], []
+    counted: dict[str, list[str]] = {"label": [], "block": []}
     for place, (name, members) in enumerate(by_column.items()):
-        x = f"__x{place}"
-        values.append(numbers[name].value.alias(x))
-        labels, blocks = [], []
+        value = numbers[name].value
+        before = isinstance(value, int)
+        x, of_column = ("x", f"column = {value} AND ") if before else (f"__x{place}", "")
+        labels, blocks = (counted["label"], counted["block"]) if before else ([], [])
         for label, bracket in members:
-            inside = f"WHEN {x} BETWEEN {double(bracket.low)} AND {double(bracket.high)} THEN"
+            inside = f"WHEN {of_column}{x} BETWEEN {double(bracket.low)} AND {double(bracket.high)} THEN"
             width = max(bracket.high / _BLOCKS - bracket.low / _BLOCKS, math.ulp(0.0))  # tiny ranges have few values
             labels.append(f"{inside} {label}")
             offset = f"floor(({x} - {double(bracket.low)}) / {double(width)})"
             blocks.append(f"{inside} CAST(least({offset}, {_BLOCKS - 1}) AS INT)")
-        fields = f"CASE {' '.join(labels)} END AS label, {x} AS x"
-        fields += f", CASE {' '.join(blocks)} END AS block" if block else ""
-        structs.append(f"struct({fields})")
-    long = df.select(*values).selectExpr(f"explode(array({', '.join(structs)})) AS v")
-    return long.selectExpr("v.*").filter("label IS NOT NULL")
-
-
-def _narrow(df: DataFrame, numbers: Mapping[str, Numbers], brackets: Sequence[list[_Target]]) -> None:
+        if not before:
+            values.append(value.alias(x))
+            fields = f"CASE {' '.join(labels)} END AS label, {x} AS x, 1L AS n"
+            fields += f", CASE {' '.join(blocks)} END AS block" if block else ""
+            structs.append(f"struct({fields})")
+    frames = []
+    if structs:
+        frames.append(df.select(*values).selectExpr(f"explode(array({', '.join(structs)})) AS v").selectExpr("v.*"))
+    if counted["label"]:
+        fields = [f"CASE {' '.join(cases)} END AS {what}" for what, cases in counted.items() if block or what == "label"]
+        frames.append(grouped.selectExpr("x", "n", *fields))
+    whole = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+    return whole.filter("label IS NOT NULL")
+
+
+def _narrow(
+    df: DataFrame, numbers: Mapping[str, Numbers], brackets: Sequence[list[_Target]], grouped: DataFrame | None
+) -> None:
     counted = (
-        _in_play(df, numbers, brackets, block=True)
+        _in_play(df, numbers, brackets, True, grouped)
         .groupBy("label", "block")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        .agg(F.sum("n").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
         .collect()
     )
     blocks: dict[int, list] = {}
@@ -102,12 +116,15 @@ def _narrow(df: DataFrame, numbers: Mapping[str, Numbers], brackets: Sequence[li
                 below += row.n
 
 
-def _settle(df: DataFrame, numbers: Mapping[str, Numbers], brackets: Sequence[list[_Target]]) -> None:
+def _settle(
+    df: DataFrame, numbers: Mapping[str, Numbers], brackets: Sequence[list[_Target]], grouped: DataFrame | None
+) -> None:
     """Order the values left in each bracket, which are few, and take the wanted ranks."""
     wanted = ", ".join(
         f"{label}, array({', '.join(str(t.rank - t.below) for t in members)})" for label, members in enumerate(brackets)
     )
-    values = _in_play(df, numbers, brackets, block=False).groupBy("label").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    inside = _in_play(df, numbers, brackets, False, grouped).selectExpr("label", "explode(array_repeat(x, CAST(n AS INT))) AS x")
+    values = inside.groupBy("label").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     picked = values.selectExpr("label", f"transform(element_at(map({wanted}), label), r -> get(xs, r)) AS found")
     for row in picked.collect():
         for target, x in zip(brackets[row.label], row.found):
@@ -115,9 +132,13 @@ def _settle(df: DataFrame, numbers: Mapping[str, Numbers], brackets: Sequence[li
 
 
 def exact_quantiles(
-    df: DataFrame, numbers: Mapping[str, Numbers], shares: Sequence[float], rows_per_task: int
+    df: DataFrame, numbers: Mapping[str, Numbers], shares: Sequence[float], rows_per_task: int,
+    grouped: DataFrame | None = None,
 ) -> dict[str, list[float]]:
-    """Linear-interpolation quantiles of each numeric expression; empty columns are left out."""
+    """Linear-interpolation quantiles of each numeric expression; empty columns are left out.
+
+    ``grouped`` holds, as ``(column, x, n)``, values that were counted before: those of numbers named by a label.
+    """
     targets: dict[tuple[str, int], _Target] = {}
     for name, column in numbers.items():
         for share in shares if column.rows else ():
@@ -130,7 +151,7 @@ def exact_quantiles(
             [t for t in targets.values() if t.low != t.high and t.rows > too_many]
         ):
             for start in range(0, len(brackets), _BRACKETS_PER_JOB):
-                step(df, numbers, brackets[start : start + _BRACKETS_PER_JOB])
+                step(df, numbers, brackets[start : start + _BRACKETS_PER_JOB], grouped)
 
     answer = {}
     for name, column in numbers.items():

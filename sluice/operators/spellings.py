@@ -40,6 +40,13 @@ def text_values(df: DataFrame, cells: Sequence[Cell]) -> DataFrame:
     )
 
 
+def only_long(df: DataFrame, cells: Sequence[Cell]) -> DataFrame:
+    """``(column, text)`` of the long texts of many columns; rows without any are ruled out before columns are
+    put below each other."""
+    any_long = " OR ".join(f"octet_length({cell.text_sql}) > {LONG}" for cell in cells)
+    return long_texts(df.filter(any_long), cells).filter(F.octet_length("text") > LONG)
+
+
 def measured_spellings(values: DataFrame, cells: Sequence[Cell]) -> DataFrame:
     """``(column, folded, spelling, digest, n, x, ...)`` of ``(column, text, n)``: what the text rules count, by spelling.
 
@@ -81,8 +88,8 @@ def measured_spellings(values: DataFrame, cells: Sequence[Cell]) -> DataFrame:
 def measured_tokens(measured: DataFrame, cells: Sequence[Cell], rules: Rules) -> DataFrame:
     """One row for each caseless value of a column: sums over its spellings, and how these vary.
 
-    ``rewrite`` counts the rows whose spelling loses or is an alias of a country's name, ``countries``
-    holds the country and its spellings here.
+    ``rewrite`` counts the rows whose spelling loses or is an alias of a country's name, ``canonical`` and
+    ``forms`` are the country and the number of its spellings here.
     """
     countries = [cell.index for cell in cells if is_country_name(cell.name)]
     with_alias = [cell.index for cell in cells] if rules.alias_rows_everywhere else countries
@@ -94,32 +101,46 @@ def measured_tokens(measured: DataFrame, cells: Sequence[Cell], rules: Rules) ->
         "inexact": "x != rint(x)",
     }
     sums = ("n", "blank", "sentinel", "decorated", "padded", "not_iso", "truths", "emails", "days")
-    tokens = (
-        measured.withColumn("canonical", canonical)
-        .groupBy("column", "folded")
-        .agg(
-            *[F.sum(what).alias(what) for what in sums],
-            *[F.sum(F.expr(f"if({test}, n, 0L)")).alias(what) for what, test in weighed.items()],
-            F.min("x").alias("low"),
-            F.max("x").alias("high"),
-            F.sum(F.expr("x * n")).alias("total"),
-            F.max("longest").alias("longest"),
-            F.count(F.lit(1)).alias("forms"),
-            F.min(F.struct(-F.col("n"), -F.length("spelling"), F.col("spelling").alias("winner"))).alias("best"),
-            F.max("canonical").alias("canonical"),
-            F.max(F.expr("spelling = canonical")).alias("named"),
+    whole = [
+        *[F.sum(what).alias(what) for what in sums],
+        *[F.sum(F.expr(f"if({test}, n, 0L)")).alias(what) for what, test in weighed.items()],
+        F.min("x").alias("low"),
+        F.max("x").alias("high"),
+        F.sum(F.expr("x * n")).alias("total"),
+        F.max("longest").alias("longest"),
+        F.count(F.lit(1)).alias("forms"),
+    ]
+    # Only an alias needs to know which spelling wins. Other tokens, which are many, need but its rows: their
+    # sums are numbers alone, so they are hashed where texts among them would have to be sorted.
+    aliases = [alias for alias in rules.country_aliases if with_alias]
+    by_text = F.col("folded").isin(aliases) | F.col("digest").isNotNull()  # of a long text only the head is known
+    is_alias = F.coalesce(F.col("column").isin(with_alias) & by_text, F.lit(False))
+    plain = measured.filter(~is_alias).groupBy("column", "folded").agg(*whole, F.max("n").alias("kept"))
+    tokens = plain.select("*", F.lit(None).cast("string").alias("canonical"), F.lit(None).cast("boolean").alias("named"))
+    if aliases:
+        named = (
+            measured.filter(is_alias)
+            .withColumn("canonical", canonical)
+            .groupBy("column", "folded")
+            .agg(
+                *whole,
+                F.min(F.struct(-F.col("n"), -F.length("spelling"), F.col("spelling").alias("winner"))).alias("best"),
+                F.max("canonical").alias("canonical"),
+                F.max(F.expr("spelling = canonical")).alias("named"),
+            )
         )
-    )
+        kept = F.when(F.coalesce(F.col("canonical") == F.col("best.winner"), F.lit(True)), F.expr("-best.col1")).otherwise(0)
+        tokens = tokens.unionByName(named.withColumn("kept", kept).drop("best"))
     present = F.col("folded").isNotNull()
     of_country = F.col("column").isin(countries) & F.col("canonical").isNotNull()
-    kept = F.when(F.coalesce(F.col("canonical") == F.col("best.winner"), F.lit(True)), F.expr("-best.col1")).otherwise(0)
     return tokens.select(
         "column", *sums, *weighed, "low", "high", "total", "longest",
         present.cast("long").alias("tokens"),
-        F.when(present, F.col("n") - kept).alias("rewrite"),
+        F.when(present, F.expr("n - kept")).alias("rewrite"),
         F.when(present, F.col("forms") - 1).alias("variants"),
         F.when(of_country, F.col("forms") - F.coalesce(F.col("named"), F.lit(False)).cast("long")).alias("aliases"),
-        F.when(of_country, F.struct("canonical", "forms")).alias("countries"),
+        F.when(of_country, F.col("canonical")).alias("canonical"),
+        F.when(of_country, F.col("forms")).alias("forms"),
     )
 
 

@@ -7,8 +7,8 @@ import pytest
 from queries import edge_queries, profile_queries
 from queries.lens import lens
 from sluice import Inspection, Rules
-from sluice.functions.cells import ORD
-from sluice.operators import inspection, profile, repairs
+from sluice.functions.cells import ORD, cells_of
+from sluice.operators import inspection, profile, repairs, spellings
 from sluice.operators.repairs import Repair, apply
 from sluice.plans.gate import Gate
 from sluice.workspace import short_methods
@@ -89,3 +89,35 @@ def test_files_of_a_large_extract_are_many(spark, monkeypatch):
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert sum(row.rows for row in edge_queries.stream_publishes(spark, SF).collect()) == sum(batches) == lines
     assert len(batches) == 2
+
+
+def test_numbers_in_texts_are_read_once(frame, monkeypatch):
+    """Quartiles and outliers of a text column come from its counted spellings, with their frequencies."""
+    values = [("$10", 4)] * 5 + [("10.5", 1)] * 3 + [("12", None)] * 4 + [("1,300", 9), ("n/a", 2), ("x", 7), (None, 3)]
+    read, plain = [], Inspection.facts
+    monkeypatch.setattr(Inspection, "facts", lambda self, cells: read.extend(c.name for c in cells) or plain(self, cells))
+    with Inspection(frame("a string, b int", *values), Rules(quantile_rows_per_task=2, number_share=0.5)) as found:
+        assert found.quartiles == {"a": [10.0, 10.5, 12.0], "b": [1.75, 4.0, 4.0]}
+        assert (found.outliers["a"].outliers, found.outliers["a"].unit_scale) == (1, True)
+        assert sum(found.histograms["a"].buckets) == 13 and sum(found.histograms["b"].buckets) == 12
+    assert set(read) == {"b"}
+
+
+def test_tokens_are_hashed_not_sorted(frame):
+    df = frame("a string, country string", *[(" X", "USA"), ("x", "usa"), ("X", "United States"), ("y", "Peru"), (None, "peru"), ("-", "peru")])
+    with Inspection(df) as found:
+        found.measure()
+        plans = [spellings.measured_tokens(found._measured, [cell], found.rules) for cell in found.worded]
+        sorts = ["SortAggregate" in plan._jdf.queryExecution().executedPlan().toString() for plan in plans]
+        words = found._found["words"]
+    assert sorts == [False, True]  # only the few aliases of countries
+    assert (words[0]["rewrite"], words[0]["variants"], words[0]["tokens"]) == (1, 1, 2)
+    assert (words[1]["rewrite"], words[1]["aliases"], words[1]["countries"]) == (3, 2, [("United States", 3)])
+
+
+def test_rows_without_a_long_text_are_ruled_out_first(frame):
+    df = frame("a string, b string", ("x" * 201, "y"), ("x", None), (None, "ü" * 101), ("x" * 200, "y"))
+    long = spellings.only_long(df, cells_of(df))
+    assert sorted(long.collect()) == [(0, "x" * 201), (1, "ü" * 101)]
+    plan = long._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Expand") < plan.rindex("Filter")  # the innermost operator stands last
