@@ -190,8 +190,9 @@ def apply_auto(spark, sf_dir):
         WHERE coalesce(strftime({DAY_SQL.format(x='trim(order_date)')}, '%Y-%m-%d') <> order_date, true))""",
 )
 def affected(spark, sf_dir):
-    df = lens(spark, sf_dir)
-    done = apply(df, _plan(spark, df))[1]
+    with Inspection(lens(spark, sf_dir)) as inspection:
+        plan = plan_auto(inspection, detect(inspection, evidence=False))
+        done = apply(inspection.df, plan, rows=inspection.rows, inspected=inspection)[1]
     rows = [(r.strategy, r.column, r.rows_affected) for r in done]
     return spark.createDataFrame(rows, "strategy string, column string, rows_affected bigint")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from queries import edge_queries, profile_queries
+from queries import edge_queries, profile_queries, repair_queries
 from queries.lens import lens
 from sluice import Inspection, Rules
 from sluice.functions.cells import ORD, cells_of
@@ -121,3 +121,10 @@ def test_rows_without_a_long_text_are_ruled_out_first(frame):
     assert sorted(long.collect()) == [(0, "x" * 201), (1, "ü" * 101)]
     plan = long._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Expand") < plan.rindex("Filter")  # the innermost operator stands last
+
+
+def test_rows_affected_are_counted_on_the_inspected_table(spark, monkeypatch):
+    seen, plain = [], repair_queries.apply
+    monkeypatch.setattr(repair_queries, "apply", lambda *a, **more: seen.append(more.get("inspected")) or plain(*a, **more))
+    repair_queries.affected(spark, SF)
+    assert [type(one) for one in seen] == [Inspection]
