@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.pretokens import ids_encoder
+from sluice.llm.pretokens import ids_encoder, with_end
 from sluice.llm.registry import importable
 from sluice.workspace import written
 
@@ -45,18 +45,19 @@ _BIN_SQL = f"size long, done boolean, members array<struct<{_PIECE_SQL}>>"
 
 def _pieces(tokenizer: str, end_id: int, capacity: int):
     """One row per document: its pieces."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = ids_encoder(tokenizer)
+        encoder = ids_encoder(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = memoryview(encode(text) + end)
-                n = len(ids) // 4
-                cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    rows.append((doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
+            docs = batch.column(0).to_pylist()
+            for first, last, ids, edges in encoder.ids_of(batch.column(1)):
+                ids, edges = with_end(ids, edges, end_id)
+                for doc, at, to in zip(docs[first:last], edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    n = to - at
+                    cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
+                    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                        rows.append((doc, k, a, b - a, zlib.crc32(ids[at + a : at + b])))
             columns = zip(*rows, strict=True) if rows else [[]] * len(_PIECE)
             members = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _PIECE, strict=True)], [n for n, _ in _PIECE])
             size = members.field("length")

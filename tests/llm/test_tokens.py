@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -120,3 +121,30 @@ def test_packing_is_near_the_bound(spark):
 def test_best_fit_takes_the_fullest_bin():
     bins = packing.best_fit(np.array([6, 5, 4, 3, 2]), 10)
     assert [[int(i) for i in b] for b in bins] == [[0, 2], [1, 3, 4]]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*" \n\t '’s.é%7漢\x1c\x85\xa0_-Aaz", "  ", " the", "<|endoftext|>", "\r\n", "²", "́", " word", "'ll"]), max_size=9).map("".join) | st.none(), max_size=7), st.integers(1, 40))
+def test_many_texts_at_a_time_are_the_library(texts, size):
+    encoder = pretokens.ids_encoder(NAME)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pretokens, "SLICE_BYTES", size)
+        patch.setattr(pretokens, "_GATHERED", 3)
+        found = [(b - a, *pretokens.with_end(i, e, 0)) for a, b, i, e in encoder.ids_of(pa.array([*TEXTS, *texts], pa.string()).slice(len(TEXTS)))]
+    assert sum(n for n, _, _ in found) == len(texts)
+    got = [i[x:y].tolist() for _, i, e in found for x, y in zip(e[:-1], e[1:], strict=True)]
+    assert got == [[*ids(t), 0] for t in texts]
+
+
+def test_words_used_once_do_not_fill_the_cache(monkeypatch):
+    monkeypatch.setattr(pretokens, "CACHE_BYTES", 80_000)
+    encoder = pretokens.Encoder(public_tokenizers.path(NAME), lengths=False)
+    asked = []
+    tokenize = encoder._tokenize
+    monkeypatch.setattr(encoder, "_tokenize", lambda letters: asked.append(letters) or tokenize(letters))
+    letters = "abcdefghij"
+    for i in range(100):  # 150 words that come again in each slice, among 1,000 that do not, with signs after all
+        once = ["x" + "".join(letters[int(d)] for d in f"{i * 1000 + j:06}") for j in range(1000)]
+        often = ["y" + "".join(letters[int(d)] for d in str(j)) for j in range(150)]
+        list(encoder.ids_of(pa.array([" ".join(["", *once[:500], *often, *once[500:]]) + ","])))
+    assert sum(w.startswith("Ġy") for w in asked) < 5000  # 15,000 without it
