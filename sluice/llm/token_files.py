@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.pretokens import ids_encoder
+from sluice.llm.pretokens import ids_encoder, with_end
 from sluice.llm.registry import importable
 
 #: Options of the ORC writer.
@@ -39,24 +39,18 @@ _FILE_ROW = "part long, doc_id long, start_in_file long, n_tokens long, ids arra
 
 
 def _encoded(tokenizer: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, start = ids_encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, start = ids_encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
-                blobs = [encode(text) + end for text in piece.column(1).to_pylist()]
-                lengths = np.array([len(b) // 4 for b in blobs], np.int64)
-                edges = np.concatenate([[0], np.cumsum(lengths)])
-                ids = pa.array(np.frombuffer(b"".join(blobs), "<u4").astype(np.int32))
+            for a, b, ids, edges in encoder.ids_of(batch.column(1)):
+                ids, edges = with_end(ids, edges, end_id)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(blobs), part, np.int64)),
-                        piece.column(0),
+                        pa.array(np.full(b - a, part, np.int64)),
+                        batch.column(0).slice(a, b - a),
                         pa.array(start + edges[:-1]),
-                        pa.array(lengths),
-                        pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), ids),
+                        pa.array(np.diff(edges)),
+                        pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.view(np.int32))),
                     ],
                     names=["part", "doc_id", "start_in_file", "n_tokens", "ids"],
                 )
