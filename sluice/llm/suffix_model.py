@@ -12,16 +12,19 @@ tree is learned from all training texts, level by level:
   ln(P(x | s) / P(x | suffix)) over all its occurrences, each judged by the others alone (so that
   what was seen once is no evidence), reaches ``divergence`` nats.
 
-A token is scored in the longest retained suffix of what precedes it. Counts cover all training
-texts. Contexts and successors are tables. A level holds a row for each pair of context and next
-word in any text (count 0 if only held-out texts have it), with the probability of the word by the
-shorter context, so a level is grouped counts and a join with the level before, and a text is
-scored by joining each token's longest candidate with the levels.
+A token is scored in the longest retained suffix of what precedes it. Counts cover all training texts.
+
+Where the counting runs: the root and what is very frequent (``often`` occurrences or more) are tables, level by
+level: grouped counts and a join with the level before. The subtree of any rarer context is counted in one group:
+the tokens go there, packed many to a row, with the words before them, the number of their text and what the
+tables say of them, and come back as sums by text. So the tokens of all texts are shuffled once, in some eight
+bytes each, no group holds more than a share of bounded size and one such subtree, and no table of pairs of
+context and next word is written for contexts that are not very frequent.
 
 A word goes by 64 bits of its digest, under a seed by which no two words of the texts are alike
-(checked). A context goes by its last word and a 64-bit hash of those before it. Only bitmaps of
-bounded size are broadcast: they tell contexts that are surely too rare, and what they let through by
-chance is counted too and not retained.
+(checked). A context goes by a 64-bit hash. Only bitmaps of bounded size, which tell contexts that are surely not
+very frequent (what they let through by chance is in the tables too), and the most frequent words (half a
+million at most) are broadcast.
 
 Null text is empty: its end is its only token. A null id is in the training part or not by the
 checksum of empty text. Repeated rows and ids are scored row by row. Without training texts every
@@ -38,16 +41,21 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.registry import importable
+from sluice.llm.slices import ranges, text_bytes
 from sluice.workspace import written
 
 END = ""
 _BITS = 26  # of the bitmap's places, at most
-_TOKENS = 500_000  # at a time
+_TEXT = 12_000_000  # bytes of texts at a time
+_FREQUENT = 1 << 19  # words whose counts are broadcast, at most
+_GROUP = 2_000_000  # tokens counted in one group, on average
+_GROUPS = 64  # at least
 
 
 @dataclass(frozen=True)
@@ -58,10 +66,6 @@ class Shape:
     least: int = 5
 
 
-def _split(text: str | None) -> list[bytes]:
-    return text.encode().lower().split() if text else []
-
-
 def held_out(identifier: Column, parts: int = 7, part: int = 2) -> Column:
     return F.crc32(F.coalesce(identifier.cast("string"), F.lit(""))) % parts == part
 
@@ -80,6 +84,40 @@ class _Ids(dict):
         return found
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows, with null texts empty and a bounded size of texts at a time."""
+
+    def cut(held: list[pa.RecordBatch]) -> Iterator[pa.Table]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        text = pc.fill_null(table.column("text").cast(pa.large_string()), "").combine_chunks()
+        table = table.set_column(table.schema.get_field_index("text"), "text", text)
+        for a, b in ranges(text_bytes(text)[0], _TEXT):
+            yield table.slice(a, b - a)
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size > _TEXT:
+            yield from cut(held)
+            held, size = [], 0
+    if held:
+        yield from cut(held)
+
+
+def _split(text: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words, all words as places in them, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(text.combine_chunks()))
+    words, ends = parts.flatten(), np.cumsum(pc.list_value_length(parts).to_numpy())
+    blank = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    if blank.any():
+        ends = np.concatenate([[0], np.cumsum(~blank)])[ends]
+        words = words.filter(pa.array(~blank))
+    words = words.dictionary_encode()
+    return words.dictionary.cast(pa.large_binary()), words.indices.to_numpy(), np.diff(ends, prepend=0)
+
+
 def _word_counts(seed: int):
     """All words with their numbers and how often training texts have them."""
 
@@ -90,17 +128,15 @@ def _word_counts(seed: int):
             columns = [pa.array(list(tally), pa.binary()).cast(pa.string()), pa.array([ids[w] for w in tally], pa.int64()), pa.array(list(tally.values()), pa.int64())]
             return pa.RecordBatch.from_arrays(columns, names=["word", "x", "n"])
 
-        for batch in batches:
-            for text, out in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = _split(text)
-                words.append(END.encode())
-                if out:
-                    tally.update(dict.fromkeys(words, 0))
-                else:
-                    tally.update(words)
-                if len(tally) > 1_000_000:
-                    yield rows()
-                    tally.clear()
+        for table in _slices(batches):
+            words, at, lengths = _split(table.column("text"))
+            train = ~table.column("held_out").to_numpy()
+            counts = np.bincount(at[np.repeat(train, lengths)], minlength=len(words))
+            tally.update(dict(zip(words.to_pylist(), counts.tolist(), strict=True)))
+            tally.update({END.encode(): int(train.sum())})
+            if len(tally) > 1_000_000:
+                yield rows()
+                tally.clear()
         yield rows()
 
     return run
@@ -167,75 +203,259 @@ def _candidates(ids: np.ndarray, offsets: np.ndarray, maps: list[np.ndarray]):
         yield before, ok
 
 
-def _sequences(columns: list[list], ids: _Ids) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows whose last column is the text, some at a time: the rows, all their words between ends, each word's
-    place in its text and the row's number."""
-    end, rows, parts, held = ids[END.encode()], [], [], 0
-
-    def ready():
-        lengths = np.array([len(p) for p in parts])
-        offsets = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        return rows, np.concatenate(parts).view(np.uint64), offsets, np.repeat(np.arange(len(parts)), lengths)
-
-    for row in zip(*columns, strict=True):
-        words = _split(row[-1])
-        part = np.full(len(words) + 2, end, np.int64)
-        part[1:-1] = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-        rows.append(row)
-        parts.append(part)
-        held += len(part)
-        if held > _TOKENS:
-            yield ready()
-            rows, parts, held = [], [], 0
-    if rows:
-        yield ready()
+def _sequences(table: pa.Table, ids: _Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words of the texts between ends, each one's place in its text and the row's number."""
+    words, at, lengths = _split(table.column("text"))
+    numbers = np.fromiter(map(ids.__getitem__, words.to_pylist()), np.int64, len(words))
+    lengths = lengths + 2
+    starts = np.cumsum(lengths) - lengths
+    offsets = np.arange(lengths.sum()) - np.repeat(starts, lengths)
+    inner = np.ones(len(offsets), bool)
+    inner[starts] = inner[starts + lengths - 1] = False
+    found = np.full(len(offsets), ids[END.encode()], np.int64)
+    found[inner] = numbers[at]
+    return found.view(np.uint64), offsets, np.repeat(np.arange(len(lengths)), lengths)
 
 
 def _signed(array: np.ndarray) -> pa.Array:
     return pa.array(array.view(np.int64))
 
 
+def _places_of(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """Equal keys get equal places, from 0; and how many there are."""
+    found = pa.array(keys).dictionary_encode()
+    return found.indices.to_numpy(), len(found.dictionary)
+
+
 def _grams(seed: int, maps):
-    """(words before, the same of the suffix, last word, next word, in training) at the deepest level."""
+    """(words before, the same of the suffix, last word, next word, times in training) at the deepest level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(seed)
-        for batch in batches:
-            for rows, words, offsets, numbers in _sequences([batch.column(1).to_pylist(), batch.column(0).to_pylist()], ids):
-                last, shorter = None, np.zeros(len(words), np.uint64)
-                for before, ok in _candidates(words, offsets, [m.value for m in maps]):
-                    shorter, last = (last[0] if last else shorter), (before, ok)
-                at = np.nonzero(last[1][:-1] & (offsets[1:] > 0))[0]
-                n = np.array([not out for out, _ in rows], np.int64)[numbers[at]]
-                columns = [_signed(last[0][at]), _signed(shorter[at]), _signed(words[at]), _signed(words[at + 1]), pa.array(n)]
-                yield pa.RecordBatch.from_arrays(columns, names=["k", "s", "w", "x", "n"])
+        for table in _slices(batches):
+            words, offsets, numbers = _sequences(table, ids)
+            last, shorter = None, np.zeros(len(words), np.uint64)
+            for before, ok in _candidates(words, offsets, [m.value for m in maps]):
+                shorter, last = (last[0] if last else shorter), (before, ok)
+            at = np.nonzero(last[1][:-1] & (offsets[1:] > 0))[0]
+            place, n = _places_of(_mix(_mix(last[0][at], words[at]), words[at + 1]))
+            times = np.bincount(place[~table.column("held_out").to_numpy()[numbers[at]]], minlength=n)
+            first = np.empty(n, np.int64)
+            first[place] = at
+            columns = [_signed(last[0][first]), _signed(shorter[first]), _signed(words[first]), _signed(words[first + 1]), pa.array(times)]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "s", "w", "x", "n"])
 
     return run
 
 
-def _tokens(seed: int, maps):
-    """A row for each text, without a level, and one for each of its tokens with the longest candidate before it."""
+def _asked(d, context: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """What names ``x`` after a context of ``d`` words in the tables; without a context the word itself."""
+    return np.where(d > 0, _mix(context + np.uint64(d), x), x)
+
 
+def _named(d: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, row = _Ids(seed), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for rows, words, offsets, numbers in _sequences([c.to_pylist() for c in batch.columns], ids):
-                level, k = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint64)
-                for d, (before, ok) in enumerate(_candidates(words, offsets, [m.value for m in maps]), 1):
-                    level[ok], k[ok] = d, before[ok]
-                at = np.nonzero(offsets[1:] > 0)[0]
-                w = np.where(level[at] > 0, words[at], np.uint64(0))
-                none, lacks = pa.nulls(len(at), pa.int64()), pa.nulls(len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[at] + row), none, none.cast(pa.bool_()), pa.array(level[at]), _signed(k[at]), _signed(w), _signed(words[at + 1])], names=_TOKEN_NAMES)
-                kept = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows)) + row), *kept, lacks, lacks, lacks, lacks], names=_TOKEN_NAMES)
-                row += len(rows)
+            k, w, x = (_unsigned(batch.column(i)) for i in range(3))
+            yield pa.RecordBatch.from_arrays([_signed(_asked(np.uint64(d), _mix(k, w), x)), *batch.columns[3:]], names=["g", "c", "p"])
+
+    return run
+
+
+def _contexts(words: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Hashes of the contexts of one word, two, and so on, given the last word, the one before, and so on."""
+    for d in range(1, len(words) + 1):
+        yield reduce(_mix, reversed(words[:d]), np.zeros(len(words[0]), np.uint64))
+
+
+@dataclass
+class _Tokens:
+    """Tokens with what precedes them: their rows, the words (the token, the last before it, ...), how many of
+    those before it are there, how many of them the tables cover, the name in the tables, the group that counts them."""
+
+    row: np.ndarray
+    words: list[np.ndarray]
+    there: np.ndarray
+    covered: np.ndarray
+    asked: np.ndarray
+    group: np.ndarray
+
+
+def _tokens(words: np.ndarray, offsets: np.ndarray, numbers: np.ndarray, maps, depth: int, groups: int) -> _Tokens:
+    covered, context = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
+    for d, (before, ok) in enumerate(_candidates(words, offsets, [m.value for m in maps]), 1):
+        covered[ok], context[ok] = d, _mix(before[ok], words[ok])
+    at = np.nonzero(offsets[1:] > 0)[0]
+    there, covered = np.minimum(offsets[at] + 1, depth), covered[at]
+    before = [np.where(there > d, words[at - d], np.uint64(0)) for d in range(depth)]
+    asked = _asked(covered, context[at], words[at + 1])
+    group = asked.copy()  # where no longer context is left to count
+    for d, longer in enumerate(_contexts(before)):
+        here = (covered == d) & (there > d)
+        group[here] = longer[here]
+    group = ((_mix(np.uint64(0), group) >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+    return _Tokens(numbers[at], [words[at + 1], *before], there, covered.astype(np.int64), asked, group)
+
+
+@dataclass(frozen=True)
+class _Frequent:
+    """Words by falling count, their counts, and their places by rising number."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    order: np.ndarray
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Where each word is, -1 for others."""
+        if not len(self.words):
+            return np.full(len(words), -1)
+        at = self.order[np.minimum(np.searchsorted(self.words, words, sorter=self.order), len(self.order) - 1)]
+        return np.where(self.words[at] == words, at, -1)
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of 32 bits, compressed byte by byte."""
+    planes = b"".join(c.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes() for c in columns)
+    return pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int, count: int) -> list[np.ndarray]:
+    planes = np.frombuffer(pa.decompress(packed, count * n * 4, codec="zstd", asbytes=True), np.uint8)
+    return [np.ascontiguousarray(c.T).view(np.uint32).ravel() for c in planes.reshape(count, 4, n)]
+
+
+def _dealt(seed: int, maps, frequent, depth: int, groups: int):
+    """For each group the tokens it counts, many to a row: the first text's number, how many tokens, the words that
+    are not frequent, and packed columns; and the texts themselves, many to a row of any group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, row, known = _Ids(seed), TaskContext.get().partitionId() << 33, frequent.value
+        for table in _slices(batches):
+            words, offsets, numbers = _sequences(table, ids)
+            found = _tokens(words, offsets, numbers, maps, depth, groups)
+            held = table.column("held_out").to_numpy()
+            state = found.covered + (found.there << 8) + (held[found.row].astype(np.int64) << 16)
+            place, n = _places_of(np.concatenate(found.words))
+            distinct = np.empty(n, np.uint64)
+            distinct[place] = np.concatenate(found.words)
+            codes = known.places(distinct)[place].reshape(depth + 1, -1)
+            place = place.reshape(depth + 1, -1)
+            order = np.argsort(found.group, kind="stable")
+            edges = np.searchsorted(found.group[order], np.arange(groups + 1))
+            out = []
+            for group in np.nonzero(np.diff(edges))[0]:
+                at = order[edges[group] : edges[group + 1]]
+                code = codes[:, at]
+                others, inverse = np.unique(place[:, at][code < 0], return_inverse=True)
+                code[code < 0] = len(known.words) + inverse
+                columns = [np.diff(found.row[at], prepend=0), state[at], *code]
+                out.append((int(group), row, len(at), distinct[others].tobytes(), _packed(columns)))
+            yield pa.RecordBatch.from_pylist([dict(zip(_DEALT.names, r, strict=True)) for r in out], _DEALT)
+            texts = pa.record_batch([table.column("id").combine_chunks(), table.column("held_out").combine_chunks(), pa.array(np.bincount(numbers) - 1)], names=["id", "held_out", "n"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write(texts)
+            whole = {"part": (row >> 33) % groups, "row": row, "n": 0, "others": b"", "packed": sink.getvalue().to_pybytes()}
+            yield pa.RecordBatch.from_pylist([whole], _DEALT)
+            row += table.num_rows
+
+    return run
+
+
+_DEALT = pa.schema({"part": pa.int64(), "row": pa.int64(), "n": pa.int64(), "others": pa.binary(), "packed": pa.binary()})
+_DEALT_SQL = "part long, row long, n long, others binary, packed binary"
+
+
+def _questions(seed: int, maps, frequent, depth: int, groups: int):
+    """What each group has to ask the tables, beside the frequent words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = _Ids(seed)
+        for table in _slices(batches):
+            found = _tokens(*_sequences(table, ids), maps, depth, groups)
+            place, n = _places_of(found.asked)
+            distinct = np.empty(n, np.uint64)
+            distinct[place] = found.asked
+            at = np.nonzero((found.covered > 0) | (frequent.value.places(distinct) < 0)[place])[0]
+            asked = found.asked[at] if len(at) else np.zeros(0, np.uint64)
+            place, n = _places_of(_mix(found.group[at].astype(np.uint64), asked))
+            first = np.empty(n, np.int64)
+            first[place] = at
+            yield pa.RecordBatch.from_arrays([pa.array(found.group[first]), _signed(found.asked[first])], names=["part", "g"])
 
     return run
 
 
-_TOKEN_NAMES = ["row", "id", "held_out", "d", "k", "w", "x"]
-_TOKEN_SQL = "row long, id long, held_out boolean, d long, k long, w long, x long"
+def _counted(frequent, depth: int, shape: Shape, root: float):
+    """The sums of one group's tokens by text, and the texts that are dealt to it."""
+
+    def read(dealt: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        known, rows, words, states = frequent.value, [], [], []
+        for r in dealt.to_pylist():
+            delta, state, *codes = _unpacked(r["packed"], r["n"], depth + 3)
+            rows.append(np.cumsum(delta.astype(np.int64)) + r["row"])
+            states.append(state)
+            every = np.concatenate([known.words, np.frombuffer(r["others"], np.uint64)]) if r["others"] else known.words
+            words.append([every[c] for c in codes])
+        return np.concatenate(rows), [np.concatenate(c) for c in zip(*words, strict=True)], np.concatenate(states)
+
+    def grown(p: np.ndarray, x: np.ndarray, before: list[np.ndarray], there: np.ndarray, covered: np.ndarray, train: np.ndarray) -> None:
+        """``p`` by each token's longest retained context, given that by the longest one of the tables."""
+        fewer = np.zeros(len(p), bool)  # a shorter context here has too few occurrences
+        for d, context in enumerate(_contexts(before), 1):
+            at = np.nonzero((covered < d) & (there >= d) & ~fewer)[0]
+            place, n = _places_of(context[at])
+            held = np.bincount(place[train[at]], minlength=n)
+            enough = held[place] >= shape.least
+            fewer[at[~enough]] = True
+            at, place = at[enough], place[enough]
+            pair, m = _places_of(_mix(context[at], x[at]))
+            c = np.bincount(pair[train[at]], minlength=m)
+            of, q = np.empty(m, np.int64), np.empty(m)
+            of[pair], q[pair] = place, p[at]
+            seen = c > 0
+            free = np.bincount(of[seen], minlength=n) + shape.discount
+            others = free[of] - (c == 1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = c * np.log(((c - 1) / q + others) / (held[of] - 1 + others))
+            retained = np.bincount(of[seen], gain[seen], minlength=n) >= shape.divergence
+            p[at] = np.where(retained[of], (c + free[of] * q) / (held[of] + free[of]), q)[pair]
+
+    def run(dealt: pa.Table, answers: pa.Table) -> pa.Table:
+        size, found = dealt.column("n").to_numpy(), []
+        if (size > 0).any():
+            row, (x, *before), state = read(dealt.filter(pa.array(size > 0)))
+            covered, there, train = state & 255, (state >> 8) & 255, state >> 16 == 0
+            at = np.where(covered > 0, -1, frequent.value.places(x))
+            c, p = np.zeros(len(x), np.int64), np.zeros(len(x))
+            c[at >= 0] = frequent.value.counts[at[at >= 0]]
+            p[at >= 0] = (c[at >= 0] + 1) / root
+            rest = np.nonzero(at < 0)[0]
+            if len(rest):
+                context = np.zeros(len(rest), np.uint64)
+                for d, longer in enumerate(_contexts([w[rest] for w in before]), 1):
+                    context = np.where(covered[rest] == d, longer, context)
+                asked, g = _asked(covered[rest].astype(np.uint64), context, x[rest]), _unsigned(answers.column("g").combine_chunks())
+                order = np.argsort(g)
+                place = order[np.searchsorted(g, asked, sorter=order)]
+                c[rest], p[rest] = answers.column("c").to_numpy()[place], answers.column("p").to_numpy()[place]
+            grown(p, x, before, there, covered, train)
+            place, n = _places_of(row)
+            rows = np.empty(n, np.int64)
+            rows[place] = row
+            sums = [np.bincount(place, c > 0, n).astype(np.int64), np.bincount(place, np.log10(c + 1), n), np.bincount(place, np.log10(p), n)]
+            found.append(pa.table([pa.array(rows), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), *map(pa.array, sums)], _SUMS))
+        for r in dealt.filter(pa.array(size == 0)).to_pylist():
+            texts = pa.ipc.open_stream(r["packed"]).read_all()
+            n, lacks = texts.num_rows, [pa.nulls(texts.num_rows, kind) for kind in _SUMS.types[4:]]
+            found.append(pa.table([pa.array(np.arange(n) + r["row"]), *texts.columns, *lacks], _SUMS))
+        return pa.concat_tables(found) if found else _SUMS.empty_table()
+
+    return run
+
+
+_SUMS = pa.schema({"row": pa.int64(), "id": pa.int64(), "held_out": pa.bool_(), "n": pa.int64(), "n_known": pa.int64(), "counts": pa.float64(), "score": pa.float64()})
+_SUMS_SQL = "row long, id long, held_out boolean, n long, n_known long, counts double, score double"
 
 
 def _collected(rows: DataFrame, *columns: str) -> list[np.ndarray]:
@@ -254,13 +474,14 @@ def _numbered(texts: DataFrame) -> tuple[DataFrame, int]:
         seed += 1
 
 
-def _levels(texts: DataFrame, words: DataFrame, seed: int, total: int, distinct: int, shape: Shape) -> tuple[list[DataFrame], list[Broadcast]]:
-    """For each level, the root first: k, w, x, c, p with the probability p of x and its count c in training; and the bitmaps."""
-    spark = texts.sparkSession
+def _levels(texts: DataFrame, words: DataFrame, seed: int, total: int, distinct: int, shape: Shape, often: int | None = None) -> tuple[list[DataFrame], list[Broadcast]]:
+    """For each level, the root first: k, w, x, c, p with the probability p of x and its count c in training; and the
+    bitmaps of the contexts there. Only contexts with ``often`` occurrences and what the bitmaps let through besides."""
+    spark, often = texts.sparkSession, often or shape.least
     zero = F.lit(0).cast("long")
     levels = [words.select(zero.alias("k"), zero.alias("w"), "x", F.col("n").alias("c"), ((F.col("n") + 1) / (total + distinct + 1)).alias("p"))]
     maps, end = [], words.where(F.col("word") == END).select("x").first()
-    longer = words.where(F.col("n") >= shape.least).select(zero.alias("k"), F.col("x").alias("w"))
+    longer = words.where(F.col("n") >= often).select(zero.alias("k"), F.col("x").alias("w"))
     while len(maps) < shape.depth and (n := longer.count()):
         maps.append(spark.sparkContext.broadcast(_bitmap(longer, n)))
         on = ["x"] if len(levels) == 1 else ["s", "w", "x"]
@@ -277,29 +498,47 @@ def _levels(texts: DataFrame, words: DataFrame, seed: int, total: int, distinct:
         retained = written(retained.where(F.col("gain") >= shape.divergence).drop("gain"), "retained")
         p = F.coalesce((c + free * q) / (held + free), q)
         levels.append(written(pairs.join(retained, ["k", "w"], "left").select("k", "w", "x", "c", p.alias("p")), "level"))
-        longer = pairs.where((F.col("n") >= shape.least) & (F.col("x") != end.x)).select("k", "w", "x").mapInArrow(_extended, "k long, w long")
+        longer = pairs.where((F.col("n") >= often) & (F.col("x") != end.x)).select("k", "w", "x").mapInArrow(_extended, "k long, w long")
     return levels, maps
 
 
-def score(docs: DataFrame, shape: Shape | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def _most_frequent(words: DataFrame) -> _Frequent:
+    """The words of at least so many occurrences, a power of two, that no more than the bound are left."""
+    counted = words.where("n > 0").withColumn("power", F.floor(F.log2("n")).cast("int"))
+    sizes = {r.power: r["count"] for r in counted.groupBy("power").count().collect()}
+    least, held = max(sizes, default=0) + 1, 0
+    while sizes and least and held + sizes.get(least - 1, 0) <= _FREQUENT:
+        least -= 1
+        held += sizes.get(least, 0)
+    x, n = _collected(counted.where(F.col("power") >= least), "x", "n")
+    order = np.argsort(-n, kind="stable")
+    found = x[order].view(np.uint64)
+    return _Frequent(found, n[order], np.argsort(found))
+
+
+def score(docs: DataFrame, shape: Shape | None = None, id_column: str = "doc_id", text_column: str = "text", often: int = _GROUP) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark, shape = docs.sparkSession, shape or Shape()
     importable(spark)
     chosen = docs.select(F.col(id_column).cast("long").alias("id"), held_out(F.col(id_column)).alias("held_out"), F.col(text_column).cast("string").alias("text"))
-    texts = chosen.select("text", "held_out")
+    texts = chosen.select("held_out", "text")
     words, seed = _numbered(texts)
     total, distinct = (x or 0 for x in words.where("n > 0").agg(F.sum("n"), F.count(F.lit(1))).first())
-    levels, maps = _levels(texts, words, seed, total, distinct, shape)
-    known = reduce(DataFrame.unionByName, [level.withColumn("d", F.lit(d).cast("long")) for d, level in enumerate(levels)])
-    tokens = chosen.mapInArrow(_tokens(seed, maps), _TOKEN_SQL)
-    # every token has its row in ``known``; a text's own row has no level
-    rows = tokens.join(known, ["d", "k", "w", "x"], "left").groupBy("row").agg(
+    levels, maps = _levels(texts, words, seed, total, distinct, shape, max(often, shape.least))
+    known = [level.mapInArrow(_named(d), "g long, c long, p double") for d, level in enumerate(levels) if d]
+    known = reduce(DataFrame.unionByName, known, levels[0].select(F.col("x").alias("g"), "c", "p"))
+    groups, frequent = max(_GROUPS, total // _GROUP), spark.sparkContext.broadcast(_most_frequent(words))
+    asked = texts.mapInArrow(_questions(seed, maps, frequent, shape.depth, groups), "part long, g long")
+    answers = asked.join(known, "g").select("part", "g", "c", "p")
+    dealt = chosen.mapInArrow(_dealt(seed, maps, frequent, shape.depth, groups), _DEALT_SQL)
+    counted = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_counted(frequent, shape.depth, shape, float(total + distinct + 1)), _SUMS_SQL)
+    rows = counted.groupBy("row").agg(
         F.max("id").alias("id"),
         F.max("held_out").alias("held_out"),
-        F.count("d").alias("n_tokens"),
-        F.count(F.when(F.col("c") > 0, 1)).alias("n_known"),
-        F.sum(F.log10(F.col("c") + 1)).alias("counts"),
-        F.sum(F.log10("p")).alias("score"),
+        F.max("n").alias("n_tokens"),
+        F.coalesce(F.sum("n_known"), F.lit(0)).alias("n_known"),
+        F.sum("counts").alias("counts"),
+        F.sum("score").alias("score"),
     )
     other = -F.log10(F.lit(float(total + distinct + 1)))
     return rows.select(
