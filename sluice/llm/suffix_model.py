@@ -33,7 +33,6 @@ probability is that of the one other place. Other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -51,10 +50,13 @@ from sluice.llm.slices import ranges, text_bytes
 from sluice.workspace import written
 
 END = ""
+_END = pa.array([END.encode()], pa.large_binary())
 _BITS = 26  # of the bitmap's places, at most
-_TEXT = 12_000_000  # bytes of texts at a time
+_TEXT = 6_000_000  # bytes of texts at a time
+_LONG = 256  # bytes of a word that is hashed by itself
 _FREQUENT = 1 << 19  # words whose counts are broadcast, at most
-_GROUP = 2_000_000  # tokens counted in one group, on average
+_OFTEN = 2_000_000  # times, and a context is no longer counted in one group
+_GROUP = 1_000_000  # tokens counted in one group, on average
 _GROUPS = 64  # at least
 
 
@@ -70,18 +72,26 @@ def held_out(identifier: Column, parts: int = 7, part: int = 2) -> Column:
     return F.crc32(F.coalesce(identifier.cast("string"), F.lit(""))) % parts == part
 
 
-class _Ids(dict):
-    """64 bits for each word; bounded."""
-
-    def __init__(self, seed: int):
-        super().__init__()
-        self.key = seed.to_bytes(8, "little")
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = found = int.from_bytes(blake2b(word, digest_size=8, key=self.key).digest(), "little", signed=True)
-        return found
+def _hashed(words: pa.Array, seed: int) -> np.ndarray:
+    """64 bits for each word, eight of its bytes at a time."""
+    words = words.cast(pa.large_binary())
+    edges, data = text_bytes(words)
+    data = np.concatenate([np.frombuffer(data or b"", np.uint8), np.zeros(8, np.uint8)])
+    eights = np.lib.stride_tricks.sliding_window_view(data, 8)
+    starts, lengths = edges[:-1], np.diff(edges)
+    found = _mix(np.full(len(words), seed, np.uint64), lengths.astype(np.uint64))
+    left = np.nonzero((lengths > 0) & (lengths <= _LONG))[0]
+    for done in range(0, _LONG, 8):
+        left = left[lengths[left] > done]
+        if not len(left):
+            break
+        part = eights[starts[left] + done].view(np.uint64)[:, 0]
+        beyond = np.maximum(done + 8 - lengths[left], 0).astype(np.uint64) * np.uint64(8)
+        found[left] = _mix(found[left], part & (np.uint64(0xFFFFFFFFFFFFFFFF) >> beyond))
+    for i in np.nonzero(lengths > _LONG)[0]:
+        digest = blake2b(data[starts[i] : edges[i + 1]], digest_size=8, key=seed.to_bytes(8, "little")).digest()
+        found[i] = int.from_bytes(digest, "little")
+    return found
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -93,6 +103,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         table = table.set_column(table.schema.get_field_index("text"), "text", text)
         for a, b in ranges(text_bytes(text)[0], _TEXT):
             yield table.slice(a, b - a)
+            pa.default_memory_pool().release_unused()
 
     held, size = [], 0
     for batch in batches:
@@ -122,22 +133,13 @@ def _word_counts(seed: int):
     """All words with their numbers and how often training texts have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tally = _Ids(seed), Counter()
-
-        def rows() -> pa.RecordBatch:
-            columns = [pa.array(list(tally), pa.binary()).cast(pa.string()), pa.array([ids[w] for w in tally], pa.int64()), pa.array(list(tally.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["word", "x", "n"])
-
         for table in _slices(batches):
             words, at, lengths = _split(table.column("text"))
             train = ~table.column("held_out").to_numpy()
             counts = np.bincount(at[np.repeat(train, lengths)], minlength=len(words))
-            tally.update(dict(zip(words.to_pylist(), counts.tolist(), strict=True)))
-            tally.update({END.encode(): int(train.sum())})
-            if len(tally) > 1_000_000:
-                yield rows()
-                tally.clear()
-        yield rows()
+            words = pa.concat_arrays([words, _END])
+            columns = [words.cast(pa.large_string()).cast(pa.string()), _signed(_hashed(words, seed)), pa.array(np.append(counts, train.sum()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "x", "n"])
 
     return run
 
@@ -189,6 +191,11 @@ def _bitmap(contexts: DataFrame, n: int) -> np.ndarray:
     return found
 
 
+def _in_bitmap(before: np.ndarray, last: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    place = _places(before, last, len(bits).bit_length() + 5)
+    return (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) != 0
+
+
 def _candidates(ids: np.ndarray, offsets: np.ndarray, maps: list[np.ndarray]):
     """For each depth: the words before the last as a hash, and where the context that ends there may be a candidate."""
     before, ok = np.zeros(len(ids), np.uint64), np.ones(len(ids), bool)
@@ -197,24 +204,23 @@ def _candidates(ids: np.ndarray, offsets: np.ndarray, maps: list[np.ndarray]):
             before = np.concatenate([before[:1], _mix(before[:-1], ids[:-1])])
             ok = ok & (offsets >= d)
         at = np.nonzero(ok)[0]
-        place = _places(before[at], ids[at], len(bits).bit_length() + 5)
         ok = ok.copy()
-        ok[at] = (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) != 0
+        ok[at] = _in_bitmap(before[at], ids[at], bits)
         yield before, ok
 
 
-def _sequences(table: pa.Table, ids: _Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words of the texts between ends, each one's place in its text and the row's number."""
+def _sequences(table: pa.Table, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words, the end last; all words of the texts between ends, as places in them; each one's place in
+    its text and the row's number."""
     words, at, lengths = _split(table.column("text"))
-    numbers = np.fromiter(map(ids.__getitem__, words.to_pylist()), np.int64, len(words))
     lengths = lengths + 2
     starts = np.cumsum(lengths) - lengths
     offsets = np.arange(lengths.sum()) - np.repeat(starts, lengths)
     inner = np.ones(len(offsets), bool)
     inner[starts] = inner[starts + lengths - 1] = False
-    found = np.full(len(offsets), ids[END.encode()], np.int64)
-    found[inner] = numbers[at]
-    return found.view(np.uint64), offsets, np.repeat(np.arange(len(lengths)), lengths)
+    found = np.full(len(offsets), len(words), np.int32)
+    found[inner] = at
+    return _hashed(pa.concat_arrays([words, _END]), seed), found, offsets, np.repeat(np.arange(len(lengths)), lengths)
 
 
 def _signed(array: np.ndarray) -> pa.Array:
@@ -231,9 +237,9 @@ def _grams(seed: int, maps):
     """(words before, the same of the suffix, last word, next word, times in training) at the deepest level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(seed)
         for table in _slices(batches):
-            words, offsets, numbers = _sequences(table, ids)
+            distinct, places, offsets, numbers = _sequences(table, seed)
+            words = distinct[places]
             last, shorter = None, np.zeros(len(words), np.uint64)
             for before, ok in _candidates(words, offsets, [m.value for m in maps]):
                 shorter, last = (last[0] if last else shorter), (before, ok)
@@ -262,55 +268,67 @@ def _named(d: int):
     return run
 
 
-def _contexts(words: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """Hashes of the contexts of one word, two, and so on, given the last word, the one before, and so on."""
-    for d in range(1, len(words) + 1):
-        yield reduce(_mix, reversed(words[:d]), np.zeros(len(words[0]), np.uint64))
+def _context(words: list[np.ndarray]) -> np.ndarray:
+    """The hash of the context of the last word, the one before, and so on."""
+    return reduce(_mix, reversed(words), np.zeros(len(words[0]), np.uint64))
 
 
 @dataclass
 class _Tokens:
-    """Tokens with what precedes them: their rows, the words (the token, the last before it, ...), how many of
-    those before it are there, how many of them the tables cover, the name in the tables, the group that counts them."""
+    """Tokens with what precedes them: their rows, the distinct words, the places in them of the token, the last
+    word before it and so on, how many of those before it can be in a context, how many of them the tables cover,
+    the name in the tables, the group that counts them."""
 
     row: np.ndarray
-    words: list[np.ndarray]
+    distinct: np.ndarray
+    places: list[np.ndarray]
     there: np.ndarray
     covered: np.ndarray
     asked: np.ndarray
     group: np.ndarray
 
 
-def _tokens(words: np.ndarray, offsets: np.ndarray, numbers: np.ndarray, maps, depth: int, groups: int) -> _Tokens:
-    covered, context = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
-    for d, (before, ok) in enumerate(_candidates(words, offsets, [m.value for m in maps]), 1):
-        covered[ok], context[ok] = d, _mix(before[ok], words[ok])
+def _tokens(table: pa.Table, seed: int, able, maps, depth: int, groups: int) -> _Tokens:
+    distinct, places, offsets, numbers = _sequences(table, seed)
     at = np.nonzero(offsets[1:] > 0)[0]
-    there, covered = np.minimum(offsets[at] + 1, depth), covered[at]
-    before = [np.where(there > d, words[at - d], np.uint64(0)) for d in range(depth)]
-    asked = _asked(covered, context[at], words[at + 1])
+    covered, context = np.zeros(len(at), np.uint8), np.zeros(len(at), np.uint64)
+    if maps:
+        words = distinct[places]
+        for d, (before, ok) in enumerate(_candidates(words, offsets, [m.value for m in maps]), 1):
+            here = np.nonzero(ok[at])[0]
+            covered[here], context[here] = d, _mix(before[at[here]], words[at[here]])
+    may = _in_bitmap(np.zeros(len(distinct), np.uint64), distinct, able.value)[places]
+    there, run = covered.copy(), np.ones(len(at), bool)
+    for d in range(depth):
+        run = run & (offsets[at] >= d) & may[at - d]
+        there[run & (there == d)] = d + 1
+    before = [np.where(there > d, places[at - d], np.int32(len(distinct) - 1)) for d in range(depth)]
+    asked = distinct[places[at + 1]]
+    if maps:
+        asked = _asked(covered.astype(np.uint64), context, asked)
     group = asked.copy()  # where no longer context is left to count
-    for d, longer in enumerate(_contexts(before)):
-        here = (covered == d) & (there > d)
-        group[here] = longer[here]
-    group = ((_mix(np.uint64(0), group) >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
-    return _Tokens(numbers[at], [words[at + 1], *before], there, covered.astype(np.int64), asked, group)
+    for d in range(min(len(maps) + 1, depth)):
+        here = np.nonzero((covered == d) & (there > d))[0]
+        group[here] = _context([distinct[b[here]] for b in before[: d + 1]])
+    group = ((_mix(np.uint64(0), group) >> np.uint64(32)) % np.uint64(groups)).astype(np.int32)
+    return _Tokens(numbers[at], distinct, [places[at + 1], *before], there, covered, asked, group)
 
 
 @dataclass(frozen=True)
 class _Frequent:
-    """Words by falling count, their counts, and their places by rising number."""
+    """Words by falling count, their counts, the words by rising number and their places in the first."""
 
     words: np.ndarray
     counts: np.ndarray
+    rising: np.ndarray
     order: np.ndarray
 
     def places(self, words: np.ndarray) -> np.ndarray:
         """Where each word is, -1 for others."""
         if not len(self.words):
-            return np.full(len(words), -1)
-        at = self.order[np.minimum(np.searchsorted(self.words, words, sorter=self.order), len(self.order) - 1)]
-        return np.where(self.words[at] == words, at, -1)
+            return np.full(len(words), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.rising, words), len(self.rising) - 1)
+        return np.where(self.rising[at] == words, self.order[at], -1).astype(np.int32)
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
@@ -324,34 +342,32 @@ def _unpacked(packed: bytes, n: int, count: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(c.T).view(np.uint32).ravel() for c in planes.reshape(count, 4, n)]
 
 
-def _dealt(seed: int, maps, frequent, depth: int, groups: int):
+def _dealt(seed: int, able, maps, frequent, depth: int, groups: int):
     """For each group the tokens it counts, many to a row: the first text's number, how many tokens, the words that
     are not frequent, and packed columns; and the texts themselves, many to a row of any group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, row, known = _Ids(seed), TaskContext.get().partitionId() << 33, frequent.value
+        row, known = TaskContext.get().partitionId() << 33, frequent.value
         for table in _slices(batches):
-            words, offsets, numbers = _sequences(table, ids)
-            found = _tokens(words, offsets, numbers, maps, depth, groups)
-            held = table.column("held_out").to_numpy()
-            state = found.covered + (found.there << 8) + (held[found.row].astype(np.int64) << 16)
-            place, n = _places_of(np.concatenate(found.words))
-            distinct = np.empty(n, np.uint64)
-            distinct[place] = np.concatenate(found.words)
-            codes = known.places(distinct)[place].reshape(depth + 1, -1)
-            place = place.reshape(depth + 1, -1)
+            found = _tokens(table, seed, able, maps, depth, groups)
             order = np.argsort(found.group, kind="stable")
+            held, rows = table.column("held_out").to_numpy(), found.row[order]
+            state = found.covered[order] + (found.there[order].astype(np.int32) << 8) + (held[rows].astype(np.int32) << 16)
+            places = [p[order] for p in found.places]
+            code_of = known.places(found.distinct)
             edges = np.searchsorted(found.group[order], np.arange(groups + 1))
             out = []
             for group in np.nonzero(np.diff(edges))[0]:
-                at = order[edges[group] : edges[group + 1]]
-                code = codes[:, at]
-                others, inverse = np.unique(place[:, at][code < 0], return_inverse=True)
-                code[code < 0] = len(known.words) + inverse
-                columns = [np.diff(found.row[at], prepend=0), state[at], *code]
-                out.append((int(group), row, len(at), distinct[others].tobytes(), _packed(columns)))
+                here = slice(edges[group], edges[group + 1])
+                place = np.stack([p[here] for p in places])
+                code = code_of[place]
+                rare = code < 0
+                others, inverse = np.unique(place[rare], return_inverse=True)
+                code[rare] = len(known.words) + inverse
+                columns = [np.diff(rows[here], prepend=0), state[here], *code]
+                out.append((int(group), row, code.shape[1], found.distinct[others].tobytes(), _packed(columns)))
             yield pa.RecordBatch.from_pylist([dict(zip(_DEALT.names, r, strict=True)) for r in out], _DEALT)
-            texts = pa.record_batch([table.column("id").combine_chunks(), table.column("held_out").combine_chunks(), pa.array(np.bincount(numbers) - 1)], names=["id", "held_out", "n"])
+            texts = pa.record_batch([table.column("id").combine_chunks(), table.column("held_out").combine_chunks(), pa.array(np.bincount(found.row))], names=["id", "held_out", "n"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
                 stream.write(texts)
@@ -366,22 +382,19 @@ _DEALT = pa.schema({"part": pa.int64(), "row": pa.int64(), "n": pa.int64(), "oth
 _DEALT_SQL = "part long, row long, n long, others binary, packed binary"
 
 
-def _questions(seed: int, maps, frequent, depth: int, groups: int):
+def _questions(seed: int, able, maps, frequent, depth: int, groups: int):
     """What each group has to ask the tables, beside the frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _Ids(seed)
         for table in _slices(batches):
-            found = _tokens(*_sequences(table, ids), maps, depth, groups)
-            place, n = _places_of(found.asked)
-            distinct = np.empty(n, np.uint64)
-            distinct[place] = found.asked
-            at = np.nonzero((found.covered > 0) | (frequent.value.places(distinct) < 0)[place])[0]
-            asked = found.asked[at] if len(at) else np.zeros(0, np.uint64)
+            found = _tokens(table, seed, able, maps, depth, groups)
+            rare = frequent.value.places(found.distinct) < 0
+            at = np.nonzero((found.covered > 0) | rare[found.places[0]])[0]
+            asked = found.asked[at]
             place, n = _places_of(_mix(found.group[at].astype(np.uint64), asked))
             first = np.empty(n, np.int64)
             first[place] = at
-            yield pa.RecordBatch.from_arrays([pa.array(found.group[first]), _signed(found.asked[first])], names=["part", "g"])
+            yield pa.RecordBatch.from_arrays([pa.array(found.group[first].astype(np.int64)), _signed(found.asked[first])], names=["part", "g"])
 
     return run
 
@@ -389,27 +402,32 @@ def _questions(seed: int, maps, frequent, depth: int, groups: int):
 def _counted(frequent, depth: int, shape: Shape, root: float):
     """The sums of one group's tokens by text, and the texts that are dealt to it."""
 
-    def read(dealt: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        known, rows, words, states = frequent.value, [], [], []
-        for r in dealt.to_pylist():
-            delta, state, *codes = _unpacked(r["packed"], r["n"], depth + 3)
-            rows.append(np.cumsum(delta.astype(np.int64)) + r["row"])
-            states.append(state)
-            every = np.concatenate([known.words, np.frombuffer(r["others"], np.uint64)]) if r["others"] else known.words
-            words.append([every[c] for c in codes])
-        return np.concatenate(rows), [np.concatenate(c) for c in zip(*words, strict=True)], np.concatenate(states)
-
-    def grown(p: np.ndarray, x: np.ndarray, before: list[np.ndarray], there: np.ndarray, covered: np.ndarray, train: np.ndarray) -> None:
+    def read(dealt: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The rows, the state, the codes of the token, the last word and so on, and the words they stand for."""
+        known, total, done, more = frequent.value.words, pc.sum(dealt.column("n")).as_py(), 0, 0
+        rows, state, codes, others = np.empty(total, np.int64), np.empty(total, np.uint32), np.empty((depth + 1, total), np.uint32), [known]
+        for r in dealt.to_batches(max_chunksize=1):
+            row, n, rare, packed = (r.column(c)[0].as_py() for c in _DEALT.names[1:])
+            delta, state[done : done + n], *words = _unpacked(packed, n, depth + 3)
+            rows[done : done + n] = np.cumsum(delta.astype(np.int64)) + row
+            for line, code in zip(codes, words, strict=True):
+                line[done : done + n] = np.where(code < len(known), code, code + np.uint32(more))
+            others.append(np.frombuffer(rare, np.uint64))
+            done, more = done + n, more + len(others[-1])
+        return rows, state, codes, np.concatenate(others)
+
+    def grown(p: np.ndarray, words: np.ndarray, codes: np.ndarray, there: np.ndarray, covered: np.ndarray, train: np.ndarray) -> None:
         """``p`` by each token's longest retained context, given that by the longest one of the tables."""
         fewer = np.zeros(len(p), bool)  # a shorter context here has too few occurrences
-        for d, context in enumerate(_contexts(before), 1):
+        for d in range(1, depth + 1):
             at = np.nonzero((covered < d) & (there >= d) & ~fewer)[0]
-            place, n = _places_of(context[at])
+            context = _context([words[c[at]] for c in codes[1 : d + 1]])
+            place, n = _places_of(context)
             held = np.bincount(place[train[at]], minlength=n)
             enough = held[place] >= shape.least
             fewer[at[~enough]] = True
-            at, place = at[enough], place[enough]
-            pair, m = _places_of(_mix(context[at], x[at]))
+            at, place, context = at[enough], place[enough], context[enough]
+            pair, m = _places_of(_mix(context, words[codes[0][at]]))
             c = np.bincount(pair[train[at]], minlength=m)
             of, q = np.empty(m, np.int64), np.empty(m)
             of[pair], q[pair] = place, p[at]
@@ -424,22 +442,23 @@ def _counted(frequent, depth: int, shape: Shape, root: float):
     def run(dealt: pa.Table, answers: pa.Table) -> pa.Table:
         size, found = dealt.column("n").to_numpy(), []
         if (size > 0).any():
-            row, (x, *before), state = read(dealt.filter(pa.array(size > 0)))
-            covered, there, train = state & 255, (state >> 8) & 255, state >> 16 == 0
-            at = np.where(covered > 0, -1, frequent.value.places(x))
-            c, p = np.zeros(len(x), np.int64), np.zeros(len(x))
-            c[at >= 0] = frequent.value.counts[at[at >= 0]]
-            p[at >= 0] = (c[at >= 0] + 1) / root
-            rest = np.nonzero(at < 0)[0]
+            row, state, codes, words = read(dealt.filter(pa.array(size > 0)))
+            covered, there, train = (state & 255).astype(np.uint8), (state >> 8).astype(np.uint8), state >> 16 == 0
+            plain = (covered == 0) & (codes[0] < len(frequent.value.words))
+            c, p = np.zeros(len(row), np.int64), np.zeros(len(row))
+            c[plain] = frequent.value.counts[codes[0][plain]]
+            p[plain] = (c[plain] + 1) / root
+            rest = np.nonzero(~plain)[0]
             if len(rest):
                 context = np.zeros(len(rest), np.uint64)
-                for d, longer in enumerate(_contexts([w[rest] for w in before]), 1):
-                    context = np.where(covered[rest] == d, longer, context)
-                asked, g = _asked(covered[rest].astype(np.uint64), context, x[rest]), _unsigned(answers.column("g").combine_chunks())
+                for d in range(1, int(covered.max()) + 1):
+                    here = np.nonzero(covered[rest] == d)[0]
+                    context[here] = _context([words[line[rest[here]]] for line in codes[1 : d + 1]])
+                asked, g = _asked(covered[rest].astype(np.uint64), context, words[codes[0][rest]]), _unsigned(answers.column("g").combine_chunks())
                 order = np.argsort(g)
                 place = order[np.searchsorted(g, asked, sorter=order)]
                 c[rest], p[rest] = answers.column("c").to_numpy()[place], answers.column("p").to_numpy()[place]
-            grown(p, x, before, there, covered, train)
+            grown(p, words, codes, there, covered, train)
             place, n = _places_of(row)
             rows = np.empty(n, np.int64)
             rows[place] = row
@@ -449,6 +468,7 @@ def _counted(frequent, depth: int, shape: Shape, root: float):
             texts = pa.ipc.open_stream(r["packed"]).read_all()
             n, lacks = texts.num_rows, [pa.nulls(texts.num_rows, kind) for kind in _SUMS.types[4:]]
             found.append(pa.table([pa.array(np.arange(n) + r["row"]), *texts.columns, *lacks], _SUMS))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(found) if found else _SUMS.empty_table()
 
     return run
@@ -513,10 +533,11 @@ def _most_frequent(words: DataFrame) -> _Frequent:
     x, n = _collected(counted.where(F.col("power") >= least), "x", "n")
     order = np.argsort(-n, kind="stable")
     found = x[order].view(np.uint64)
-    return _Frequent(found, n[order], np.argsort(found))
+    order, rising = np.argsort(found), np.sort(found)
+    return _Frequent(found, n[np.argsort(-n, kind="stable")], rising, order)
 
 
-def score(docs: DataFrame, shape: Shape | None = None, id_column: str = "doc_id", text_column: str = "text", often: int = _GROUP) -> DataFrame:
+def score(docs: DataFrame, shape: Shape | None = None, id_column: str = "doc_id", text_column: str = "text", often: int = _OFTEN) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark, shape = docs.sparkSession, shape or Shape()
     importable(spark)
@@ -528,9 +549,11 @@ def score(docs: DataFrame, shape: Shape | None = None, id_column: str = "doc_id"
     known = [level.mapInArrow(_named(d), "g long, c long, p double") for d, level in enumerate(levels) if d]
     known = reduce(DataFrame.unionByName, known, levels[0].select(F.col("x").alias("g"), "c", "p"))
     groups, frequent = max(_GROUPS, total // _GROUP), spark.sparkContext.broadcast(_most_frequent(words))
-    asked = texts.mapInArrow(_questions(seed, maps, frequent, shape.depth, groups), "part long, g long")
+    last = words.where(F.col("n") >= shape.least).select(F.lit(0).cast("long").alias("k"), F.col("x").alias("w"))
+    able = spark.sparkContext.broadcast(_bitmap(last, last.count()))
+    asked = texts.mapInArrow(_questions(seed, able, maps, frequent, shape.depth, groups), "part long, g long")
     answers = asked.join(known, "g").select("part", "g", "c", "p")
-    dealt = chosen.mapInArrow(_dealt(seed, maps, frequent, shape.depth, groups), _DEALT_SQL)
+    dealt = chosen.mapInArrow(_dealt(seed, able, maps, frequent, shape.depth, groups), _DEALT_SQL)
     counted = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_counted(frequent, shape.depth, shape, float(total + distinct + 1)), _SUMS_SQL)
     rows = counted.groupBy("row").agg(
         F.max("id").alias("id"),
