@@ -4,12 +4,15 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sluice.llm import neighbours, quality, suffix_model
+from sluice.workspace import workspace
 
 SF = "/root/testdata/sf0.001"
 
@@ -152,6 +155,33 @@ def test_scores_use_every_context_and_successor(spark):
     assert retained[b"seldom",] and n[b"seldom",] < 10  # however large the corpus
 
 
+def test_no_row_is_written_for_each_pair_of_context_and_next_word(spark):
+    """All pairs of rarer contexts are counted where their tokens are; frequent ones in tables give the same scores."""
+    draw = random.Random(9)
+    texts = [" ".join("w%d" % int(draw.paretovariate(0.7)) for _ in range(300)) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    folder = Path(workspace(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    before = size()
+    plain = {r.id: r.score for r in suffix_model.score(df).collect()}
+    assert size() - before < sum(map(len, texts)) / 2
+    tables = {r.id: r.score for r in suffix_model.score(df, often=400).collect()}
+    assert plain.keys() == tables.keys()
+    assert all(math.isclose(plain[i], tables[i], rel_tol=1e-9) for i in plain)
+
+
+def test_words_and_their_numbers():
+    texts = ["", " \t\n\x0b\x0c\r", "A b  \u00c9A\u00a0z\x1cq \u2003 B", " x" * 3, "y" * 300 + " " + "y" * 301 + " abcdefgh abcdefghi abcdefg\0", "\0 \0\0"]
+    words, at, lengths = suffix_model._split(pa.chunked_array([pa.array(texts, pa.large_string())]))
+    assert [words[i].as_py() for i in at] == [w for t in texts for w in split(t)]
+    assert lengths.tolist() == [len(split(t)) for t in texts]
+    assert words.to_pylist() == list(dict.fromkeys(w for t in texts for w in split(t)))
+    for seed in (0, 1):
+        found = suffix_model._hashed(words, seed)
+        assert len(set(found.tolist())) == len(words)
+        assert [suffix_model._hashed(words.slice(i, 1), seed)[0] for i in range(len(words))] == found.tolist()
+
+
 def labelled(draw, i):
     kind = i % 5
     words = [draw.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(draw.randint(20, 60))]
