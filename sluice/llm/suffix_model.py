@@ -16,14 +16,14 @@ A token is scored in the longest retained suffix of what precedes it. Counts cov
 
 Where the counting runs: the root and what is very frequent (``often`` occurrences or more) are tables, level by
 level: grouped counts and a join with the level before. The subtree of any rarer context is counted in one group:
-the tokens go there, packed many to a row, with the words before them, the number of their text and what the
+the tokens go there, packed many to a row, with the words before them and the number of their text, meet what the
 tables say of them, and come back as sums by text. So the tokens of all texts are shuffled once, in some eight
 bytes each, no group holds more than a share of bounded size and one such subtree, and no table of pairs of
 context and next word is written for contexts that are not very frequent.
 
 A word goes by 64 bits of its digest, under a seed by which no two words of the texts are alike
 (checked). A context goes by a 64-bit hash. Only bitmaps of bounded size, which tell contexts that are surely not
-very frequent (what they let through by chance is in the tables too), and the most frequent words (half a
+very frequent (what they let through by chance is in the tables too) and words that no context can have, and the most frequent words (half a
 million at most) are broadcast.
 
 Null text is empty: its end is its only token. A null id is in the training part or not by the
